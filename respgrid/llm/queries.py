@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respgrid.llm import exact_dedup, license_scan, mixing, packing, token_counts
+from respgrid.llm import exact_dedup, license_scan, line_dedup, mixing, packing, simhash, token_counts
 from respgrid.llm.common import documents
 
 
@@ -40,6 +40,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notice_ids", F.array_join("notice_ids", ","))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(documents(spark, sf_dir))
+    return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return line_dedup.kept_digests(docs, line_dedup.keep_bitmaps(docs))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -47,4 +57,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
         "op7_license_scan": op7_license_scan,
+        "op9_simhash": op9_simhash,
+        "op10_line_dedup": op10_line_dedup,
     }
