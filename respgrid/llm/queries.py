@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respgrid.llm import exact_dedup, license_scan, line_dedup, mixing, ngram_quality, packing, simhash, token_counts
+from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, simhash, token_counts
 from respgrid.llm.common import documents
 
 
@@ -26,6 +26,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extraction.main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_quality.judged(documents(spark, sf_dir))
     return found.select("doc_id", *ngram_quality.COLUMNS, "base_failed", "kept", F.round("log_perplexity", 6).alias("log_perplexity"))
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
         "op2_token_counts": op2_token_counts,
+        "op3_html_extraction": op3_html_extraction,
         "op4_ngram_quality": op4_ngram_quality,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
