@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, simhash, token_counts
+from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, token_counts
 from respgrid.llm.common import documents
 
 
@@ -50,6 +50,11 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("notice_ids", F.array_join("notice_ids", ","))
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pitman_yor.score_texts(pitman_yor.one_fifth(docs))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(documents(spark, sf_dir))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": op5_exact_dedup,
         "op6_mixing": op6_mixing,
         "op7_license_scan": op7_license_scan,
+        "op8_pitman_yor": op8_pitman_yor,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
     }
