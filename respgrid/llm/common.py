@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The white space that the operators' contracts name: blank, tab, line feed, vertical tab, form feed, return.
@@ -50,3 +50,16 @@ def text_or_empty(column: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def without(docs: DataFrame, gone: DataFrame, one_each: bool = False) -> DataFrame:
+    """The rows of docs whose doc_id and text (by its xxhash64) aren't in gone (doc_id, text_hash), with all their columns.
+
+    one_each: of rows that repeat a doc_id and a text, one stays.
+    """
+    gone = gone.select(F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__gone")).distinct()
+    rows = docs.withColumn("__hash", F.xxhash64(text_or_empty()))
+    kept = rows.join(gone.hint("shuffle_hash"), (rows["__hash"] == gone["__gone"]) & rows["doc_id"].eqNullSafe(gone["__doc"]), "left_anti")
+    if one_each:
+        kept = kept.withColumn("__nth", F.row_number().over(Window.partitionBy("__hash", "doc_id").orderBy("__hash"))).where("__nth = 1")
+    return kept.select(*docs.columns)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respgrid.llm.common import SPACE, stored, text_or_empty
+from respgrid.llm.common import SPACE, stored, text_or_empty, without
 
 #: Runs at the leaves of the tree, and how many of them one merge takes in.
 RUNS, FAN_IN = 64, 8
@@ -26,12 +26,13 @@ KEY = ["text_sha256", "check64", "norm_bytes"]
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, the key of its normalised text, its code points and its run."""
+    """doc_id, a hash of its text, the key of the normalised text, its code points and its run."""
     text = text_or_empty()
     return (
-        docs.select("doc_id", F.length(text).cast("long").alias("points"), F.regexp_replace(text, f"{SPACE}+", "").alias("norm"))
+        docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.length(text).cast("long").alias("points"), F.regexp_replace(text, f"{SPACE}+", "").alias("norm"))
         .select(
             "doc_id",
+            "text_hash",
             "points",
             F.sha2("norm", 256).alias("text_sha256"),
             F.xxhash64("norm").alias("check64"),
@@ -42,7 +43,7 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def exact_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 and text_hash (xxhash64 of the text).
 
     Of equal texts (equal after white space is deleted) the row with the most code points
     stays, then the one with the smallest doc_id.
@@ -73,10 +74,10 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         "group_size",
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256",
+        "text_hash",
     )
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that exact_groups keeps, with all their columns."""
-    gone = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each group of exact_groups, with all columns of docs."""
+    return without(docs, exact_groups(docs).where(~F.col("kept")), one_each=True)

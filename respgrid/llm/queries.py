@@ -37,7 +37,7 @@ def op4_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(documents(spark, sf_dir))
+    return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

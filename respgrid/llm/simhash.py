@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respgrid.llm.common import stored, text_or_empty
+from respgrid.llm.common import stored, text_or_empty, without
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Widths of the blocks, from the lowest bit.
@@ -52,12 +52,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         values = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(values)], ["doc_id", "text_hash", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long, for each row."""
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    """doc_id, text_hash (xxhash64 of the text) and fp, the fingerprint as a signed long, for each row."""
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    return rows.mapInArrow(_fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def _stars(members: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
@@ -146,7 +147,7 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of docs: doc_id, fp, component_id (the smallest doc_id reachable over links).
+    """One row per row of docs: doc_id, text_hash, fp, component_id (the smallest doc_id reachable over links).
 
     Defined cases: a null text is an empty one; texts without words have fingerprint zero and are
     linked like any other; a text of fewer words than a shingle is one shingle; rows that repeat a
@@ -160,11 +161,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs with the smallest doc_id of their component, with all their columns."""
-    groups = near_groups(docs)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    return without(docs, near_groups(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))), one_each=True)
