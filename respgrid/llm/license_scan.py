@@ -136,7 +136,7 @@ def canonical_lines(text: Column) -> Column:
     """The canonical forms of a text's lines, without those that are empty or copyright lines."""
     copyright_line = r"^(?:copyright (?:c |[0-9])|c [0-9]{4}|all rights reserved$)"
     # One step a transform, so that each step's result is computed once.
-    plain = F.transform(F.split(text, "[\n\r]+"), lambda x: F.trim(F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]+", " ")))
+    plain = F.transform(F.split(text, "[\n\r]+"), lambda x: F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("©"), F.lit("c ")), r"[^\p{L}\p{N}]+", " ")))
     kept = F.filter(plain, lambda x: (x != "") & ~x.rlike(copyright_line))
     return F.transform(kept, lambda x: _spelled(x, SPELLINGS))
 
