@@ -155,7 +155,7 @@ SELECT p_partkey, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(64 + i
   WHEN p_size = 0 THEN '#NULL!' WHEN p_size = 7 THEN '#DIV/0!' WHEN p_size = 15 THEN '#VALUE!' WHEN p_size = 23 THEN '#REF!' WHEN p_size = 29 THEN '#NAME?' WHEN p_size = 36 THEN '#NUM!' WHEN p_size = 42 THEN '#N/A' ELSE '#ERR!' END AS shown FROM part""",
     "c2_delimiter_of_orders": f"WITH {ORDERS} SELECT response_id, file_type, CASE WHEN file_type = 'UNKNOWN' THEN ',' ELSE d END AS delimiter FROM order_bodies",
     "c3_order_cells": f"WITH {ORDERS} SELECT response_id, 0 AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, unnest([0, 1, 2, 3, 4, 5]) AS col_idx, unnest(f) AS text FROM told",
-    "c4_quoted_fields": "SELECT doc_id // 50 AS response_id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS INTEGER) AS row_idx, CAST(doc_id AS VARCHAR) AS doc_id, lang, text, 3 AS n FROM documents",
+    "c4_quoted_fields": "SELECT doc_id // 50 AS response_id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS INTEGER) AS row_idx, CAST(doc_id AS VARCHAR) AS doc_id, lang, CASE WHEN length(text) > 32768 THEN left(text, 32768) || '…' ELSE text END AS text, 3 AS n FROM documents",
     "c6_capped_rows": f"""WITH {ORDERS} SELECT response_id, CAST(response_id AS VARCHAR) AS name, CAST(least(n_rows, CASE WHEN response_id % 3 = 2 AND response_id % 5 <> 0 AND n_rows = 4 THEN 4 ELSE 4 END) AS INTEGER) AS n_rows, 5 AS n_cols, true AS truncated
   FROM order_bodies WHERE file_type <> 'UNKNOWN'""",
     "x1_sheet_catalogue": "SELECT DISTINCT l_suppkey AS response_id, 0 AS sheet_idx, 'Lines' AS name, 'xl/worksheets/sheet1.xml' AS part FROM lineitem",
@@ -177,7 +177,7 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey % 97, l_orderkey % 50, l_line
   SELECT l_suppkey AS response_id, count(*) AS kept, max(l_orderkey // 10) AS last_row FROM lineitem LEFT JOIN cuts ON l_suppkey = response_id
   WHERE cut_at IS NULL OR l_orderkey // 10 < cut_at GROUP BY 1
 )
-SELECT coalesce(kept.response_id, cuts.response_id) AS response_id, kept, last_row, cut_at FROM kept FULL JOIN cuts ON kept.response_id = cuts.response_id""",
+SELECT coalesce(kept.response_id, cuts.response_id) AS response_id, coalesce(kept, -1) AS kept, coalesce(last_row, -1) AS last_row, coalesce(cut_at, -1) AS cut_at FROM kept FULL JOIN cuts ON kept.response_id = cuts.response_id""",
     "x10_assembled_cells": f"WITH {BOOKS} SELECT response_id, sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, col_idx, text FROM book_cells",
     "x11_dense_rows": f"""WITH {BOOKS}, chosen AS (SELECT * FROM book_cells WHERE response_id % 5 = 0 AND row_idx % 3 > 0), lists AS (
   SELECT response_id, row_idx, string_agg(text, '|' ORDER BY col_idx) AS cells, count(*) AS width FROM chosen GROUP BY ALL

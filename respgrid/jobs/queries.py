@@ -48,6 +48,12 @@ def _order_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return grid.promote_header(delimited.sheet_rows(parsed), sheets), sheets
 
 
+def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Staged workbook records, the large kinds in tables of their own as a reader leaves them."""
+    records = X.workbook_records(spark, sf_dir)
+    return records | {kind: staged(records[kind], kind) for kind in ("row", "cell")}
+
+
 # Sources and sinks
 
 
@@ -255,15 +261,16 @@ def x9_cut_wide_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = cells.groupBy().agg((F.max("col_idx") - 2).alias("cap")).first()["cap"]
     kept, cuts = workbook.cut_wide_rows(cells, Limits(columns=top))
     counted = kept.groupBy("response_id").agg(F.count(F.lit(1)).alias("kept"), F.max("row_n").alias("last_row"))
-    return counted.join(cuts.select("response_id", "cut_at"), "response_id", "full")
+    joined = counted.join(cuts.select("response_id", "cut_at"), "response_id", "full")
+    return joined.select("response_id", *[F.coalesce(c, F.lit(-1)).alias(c) for c in ("kept", "last_row", "cut_at")])
 
 
 def x10_assembled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workbook.assemble(X.workbook_records(spark, sf_dir))["cells"]
+    return workbook.assemble(_records(spark, sf_dir))["cells"]
 
 
 def x11_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = workbook.assemble(X.workbook_records(spark, sf_dir))["cells"]
+    cells = workbook.assemble(_records(spark, sf_dir))["cells"]
     rows = workbook.dense_rows(cells.where((F.col("response_id") % 5 == 0) & (F.col("row_idx") % 3 > 0)))
     return rows.select("response_id", "row_idx", F.array_join("cells", "|").alias("cells"), F.size("cells").alias("width"))
 
@@ -345,7 +352,7 @@ def g11_sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a1_sheet_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workbook.assemble(X.workbook_records(spark, sf_dir))["sheets"]
+    return workbook.assemble(_records(spark, sf_dir))["sheets"]
 
 
 def a2_triage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:

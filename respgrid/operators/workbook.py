@@ -143,8 +143,8 @@ def last_cell_wins(cells: DataFrame, order: str = "cell_n") -> DataFrame:
 
 def trim_blanks(cells: DataFrame) -> DataFrame:
     """cells without the blank ones at the end of each row, and so without trailing blank rows."""
-    ends = cells.where("text != ''").groupBy(*SHEET, "row_idx").agg(F.max("col_idx").alias("__last"))
-    return cells.join(ends, [*SHEET, "row_idx"]).where("col_idx <= __last").drop("__last")
+    last = F.max(F.when(F.col("text") != "", F.col("col_idx"))).over(Window.partitionBy(*SHEET, "row_idx"))
+    return cells.withColumn("__last", last).where("col_idx <= __last").drop("__last")
 
 
 def drop_out_of_bounds(cells: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
