@@ -61,7 +61,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
         found = spark.read.schema(CACHE).parquet(cache) if _exists(spark, cache) else spark.createDataFrame([], CACHE)
         return found.where(F.col("tokenizer_digest") == version).select("text_digest", "n_tokens")
 
-    misses = rows.join(cached(), "text_digest", "left_anti").groupBy("text_digest").agg(F.min("doc_id").alias("__doc"))
+    # Rows become one for each digest before they meet the cache: a digest that many rows have is no hot key.
+    distinct = rows.groupBy("text_digest").agg(F.min("doc_id").alias("__doc"))
+    misses = distinct.join(cached(), "text_digest", "left_anti")
     # The texts of one row for each missing digest; (digest, doc_id) has no hot value.
     same = (texts["text_digest"] == misses["text_digest"]) & texts["doc_id"].eqNullSafe(misses["__doc"])
     wanted = texts.join(misses.hint("shuffle_hash"), same, "left_semi").select("text_digest", "text")
