@@ -35,6 +35,13 @@ def write_bodies(detected: DataFrame, path: str) -> None:
 
 
 def write_csv_export(lines: DataFrame, path: str) -> None:
-    """lines (response_id, sheet_idx, line_no, line) as text files: a folder for each sheet, its lines in order."""
+    """lines (response_id, sheet_idx, line_no, line) as CSV text files of many sheets: each line follows its key, a sheet's lines lie together in order."""
     dealt = lines.repartition("response_id", "sheet_idx").sortWithinPartitions("response_id", "sheet_idx", "line_no")
-    dealt.select("response_id", "sheet_idx", F.col("line").alias("value")).write.mode("append").partitionBy("response_id", "sheet_idx").text(path)
+    dealt.select(F.concat_ws(",", "response_id", "sheet_idx", "line_no", "line").alias("value")).write.mode("append").text(path)
+
+
+def read_csv_export(spark: SparkSession, path: str) -> DataFrame:
+    """response_id, sheet_idx, line_no and line of an export in which no field has a line break."""
+    parts = F.split("value", ",", 4)
+    keys = [parts[k].cast(kind).alias(name) for k, (name, kind) in enumerate((("response_id", "long"), ("sheet_idx", "int"), ("line_no", "int")))]
+    return spark.read.text(path).select(*keys, parts[3].alias("line"))
