@@ -12,6 +12,9 @@ from respgrid.llm import exact_dedup, mixing, ngram_quality, packing, simhash
 from respgrid.llm.common import stored
 from respgrid.llm.queries import tokenizer
 
+#: Consecutive documents of the mixture that are packed together.
+RANGE = 16_384
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail the base rules, or lie outside their language's perplexity band, go."""
@@ -34,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences."""
-    return packing.packed(docs, tokenizer("word_bpe_49k.json"))
+    """The pieces of packed sequences; a sequence has documents of one range of the mixture, and sequences are numbered in its order."""
+    return packing.packed(mixing.with_ranges(docs, RANGE), tokenizer("word_bpe_49k.json"), ranged=True)
 
 
 STAGES = [

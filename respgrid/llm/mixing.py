@@ -16,6 +16,10 @@ No row is dropped or repeated.
 
 from __future__ import annotations
 
+import re
+from itertools import accumulate
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -152,3 +156,24 @@ def in_mix_order(docs: DataFrame, weights: dict[str, float] | None = None) -> Da
         .sortWithinPartitions("mix_position")
         .select(*docs.columns)
     )
+
+
+def with_ranges(laid_out: DataFrame, rows: int) -> DataFrame:
+    """laid_out with __range: the number of each row's range of so many consecutive rows, by its place in its files.
+
+    A table that was written from in_mix_order has its files numbered in the order of their ranges, each
+    in order within: a row's place is its index in its file after the rows of the files before. What isn't
+    read from files is written first.
+    """
+    try:
+        laid_out.select("_metadata.row_index")
+    except AnalysisException:
+        laid_out = stored(laid_out, "laid-out")
+    own = laid_out.columns
+    placed = laid_out.select(*own, F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__index"))
+    # A row for each file.
+    files = placed.groupBy("__file").agg(F.count(F.lit(1)).alias("n")).collect()
+    files = sorted((int(re.search(r"part-(\d+)[^/]*$", r["__file"])[1]), r["__file"], r["n"]) for r in files)
+    begins = list(zip([f for _, f, _ in files], accumulate([n for _, _, n in files], initial=0), strict=False))
+    begins = laid_out.sparkSession.createDataFrame(begins, "__file string, __begin long")
+    return placed.join(F.broadcast(begins), "__file").select(*own, F.expr(f"(__begin + __index) div {rows}").alias("__range"))

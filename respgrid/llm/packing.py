@@ -8,12 +8,16 @@ cutting patterns is solved by column generation: a knapsack dynamic program over
 prices the columns. Rounded down, the patterns say how many sequences are filled in which
 way; the pieces that rounding leaves over, a bounded number, are packed largest first. Last,
 pieces are ranked within their class and take the places that the patterns have for it.
+
+Documents in an order that matters are packed range by range: each range of consecutive documents has
+its own program, solved where Spark deals it, and its own sequences, numbered in the order of the ranges.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +32,10 @@ LENGTH, UNIT, END_ID = 2048, 8, 1
 PARTS = 256
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most length tokens: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (binary)."""
+def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, ranged: bool = False) -> DataFrame:
+    """Pieces of at most length tokens: doc_id, start, length, ids_crc32, doc_tokens and, if asked for, ids (binary) and the document's __range."""
     fields = [pa.field("doc_id", pa.int64()), *(pa.field(x, pa.int64()) for x in ("start", "length", "ids_crc32", "doc_tokens"))]
-    fields += [pa.field("ids", pa.binary())] * with_ids
+    fields += [pa.field("ids", pa.binary())] * with_ids + [pa.field("__range", pa.int64())] * ranged
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -40,7 +44,8 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
             for batch in encoding.slices(whole):
                 data, bounds = encoder(encoding.filled(batch))
                 rows: list[list] = [[] for _ in fields]
-                for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                at = batch.column("__range").to_pylist() if ranged else [None] * len(batch)
+                for doc_id, k, a, b in zip(batch.column("doc_id").to_pylist(), at, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     n = (b - a) // 4 + 1
                     for start in range(0, n, length):
                         stop = min(n, start + length)
@@ -50,10 +55,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_
                             row.append(x)
                         if with_ids:
                             rows[5].append(bytes(ids))
+                        if ranged:
+                            rows[-1].append(k)
                 yield pa.RecordBatch.from_arrays([pa.array(r, f.type) for r, f in zip(rows, fields, strict=True)], schema=pa.schema(fields))
 
-    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids + ", __range long" * ranged
+    return docs.select(F.col("doc_id").cast("long"), "text", *["__range"] * ranged).mapInArrow(run, schema)
 
 
 def _price(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -123,11 +130,43 @@ def patterns_for(histogram: dict[int, int], room: int, most_steps: int = 4000) -
     return plan
 
 
-def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UNIT, with_ids: bool = False) -> DataFrame:
+def places_for(histogram: dict[int, int], room: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """(class, low, high, each, first): pieces low to high - 1 of the class go by each to the sequences from first on; and the number of sequences."""
+    places, taken, first = [], dict.fromkeys(histogram, 0), 0
+    for often, pattern in patterns_for(histogram, room):
+        for size, each in pattern.items():
+            places.append((size, taken[size], taken[size] + each * often, each, first))
+            taken[size] += each * often
+        first += often
+    return places, first
+
+
+def _range_places(histogram: DataFrame, room: int) -> DataFrame:
+    """places_for each range of histogram (__range, __class, n); first goes on from range to range."""
+
+    def plan(table: pa.Table) -> pa.Table:
+        found = table.to_pydict()
+        places, n = places_for(dict(zip(found["__class"], found["n"], strict=True)), room)
+        rows = [(found["__range"][0], *x, n) for x in places]
+        return pa.table([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), fields, strict=True)], schema=pa.schema(fields))
+
+    names = ["__range", "__class", "low", "high", "each", "first", "sequences"]
+    fields = [pa.field(x, pa.int32() if x == "__class" else pa.int64()) for x in names]
+    schema = ", ".join(f"{x} {'int' if x == '__class' else 'long'}" for x in names)
+    planned = stored(histogram.groupBy("__range").applyInArrow(plan, schema), "range-places")
+    # A row for each range.
+    sizes = sorted(tuple(r) for r in planned.select("__range", "sequences").distinct().collect())
+    begins = list(zip([k for k, _ in sizes], accumulate([n for _, n in sizes], initial=0), strict=False))
+    begins = histogram.sparkSession.createDataFrame(begins, "__range long, __begin long")
+    return planned.join(F.broadcast(begins), "__range").withColumn("first", F.col("first") + F.col("__begin"))
+
+
+def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UNIT, with_ids: bool = False, ranged: bool = False) -> DataFrame:
     """One row per piece: the columns of tokenized_pieces, sequence_id, offset, sequence_tokens and padded_tokens.
 
     Offsets in a sequence start at 0 and leave no gap. A sequence is padded to length, unless its
     tokens are a power of two. with_ids adds each piece's ids, so that sequences can be written out.
+    ranged: docs has a column __range (long); a sequence holds pieces of one range only, and those of lower ranges come first.
 
     Defined cases: a null or empty text is the end id alone; texts of any length are cut, none is
     shortened; rows that repeat a doc_id are packed each for itself; a null doc_id stays null. An
@@ -135,37 +174,37 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UN
     """
     if length % unit:
         raise ValueError("length must be a multiple of unit")
-    pieces = stored(tokenized_pieces(docs, tokenizer, length, with_ids=with_ids), "pieces")
-    spark = docs.sparkSession
+    pieces = stored(tokenized_pieces(docs, tokenizer, length, with_ids=with_ids, ranged=ranged), "pieces")
+    spark, key = docs.sparkSession, ["__range"] * ranged + ["__class"]
+    # A class of one range is small enough to be ranked as it is.
     pieces = pieces.withColumn("__class", F.expr(f"cast((length + {unit - 1}) div {unit} as int)")).withColumn(
-        "__part", F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS))
+        "__part", F.lit(0) if ranged else F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS))
     )
-    parts = stored(pieces.groupBy("__class", "__part").agg(F.count(F.lit(1)).alias("n")), "piece-parts")
-    # At most length / unit rows.
-    histogram = {r[0]: r[1] for r in parts.groupBy("__class").agg(F.sum("n")).collect()}
-    places, taken, first = [], dict.fromkeys(histogram, 0), 0
-    for often, pattern in patterns_for(histogram, length // unit):
-        for size, each in pattern.items():
-            places.append((size, taken[size], taken[size] + each * often, each, first))
-            taken[size] += each * often
-        first += often
-    table = spark.createDataFrame(places, "__class int, low long, high long, each long, first long")
+    parts = stored(pieces.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("n")), "piece-parts")
+    histogram = parts.groupBy(*key).agg(F.sum("n").alias("n"))
+    if ranged:
+        table = _range_places(histogram, length // unit)
+    else:
+        # At most length / unit rows.
+        places, _ = places_for({r[0]: r[1] for r in histogram.collect()}, length // unit)
+        table = spark.createDataFrame(places, "__class int, low long, high long, each long, first long")
     # At most a few places for each pair of classes.
-    table = table.groupBy("__class").agg(F.array_sort(F.collect_list(F.struct("high", "low", "each", "first"))).alias("places"))
+    table = table.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("high", "low", "each", "first"))).alias("places"))
+    table = table if ranged else F.broadcast(table)
 
-    before = Window.partitionBy("__class").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = parts.select("__class", "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
-    within = Window.partitionBy("__class", "__part").orderBy(F.desc("length"), "doc_id", "start")
-    ranked = pieces.withColumn("__rank", F.row_number().over(within) - 1).join(begins, ["__class", "__part"])
+    before = Window.partitionBy(*key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = parts.select(*key, "__part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    within = Window.partitionBy(*key, "__part").orderBy(F.desc("length"), "doc_id", "start")
+    ranked = pieces.withColumn("__rank", F.row_number().over(within) - 1).join(begins, [*key, "__part"])
     ranked = ranked.withColumn("__rank", F.col("__first") + F.col("__rank"))
     place = F.filter("places", lambda p: F.col("__rank") < p["high"])[0]
-    seated = ranked.join(F.broadcast(table), "__class").withColumn("__place", place)
+    seated = ranked.join(table, key).withColumn("__place", place)
     seated = seated.withColumn("sequence_id", F.expr("__place.first + (__rank - __place.low) div __place.each"))
     inside = Window.partitionBy("sequence_id")
     ahead = inside.orderBy(F.desc("length"), "doc_id", "start", "__rank").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("length").over(inside)
     return seated.select(
-        *pieces.drop("__class", "__part").columns,
+        *pieces.drop("__class", "__part", "__range").columns,
         "sequence_id",
         F.coalesce(F.sum("length").over(ahead), F.lit(0)).alias("offset"),
         total.alias("sequence_tokens"),
