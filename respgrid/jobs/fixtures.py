@@ -5,8 +5,11 @@ The registered queries work on these; the same derivations are written in SQL in
 
 from __future__ import annotations
 
+import gzip
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
@@ -205,3 +208,124 @@ def xlsx_bytes(rows: list[tuple]) -> bytes:
         for name, xml in parts.items():
             container.writestr(name, xml)
     return out.getvalue()
+
+
+def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of documents by doc_id modulo 8: gzip, zlib, a raw stream, two gzip members, text that only its header calls compressed,
+    a gzip file whose end is cut off, text as it is, and none. All but the second, third and fifth have a PDF marker in front."""
+    kind = F.col("doc_id") % 8
+    plain = F.coalesce(F.col("text"), F.lit(""))
+    marked = F.concat(F.lit("%PDF-1.7"), F.repeat(F.lit(" "), F.lit(64)), plain)
+    content = F.when(kind == 7, None).when(kind.isin(1, 2, 4), plain).otherwise(marked)
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("response_id"), kind.cast("int").alias("kind"), F.encode(content, "UTF-8").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [compressed_bytes(k, c.as_py()) for k, c in zip(batch.column("kind").to_pylist(), batch.column("content"), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("response_id"), batch.column("kind"), pa.array(bodies, pa.binary())], ["response_id", "kind", "body"])
+
+    kinds = ["text/plain", "application/octet-stream; deflate", "x-gzip", None, "text/csv; gzip", "application/octet-stream", None, None]
+    ending = _cycle(F.col("kind"), ["", ".csv", ".tsv", "", "", "", "", ""])
+    return rows.mapInArrow(run, "response_id long, kind int, body binary").select(
+        "response_id",
+        F.concat(F.lit("/packed/"), F.col("response_id").cast("string"), ending).alias("request_path"),
+        _cycle(F.col("kind"), kinds).alias("content_type"),
+        F.lit(None).cast("string").alias("content_disposition"),
+        "body",
+    )
+
+
+def compressed_bytes(kind: int, content: bytes | None) -> bytes | None:
+    if content is None:
+        return None
+    if kind == 1:
+        return zlib.compress(content)
+    if kind == 2:
+        raw = zlib.compressobj(wbits=-15)
+        return raw.compress(content) + raw.flush()
+    if kind == 3:
+        half = len(content) // 2
+        return gzip.compress(content[:half], mtime=0) + gzip.compress(content[half:], mtime=0)
+    if kind in (0, 5):
+        return gzip.compress(content, mtime=0)[: -9 if kind == 5 else None]
+    return content
+
+
+def xls_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A real XLS body for each customer with orders, with one row for each: key, status, price, date, priority, and whether it is open.
+
+    Of eleven customers' books one is locked and one has an early version's stream and number.
+    """
+    day = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1899-12-30")))
+    price = F.col("o_totalprice").cast("decimal(12,2)")
+    listed = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", (price * 100).cast("long").alias("cents"), day.alias("day"), "o_orderpriority")))
+    grouped = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("response_id")).agg(listed.alias("orders"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("response_id").to_pylist()
+            bodies = [xls_bytes([tuple(o.values()) for o in rows], locked=i % 11 == 3, early=i % 11 == 4) for i, rows in zip(ids, batch.column("orders").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+
+    key = F.col("response_id")
+    return grouped.mapInArrow(run, "response_id long, body binary").select(
+        "response_id",
+        F.concat(F.lit("/export/"), key.cast("string"), F.when(key % 2 == 0, ".xls").otherwise("")).alias("request_path"),
+        F.when(key % 3 == 0, "application/vnd.ms-excel").alias("content_type"),
+        F.lit(None).cast("string").alias("content_disposition"),
+        "body",
+    )
+
+
+def _record(kind: int, data: bytes = b"") -> bytes:
+    return struct.pack("<HH", kind, len(data)) + data
+
+
+def compound_file(stream: bytes, name: str) -> bytes:
+    """A compound file with one stream in sectors of 512 bytes."""
+    stream = stream.ljust(4096, b"\0")
+    sectors = -(-len(stream) // 512)
+    tables = 1
+    while tables * 128 < tables + 1 + sectors:
+        tables += 1
+    # Sectors: the allocation tables, the directory, the stream.
+    chain = [0xFFFFFFFD] * tables + [0xFFFFFFFE, *range(tables + 2, tables + 1 + sectors), 0xFFFFFFFE]
+    chain += [0xFFFFFFFF] * (tables * 128 - len(chain))
+
+    def entry(label: str, kind: int, start: int, size: int) -> bytes:
+        return label.encode("utf-16-le").ljust(64, b"\0") + struct.pack("<HB", 2 * len(label) + 2, kind) + bytes(49) + struct.pack("<IQ", start, size)
+
+    directory = entry("Root Entry", 5, 0xFFFFFFFE, 0) + entry(name, 2, tables + 1, len(stream))
+    head = bytes.fromhex("D0CF11E0A1B11AE1") + bytes(16) + struct.pack("<5H", 0x3E, 3, 0xFFFE, 9, 6) + bytes(10)
+    head += struct.pack("<8I", tables, tables, 0, 4096, 0xFFFFFFFE, 0, 0xFFFFFFFE, 0)
+    listed = [*range(tables)] + [0xFFFFFFFF] * (109 - tables)
+    return head + struct.pack("<109I", *listed) + struct.pack(f"<{len(chain)}I", *chain) + directory.ljust(512, b"\0") + stream.ljust(sectors * 512, b"\0")
+
+
+def xls_bytes(rows: list[tuple], locked: bool = False, early: bool = False) -> bytes:
+    """rows: key, status, cents, day, priority. Strings are shared and cut over a continuation within a word, prices are hundredths in 32 bits
+    where they fit, two whole numbers share a record, priorities are a formula's text, open orders a formula's boolean."""
+    statuses = sorted({r[1] for r in rows}) + ["long-running status"]
+    text = lambda s: struct.pack("<HB", len(s), 0) + s.encode("latin-1")
+    shared = struct.pack("<ii", len(rows), len(statuses)) + b"".join(text(s) for s in statuses)
+    bof = _record(0x809, struct.pack("<HH", 0x500 if early else 0x600, 5) + bytes(12))
+    strings = _record(0xFC, shared[:-7]) + _record(0x3C, b"\x01" + shared[-7:].decode("latin-1").encode("utf-16-le"))
+    formats = _record(0x41E, struct.pack("<H", 164) + text("yyyy\\-mm\\-dd")) + _record(0xE0, struct.pack("<HH", 0, 0)) + _record(0xE0, struct.pack("<HH", 0, 164))
+    cells = []
+    for k, (key, status, cents, day, priority) in enumerate(rows):
+        at = lambda column, style=0: struct.pack("<HHH", k, column, style)  # noqa: E731, B023
+        cells.append(_record(0x203, at(0) + struct.pack("<d", key)))
+        cells.append(_record(0xFD, at(1) + struct.pack("<I", statuses.index(status))))
+        if cents < 1 << 29:
+            cells.append(_record(0x27E, at(2) + struct.pack("<I", cents << 2 | 3)))
+        else:
+            cells.append(_record(0x203, at(2) + struct.pack("<d", cents / 100)))
+        cells.append(_record(0xBD, struct.pack("<HH", k, 3) + struct.pack("<HIHI", 1, day << 2 | 2, 0, (k & 0xFFF) << 2 | 2) + struct.pack("<H", 4)))
+        cells.append(_record(0x06, at(5) + bytes(6) + b"\xff\xff" + bytes(6)) + _record(0x207, text(priority)))
+        cells.append(_record(0x06, at(6) + bytes([1, 0, int(status == "O"), 0, 0, 0]) + b"\xff\xff" + bytes(6)))
+        cells.append(_record(0x205, at(7) + bytes([(0, 7, 42)[key % 3], 1])))
+    front = bof + (_record(0x2F, bytes(6)) if locked else b"") + formats + strings
+    name = b"Orders"
+    begin = len(front) + 4 + 8 + len(name) + 4
+    sheet = _record(0x85, struct.pack("<iHBB", begin, 0, len(name), 0) + name) + _record(0x0A) + bof + b"".join(cells) + _record(0x0A)
+    return compound_file(front + sheet, "Book" if early else "Workbook")

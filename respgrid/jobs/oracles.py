@@ -96,10 +96,49 @@ serials AS (
   FROM lineitem
 )"""
 
+# Bodies of documents that are compressed by doc_id modulo 8, and what they hold.
+PACKED = r"""
+packed AS (
+  SELECT doc_id AS response_id, doc_id % 8 AS kind, strlen(coalesce(text, '')) AS n, coalesce(text, '') AS text FROM documents
+), opened AS (
+  SELECT *, kind < 4 AND n + CASE WHEN kind IN (1, 2) THEN 0 ELSE 72 END > 0 AS decompressed,
+         CASE WHEN kind IN (0, 3, 6) THEN 'PDF' WHEN kind IN (1, 2, 4) AND position('%PDF' IN left(text, 1028)) > 0 THEN 'PDF' WHEN kind IN (1, 4) THEN 'CSV' WHEN kind = 2 THEN 'TSV' ELSE 'UNKNOWN' END AS file_type,
+         CASE WHEN kind IN (1, 2, 4) THEN n ELSE n + 72 END AS size
+  FROM packed
+)"""
+
+# The workbooks of customers: rows of their orders, and which books are locked or early.
+EARLY_BOOKS = r"""
+book_orders AS (
+  SELECT o_custkey AS response_id, o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS price, CAST(o_orderdate AS DATE) AS day, o_orderpriority,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)), o_orderdate, o_orderpriority) - 1 AS row_idx
+  FROM orders
+), xls_cells AS (
+  SELECT response_id, 0 AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS col_idx,
+         unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', ''),
+                 strftime(day, '%Y-%m-%d'), CAST(row_idx % 4096 AS VARCHAR), o_orderpriority, CASE WHEN o_orderstatus = 'O' THEN 'TRUE' ELSE 'FALSE' END,
+                 ['#NULL!', '#DIV/0!', '#N/A'][CAST(o_orderkey % 3 AS INTEGER) + 1]]) AS text
+  FROM book_orders WHERE response_id % 11 <> 3
+)"""
+
 SQL: dict[str, str] = {
+    "d2_compressed_flags": f"WITH {PACKED} SELECT response_id, kind IN (0, 3, 5) AS gzip, kind IN (1, 2, 4) AS mentioned FROM packed",
+    "d3_expanded_bodies": f"""WITH {PACKED} SELECT response_id, file_type, file_type <> 'UNKNOWN' AND decompressed AS decompressed, CAST(CASE WHEN file_type = 'UNKNOWN' THEN 0 ELSE size END AS INTEGER) AS n_bytes,
+  sha256(CASE WHEN file_type = 'UNKNOWN' THEN '' WHEN kind IN (0, 3, 6) THEN '%PDF-1.7' || repeat(' ', 64) || text ELSE text END) AS digest, file_type <> 'UNKNOWN' AS has_length FROM opened""",
+    "d9_legacy_excel": """WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT k AS response_id, true AS excel FROM c UNION ALL SELECT -1 - k, k % 2 = 0 OR k % 3 = 0 FROM c)
+SELECT response_id, excel, CASE WHEN excel THEN 'XLS' ELSE 'UNKNOWN' END AS file_type FROM b""",
+    "d15_sniff_against_detect": f"WITH {PACKED} SELECT response_id, CASE WHEN kind = 5 THEN 'PDF' WHEN kind IN (1, 2) AND position('%PDF' IN left(text, 64)) = 0 THEN CASE kind WHEN 1 THEN 'CSV' ELSE 'TSV' END ELSE file_type END AS sniffed, file_type FROM opened",
+    "f10_expanded_header": f"WITH {PACKED} SELECT response_id, file_type AS type_badge, decompressed AS gzip, {HUMAN.format(n='size')} AS size, decompressed AS expanded FROM opened WHERE file_type <> 'UNKNOWN'",
+    "s4_xls_cells": f"WITH {EARLY_BOOKS} SELECT response_id, sheet_idx, row_idx, col_idx, text FROM xls_cells",
+    "x12_packed_numbers": f"WITH {EARLY_BOOKS} SELECT response_id, col_idx, round(sum(CAST(text AS DOUBLE)), 2) AS total, count(*) AS n FROM xls_cells WHERE col_idx IN (2, 4) GROUP BY ALL",
+    "x14_formula_values": f"WITH {EARLY_BOOKS} SELECT response_id, col_idx, text, count(*) AS n FROM xls_cells WHERE col_idx IN (5, 6) GROUP BY ALL",
+    "x16_xls_messages": f"""WITH {EARLY_BOOKS}, b AS (SELECT response_id, count(*) AS n FROM book_orders GROUP BY 1)
+SELECT response_id, 'errors' AS kind, 'Workbook is password protected' AS message FROM b WHERE response_id % 11 = 3
+UNION ALL SELECT response_id, 'warnings', 'Excel 5/95 workbook: text cells may render incorrectly' FROM b WHERE response_id % 11 = 4
+UNION ALL SELECT response_id, 'sheets', 'Orders ' || n || ' 8' FROM b WHERE response_id % 11 <> 3""",
     "s1_read_responses": f"WITH {PAGES} SELECT response_id, request_path, content_type, CAST(n AS INTEGER) AS n_bytes, n BETWEEN 1 AND 3000 AS ok FROM pages_r",
     "k1_savable_bodies": f"WITH {PAGES} SELECT response_id, file_type, coalesce(nullif(file_name, ''), 'response' || CASE file_type WHEN 'CSV' THEN '.csv' ELSE '.tsv' END) AS suggested_name, CAST(n AS INTEGER) AS n_bytes FROM pages_t WHERE file_type <> 'UNKNOWN' AND n > 0",
-    "k2_csv_export": f"WITH {ORDERS} SELECT CAST(response_id AS INTEGER) AS response_id, count(*) AS n_lines, CAST(sum(length(array_to_string(f, ','))) AS BIGINT) AS n_chars FROM told WHERE response_id % 100 = 0 GROUP BY response_id",
+    "k2_csv_export": f"WITH {ORDERS} SELECT CAST(response_id AS INTEGER) AS response_id, count(*) AS n_lines, CAST(sum(length(array_to_string(f, ','))) AS BIGINT) AS n_chars FROM told GROUP BY response_id",
     "s3_xlsx_cells": r"""WITH r AS (
   SELECT o_custkey AS response_id, o_orderkey, o_orderstatus, CAST(o_totalprice AS DECIMAL(12,2)) AS price,
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR)) - 1 AS row_idx FROM orders)
@@ -179,16 +218,18 @@ QUALIFY row_number() OVER (PARTITION BY l_orderkey % 97, l_orderkey % 50, l_line
 )
 SELECT coalesce(kept.response_id, cuts.response_id) AS response_id, coalesce(kept, -1) AS kept, coalesce(last_row, -1) AS last_row, coalesce(cut_at, -1) AS cut_at FROM kept FULL JOIN cuts ON kept.response_id = cuts.response_id""",
     "x10_assembled_cells": f"WITH {BOOKS} SELECT response_id, sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, col_idx, text FROM book_cells",
-    "x11_dense_rows": f"""WITH {BOOKS}, chosen AS (SELECT * FROM book_cells WHERE response_id % 5 = 0 AND row_idx % 3 > 0), lists AS (
+    "x11_dense_rows": f"""WITH {BOOKS}, chosen AS (SELECT * FROM book_cells), lists AS (
   SELECT response_id, row_idx, string_agg(text, '|' ORDER BY col_idx) AS cells, count(*) AS width FROM chosen GROUP BY ALL
 ), every AS (
   SELECT response_id, unnest(range(CAST(max(row_idx) + 1 AS BIGINT))) AS row_idx FROM chosen GROUP BY response_id
 )
 SELECT e.response_id, CAST(e.row_idx AS INTEGER) AS row_idx, coalesce(cells, '') AS cells, CAST(coalesce(width, 0) AS INTEGER) AS width FROM every e LEFT JOIN lists l ON e.response_id = l.response_id AND e.row_idx = l.row_idx""",
     "x15_out_of_bounds": "SELECT l_orderkey, count(*) AS cells FROM lineitem WHERE l_orderkey < 900 AND l_partkey < 150 GROUP BY 1",
-    "x17_all_cells": f"""WITH {ORDERS} SELECT response_id, CAST(sum(len(f)) AS BIGINT) AS cells, CAST(sum(length(array_to_string(f, ''))) AS BIGINT) AS chars FROM told GROUP BY response_id
+    "x17_all_cells": f"""WITH {ORDERS}, {EARLY_BOOKS} SELECT response_id, CAST(sum(len(f)) AS BIGINT) AS cells, CAST(sum(length(array_to_string(f, ''))) AS BIGINT) AS chars FROM told GROUP BY response_id
+UNION ALL
+SELECT -1 - o_custkey, count(*) * 3, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + length(regexp_replace(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''))) AS BIGINT) FROM orders GROUP BY o_custkey
 UNION ALL
-SELECT -1 - o_custkey, count(*) * 3, CAST(sum(length(CAST(o_orderkey AS VARCHAR)) + length(o_orderstatus) + length(regexp_replace(regexp_replace(CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', ''))) AS BIGINT) FROM orders GROUP BY o_custkey""",
+SELECT -1000000000 - response_id, count(*), CAST(sum(length(text)) AS BIGINT) FROM xls_cells GROUP BY response_id""",
     "g1_to_wide": f"""WITH {ORDERS} SELECT response_id, 0 AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, f[1] AS line, f[2] AS part, f[3] AS line_2, f[4] AS "D", f[5] AS "E", f[6] AS "F", '' AS "G" FROM told""",
     "g2_g3_header": f"WITH {ORDERS} SELECT response_id, CAST(row_idx + 1 AS INTEGER) AS source_row, 'line,part,quantity,price,flag,shipped' AS header, f[4] AS price FROM told WHERE row_idx > 0",
     "g4_filter": f"""WITH {ORDERS} SELECT response_id, CAST(row_idx + 1 AS INTEGER) AS source_row FROM told WHERE row_idx > 0 AND f[5] = 'R'

@@ -13,16 +13,20 @@ from respgrid.functions import detection as D
 from respgrid.functions import scalars as S
 from respgrid.jobs import fixtures as X
 from respgrid.limits import Limits
-from respgrid.operators import delimited, detect, grid, reports, workbook
-from respgrid.sources import responses, xlsx
+from respgrid.operators import delimited, detect, grid, reports, tables, workbook
+from respgrid.sources import responses, xls, xlsx
 from respgrid.streaming import triage
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    """A new path in the folder that the cluster shares; a local one only on one machine, as in tests, where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = f"file://{tempfile.gettempdir()}"
     return f"{shared.rstrip('/')}/respgrid-{name}-{uuid.uuid4().hex}"
 
 
@@ -44,7 +48,7 @@ def _order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _order_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Data rows with their header, and sheets."""
     parsed = _order_sheets(spark, sf_dir)
-    sheets = parsed.select("response_id", "sheet_idx", "name", F.size("cells").alias("n_rows"), "n_cols", "truncated")
+    sheets = parsed.select("response_id", "sheet_idx", "name", "n_rows", "n_cols", "truncated")
     return grid.promote_header(delimited.sheet_rows(parsed), sheets), sheets
 
 
@@ -118,6 +122,36 @@ def d15_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.sniff(X.docs(spark, sf_dir))
 
 
+def d2_compressed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.compressed(spark, sf_dir).select("response_id", D.is_gzip(F.col("body")).alias("gzip"), D.mentions_compression(F.col("content_type")).alias("mentioned"))
+
+
+def d3_expanded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _detected(X.compressed(spark, sf_dir))
+    return found.select("response_id", "file_type", "decompressed", F.length("expanded").alias("n_bytes"), F.sha2("expanded", 256).alias("digest"), (F.col("original_length") > 0).alias("has_length"))
+
+
+def d9_legacy_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.xls_bodies(spark, sf_dir)
+    # A container that has no workbook, too: it is legacy Excel by its headers only.
+    other = F.concat(F.unhex(F.lit(D.CFB)), F.encode(F.col("request_path"), "UTF-8"))
+    both = found.unionByName(found.withColumn("response_id", -1 - F.col("response_id")).withColumn("body", other))
+    named = both.withColumn("name", S.file_name(F.col("content_disposition"), F.col("request_path")))
+    return named.select("response_id", D.is_legacy_excel(F.col("body"), F.col("content_type"), F.col("name")).alias("excel"), D.classify(F.col("body"), F.col("content_type"), F.col("name")).alias("file_type"))
+
+
+def d15_sniff_against_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the end of a compressed body is damaged, its prefix still tells a type."""
+    bodies = X.compressed(spark, sf_dir)
+    cheap = detect.sniff(bodies, Limits(sniff_bytes=64)).withColumnRenamed("file_type", "sniffed")
+    return cheap.join(detect.detect(bodies).select("response_id", "file_type"), "response_id")
+
+
+def f10_expanded_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    header = detect.file_header(detect.renderable(_detected(X.compressed(spark, sf_dir))))
+    return header.select("response_id", "type_badge", "gzip", F.regexp_extract("meta", r"^(\S+ [KM]?B)(?: expanded from \S+ [KM]?B)?$", 1).alias("size"), F.contains("meta", F.lit("expanded from")).alias("expanded"))
+
+
 def d16_renderable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.renderable(detect.sniff(X.pages(spark, sf_dir)))
 
@@ -208,7 +242,7 @@ def c4_quoted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 def c6_capped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = Limits(rows=4, columns=5)
     parsed = delimited.parse_delimited(_detected(X.orders(spark, sf_dir)), limits)
-    return parsed.select("response_id", "name", F.size("cells").alias("n_rows"), "n_cols", "truncated")
+    return parsed.select("response_id", "name", "n_rows", "n_cols", "truncated")
 
 
 # Workbooks
@@ -284,16 +318,38 @@ def x15_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x17_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = _detected(X.orders(spark, sf_dir)).unionByName(_detected(X.xlsx_bodies(spark, sf_dir)).withColumn("response_id", -1 - F.col("response_id")))
-    tables = xlsx.xlsx_tables(both, scratch(spark, "xlsx"))
-    csv = delimited.cells_of_rows(delimited.sheet_rows(delimited.parse_delimited(both)))
-    return workbook.union_cells(csv, tables["cells"]).groupBy("response_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text")).alias("chars"))
+    books = X.xlsx_bodies(spark, sf_dir).withColumn("response_id", -1 - F.col("response_id"))
+    early = X.xls_bodies(spark, sf_dir).withColumn("response_id", -1_000_000_000 - F.col("response_id"))
+    both = _detected(X.orders(spark, sf_dir).unionByName(books).unionByName(early))
+    return tables.to_cells(both, scratch(spark, "tables")).groupBy("response_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text")).alias("chars"))
 
 
 def s3_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xlsx.xlsx_tables(_detected(X.xlsx_bodies(spark, sf_dir)), scratch(spark, "xlsx"))["cells"]
 
 
+def s4_xls_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in 32 bits, formulas' cached values and strings cut by a continuation, through the reader of legacy workbooks."""
+    return xls.xls_tables(_detected(X.xls_bodies(spark, sf_dir)), scratch(spark, "xls"))["cells"].select("response_id", "sheet_idx", "row_idx", "col_idx", "text")
+
+
+def x14_formula_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = xls.xls_tables(_detected(X.xls_bodies(spark, sf_dir)), scratch(spark, "xls"))["cells"]
+    return cells.where(F.col("col_idx").isin(5, 6)).groupBy("response_id", "col_idx", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def x12_packed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = xls.xls_tables(_detected(X.xls_bodies(spark, sf_dir)), scratch(spark, "xls"))["cells"]
+    return cells.where(F.col("col_idx").isin(2, 4)).groupBy("response_id", "col_idx").agg(F.round(F.sum(F.col("text").cast("double")), 2).alias("total"), F.count(F.lit(1)).alias("n"))
+
+
+def x16_xls_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = xls.xls_tables(_detected(X.xls_bodies(spark, sf_dir)), scratch(spark, "xls"))
+    kinds = [tables[kind].select("response_id", F.lit(kind).alias("kind"), "message") for kind in ("warnings", "errors")]
+    shape = tables["sheets"].select("response_id", F.lit("sheets").alias("kind"), F.concat_ws(" ", "name", "n_rows", "n_cols").alias("message"))
+    return kinds[0].unionByName(kinds[1]).unionByName(shape)
+
+
 # The grid
 
 
@@ -379,6 +435,7 @@ def t2_latest_per_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: list[Query] = [
     s1_read_responses, k1_savable_bodies, k2_csv_export, s3_xlsx_cells,
+    d2_compressed_flags, d3_expanded_bodies, d9_legacy_excel, d15_sniff_against_detect, f10_expanded_header, s4_xls_cells, x12_packed_numbers, x14_formula_values, x16_xls_messages,
     d4_d6_file_name, d7_pdf_marker, d10_declared_type, d11_mostly_printable, d12_guess_delimiter, d13_classify_orders, d14_detect, d15_sniff, d16_renderable, d18_open_status,
     f1_number_text, f2_date_serial_text, f3_f4_date_formats, f5_clamp_cell, f6_as_number, f7_f8_columns, f9_human_bytes, f10_f13_file_header, f11_suggested_name, f12_csv_quote,
     c2_delimiter_of_orders, c3_order_cells, c4_quoted_fields, c6_capped_rows,

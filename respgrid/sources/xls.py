@@ -13,8 +13,7 @@ from respgrid.functions import scalars as S
 from respgrid.limits import DEFAULT, Limits
 from respgrid.operators import workbook
 
-# The container's marks, and record ids.
-FREE, END_OF_CHAIN = 0xFFFFFFFF, 0xFFFFFFFE
+# Record ids.
 BOF, EOF, BOUNDSHEET, SST, CONTINUE, FILEPASS, DATEMODE, XF, FORMAT = 0x809, 0x0A, 0x85, 0xFC, 0x3C, 0x2F, 0x22, 0xE0, 0x41E
 LABELSST, LABEL, RSTRING, NUMBER, RK, MULRK, BOOLERR, FORMULA, STRING = 0xFD, 0x204, 0xD6, 0x203, 0x27E, 0xBD, 0x205, 0x06, 0x207
 FIELDS = [
@@ -23,99 +22,93 @@ FIELDS = [
 ]
 SCHEMA = "response_id long, kind string, sheet_idx int, ord int, row_idx int, col_idx int, style_idx int, number double, code int, flag boolean, text string"
 BATCH = 4096
+# What users are told, in the words that results must have.
+LOCKED, NO_STREAM = "Workbook is password protected", "Not an .xls workbook: no Workbook stream in the container"
+IMPLAUSIBLE, CUT_SHORT = "Shared string table declares an implausible size; strings may be missing", "Shared string table ended early after {} of {} strings"
+EARLY, UNREADABLE = "Excel 5/95 workbook: text cells may render incorrectly", 'Sheet "{}" could not be read: {}'
 
 
 def _u16(data: bytes, at: int) -> int:
     return struct.unpack_from("<H", data, at)[0]
 
 
-def _chain(sector: int, table: tuple[int, ...], what: str) -> Iterator[int]:
-    steps = 0
-    while sector < 0x80000000:  # not the end of the chain, free or damaged
-        if steps > len(table):
-            raise ValueError(f"cyclic {what} chain")
-        yield sector
-        if sector >= len(table):
-            raise ValueError(f"{what} chain leaves the allocation table")
-        sector, steps = table[sector], steps + 1
+#: The head of a compound file, as its format is published: sector shifts, how many allocation tables, where the directory begins,
+#: the least size of a stream in large sectors, begin and length of the small sectors' table and of the list of more tables, and the first tables' places.
+HEAD = struct.Struct("<30x2H10xII4xIIIII109I")
+#: A directory entry: name, its bytes with the end mark, kind, first sector, size.
+ENTRY = struct.Struct("<64sHB49xII4x")
+
+
+def _numbers(raw: bytes) -> tuple[int, ...]:
+    return struct.unpack(f"<{len(raw) // 4}I", raw[: len(raw) // 4 * 4])
+
+
+def _follow(first: int, links: tuple[int, ...], kind: str) -> list[int]:
+    """The sectors of a chain in order; it ends at any mark that is no sector's number."""
+    seen: dict[int, None] = {}
+    while first < 0x80000000:
+        if first in seen:
+            raise ValueError(f"{kind} sectors form a cyclic chain")
+        if first >= len(links):
+            raise ValueError(f"a chain of {kind} sectors runs past its table")
+        seen[first] = None
+        first = links[first]
+    return list(seen)
 
 
 class Container:
     """A compound file: its streams by name."""
 
     def __init__(self, data: bytes, limits: Limits = DEFAULT):
-        if len(data) < 512:
-            raise ValueError("file is shorter than a CFB header")
-        self.data, self.most = data, limits.unzipped_bytes
-        large, small = struct.unpack_from("<HH", data, 30)
-        if not (7 <= large <= 20 and 4 <= small <= large):
-            raise ValueError("implausible CFB sector size")
-        self.size, self.mini_size = 1 << large, 1 << small
-        n_fat, directory = struct.unpack_from("<iI", data, 44)
-        self.cutoff, mini_at, n_mini, more_at, n_more = struct.unpack_from("<iIiIi", data, 56)
-        if n_fat < 0 or n_fat * self.size >= len(data) + self.size:
-            raise ValueError("FAT sector count exceeds the file")
-        listed = list(struct.unpack_from("<109I", data, 76))
-        each = self.size // 4
-        sectors = self._listed(listed, n_fat)
-        for _ in range(max(0, n_more)):
-            if more_at in (FREE, END_OF_CHAIN):
-                break
-            block = struct.unpack(f"<{each}I", self._sector(more_at, whole=True))
-            sectors += self._listed(block[:-1], n_fat - len(sectors))
-            more_at = block[-1]
-        self.fat = tuple(x for s in sectors for x in struct.unpack(f"<{each}I", self._sector(s, whole=True)))
-        self.mini_fat: tuple[int, ...] = ()
-        if mini_at != END_OF_CHAIN and n_mini > 0:
-            raw = self._read(mini_at, n_mini * self.size)
-            self.mini_fat = struct.unpack(f"<{len(raw) // 4}I", raw[: len(raw) // 4 * 4])
-        self.entries = []
-        raw = self._read(directory, self.most)
-        for at in range(0, len(raw) // 128 * 128, 128):
-            length, kind = struct.unpack_from("<HB", raw, at + 64)
-            if kind:
-                name = raw[at : at + max(0, min(length, 64) - 2)].decode("utf-16-le", "replace")
-                self.entries.append((name, kind, *struct.unpack_from("<II", raw, at + 116)))
-        root = next((e for e in self.entries if e[1] == 5), None)
-        self.mini = self._read(root[2], root[3]) if root else b""
-
-    @staticmethod
-    def _listed(block, most: int) -> list[int]:
-        out = []
-        for sector in block:
-            if len(out) >= most or sector in (FREE, END_OF_CHAIN):
-                break
-            out.append(sector)
+        if len(data) < HEAD.size:
+            raise ValueError("no room for the head of a compound file")
+        shift, small_shift, n_tables, directory, self.cutoff, small_first, n_small, more, n_more, *places = HEAD.unpack_from(data)
+        if shift not in range(7, 21) or small_shift not in range(4, shift + 1):
+            raise ValueError("sector sizes out of range")
+        self.data, self.most, self.size, self.small = data, limits.unzipped_bytes, 1 << shift, 1 << small_shift
+        self.links = _numbers(b"".join(self._sector(p, full=True) for p in self._places(places, more, n_more)[:n_tables]))
+        found = {}
+        for raw, length, kind, first, size in ENTRY.iter_unpack(self._cut(self._large(directory))):
+            name = raw[: max(0, min(length, 64) - 2)].decode("utf-16-le", "replace")
+            # The root's chain holds all small sectors; of streams of one name the first counts.
+            found.setdefault("" if kind == 5 else name if kind == 2 else None, (first, size))
+        self.streams, root = found, found.get("")
+        self.small_links = _numbers(self._large(small_first)[: n_small * self.size]) if n_small and small_first < 0x80000000 else ()
+        self.small_sectors = self._large(root[0])[: root[1] or None] if root else b""
+
+    def _places(self, listed: list[int], more: int, n_more: int) -> list[int]:
+        """Where the allocation tables are: those that the head lists, and those in the list's further sectors."""
+        out, visited = [p for p in listed if p < 0x80000000], set()
+        while more < 0x80000000 and len(visited) < n_more and more not in visited:
+            visited.add(more)
+            *block, more = _numbers(self._sector(more, full=True))
+            out += [p for p in block if p < 0x80000000]
         return out
 
-    def _sector(self, sector: int, whole: bool = False) -> bytes:
-        at = (sector + 1) * self.size
-        out = self.data[at : at + self.size]
-        if not out or whole and len(out) < self.size:
-            raise ValueError("FAT chain points past the end of the file")
+    def _sector(self, number: int, full: bool = False) -> bytes:
+        out = self.data[(number + 1) * self.size :][: self.size] if (number + 1) * self.size < len(self.data) else b""
+        if len(out) < (self.size if full else 1):
+            raise ValueError("a sector lies outside the file")
         return out
 
-    def _read(self, first: int, size: int) -> bytes:
-        out = bytearray()
-        for sector in _chain(first, self.fat, "FAT"):
-            out += self._sector(sector)
-            if len(out) >= self.most:
-                break
-        return bytes(out[:size] if size > 0 else out)
+    @staticmethod
+    def _cut(raw: bytes) -> bytes:
+        return raw[: len(raw) // ENTRY.size * ENTRY.size]
+
+    def _large(self, first: int) -> bytes:
+        sectors = _follow(first, self.links, "large")
+        return b"".join(self._sector(k) for k in sectors[: -(-self.most // self.size)])
 
     def stream(self, name: str) -> bytes | None:
-        for found, kind, first, size in self.entries:
-            if kind == 2 and found == name:
-                if size >= self.cutoff or not self.mini_fat:
-                    return self._read(first, size)
-                out = bytearray()
-                for sector in _chain(first, self.mini_fat, "MiniFAT"):
-                    block = self.mini[sector * self.mini_size :][: self.mini_size]
-                    if not block:
-                        raise ValueError("MiniFAT chain points past the end of the mini stream")
-                    out += block
-                return bytes(out[:size] if size > 0 else out)
-        return None
+        if name not in self.streams:
+            return None
+        first, size = self.streams[name]
+        if size >= self.cutoff or not self.small_links:
+            return self._large(first)[: size or None]
+        blocks = [self.small_sectors[k * self.small :][: self.small] for k in _follow(first, self.small_links, "small")]
+        if not all(blocks):
+            raise ValueError("a small sector lies outside their stream")
+        return b"".join(blocks)[: size or None]
 
 
 def _records(stream: bytes, at: int) -> Iterator[tuple[int, bytes, int]]:
@@ -248,12 +241,12 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
     stream = container.stream("Workbook")
     stream = container.stream("Book") if stream is None else stream
     if stream is None:
-        raise ValueError("Not an .xls workbook: no Workbook stream in the container")
+        raise ValueError(NO_STREAM)
     strings: list[str] = []
     bound, warnings, version, date1904, styles, formats = [], [], 0x600, False, 0, 0
     for kind, data, after in _records(stream, 0):
         if kind == FILEPASS:
-            raise ValueError("Workbook is password protected")
+            raise ValueError(LOCKED)
         if kind == EOF:
             break
         if kind == BOF and len(data) >= 2:
@@ -274,7 +267,7 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
         elif kind == SST and len(data) >= 8:
             count = struct.unpack_from("<i", data, 4)[0]
             if not 0 <= count <= limits.shared_strings:
-                warnings.append("Shared string table declares an implausible size; strings may be missing")
+                warnings.append(IMPLAUSIBLE)
                 continue
             blocks = [data[8:]]
             for more, block, _ in _records(stream, after):
@@ -287,10 +280,10 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
                 try:
                     strings[i] = shared.next()
                 except (EOFError, struct.error):
-                    warnings.append(f"Shared string table ended early after {i} of {count} strings")
+                    warnings.append(CUT_SHORT.format(i, count))
                     break
     if version and version < 0x600:
-        warnings.append("Excel 5/95 workbook: text cells may render incorrectly")
+        warnings.append(EARLY)
     yield {"kind": "book", "flag": date1904}
     sheets = 0
     for name, offset in bound:
@@ -298,7 +291,7 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
         try:
             found.extend(_sheet(stream, offset, strings))
         except (struct.error, IndexError) as error:
-            warnings.append(f'Sheet "{name}" could not be read: {error}')
+            warnings.append(UNREADABLE.format(name, error))
             continue
         yield {"kind": "sheet", "sheet_idx": sheets, "text": name}
         yield from ({"kind": "cell", "sheet_idx": sheets, "ord": k} | c for k, c in enumerate(found))

@@ -73,7 +73,8 @@ def machine(text, d):
 
 def parse(spark, bodies, limits=Limits(), content_type="text/csv"):
     found = delimited.parse_delimited(detect.detect(responses(spark, bodies, content_type)), limits)
-    return {r["response_id"]: r for r in found.collect()}
+    rows = delimited.sheet_rows(found, limits).orderBy("response_id", "row_idx").collect()
+    return {r["response_id"]: r.asDict() | {"cells": [x["cells"] for x in rows if x["response_id"] == r["response_id"]]} for r in found.collect()}
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
