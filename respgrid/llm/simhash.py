@@ -7,6 +7,10 @@ Hamming distance and gives for each connected group under a key a star of links,
 pairs: a fingerprint's verified neighbours leave the list of those yet to be compared, so
 that a dense group of near copies costs few passes. Components are then found by alternating large and
 small stars on the links.
+
+A key that more than HOT fingerprints have is cut further: its other bits make five sub-blocks, one of which
+any two linked fingerprints share, so that no task compares all that such a key holds. Rows of a star's middle
+are joined by a shuffle whose skewed partitions Spark splits.
 """
 
 from __future__ import annotations
@@ -20,11 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from respgrid.llm.common import stored, text_or_empty, without
+from respgrid.llm.common import small, stored, text_or_empty, without
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Widths of the blocks, from the lowest bit.
 BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Fingerprints under one key from which on it is cut further.
+HOT = 4096
 #: Shingles whose bits are counted at once.
 AT_ONCE = 65_536
 
@@ -115,13 +121,34 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield got
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _sub_masks(mask: int) -> list[int]:
+    """mask with one of DISTANCE + 1 parts of the other bits, each in turn."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    cuts = [len(rest) * k // (DISTANCE + 1) for k in range(DISTANCE + 2)]
+    return [mask | sum(1 << b for b in rest[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp): as many as connect all that are within DISTANCE."""
     begins = np.cumsum([0, *BLOCKS[:-1]]).tolist()
-    masks = [((1 << w) - 1) << b for w, b in zip(BLOCKS, begins, strict=True)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = [F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(signed(x | y))).alias("key")) for i, (x, y) in enumerate(combinations(masks, 2))]
+    blocks = [((1 << w) - 1) << b for w, b in zip(BLOCKS, begins, strict=True)]
+    pairs = [x | y for x, y in combinations(blocks, 2)]
+    keys = [F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(pairs)]
     under = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.pair", "k.key", "fp")
+    crowded = stored(under.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "hot-keys")
+    if not crowded.isEmpty():
+        masks = F.array(*[F.lit(_signed(m)) for pair in pairs for m in _sub_masks(pair)])
+        parts = F.transform(
+            F.sequence(F.lit(0), F.lit(DISTANCE)),
+            lambda i: F.struct((F.lit(len(pairs)) + F.col("pair") * (DISTANCE + 1) + i).alias("pair"), F.col("fp").bitwiseAND(masks[F.col("pair") * (DISTANCE + 1) + i]).alias("key")),
+        )
+        few = small(crowded)
+        cut = under.join(few, ["pair", "key"], "left_semi").select("fp", F.explode(parts).alias("k")).select("k.pair", "k.key", "fp")
+        under = under.join(few, ["pair", "key"], "left_anti").unionByName(cut)
     return under.repartition("pair", "key").sortWithinPartitions("pair", "key").mapInArrow(_links, "a long, b long").distinct()
 
 

@@ -3,7 +3,11 @@
 The cache is a table of (text digest, digest of the tokenizer's file) -> count. Texts are
 digested in the JVM and joined to it; of the digests that it lacks, one text each is encoded, and
 the new counts are appended. All rows then take their counts from the cache. A tokenizer whose
-file differs has another version digest, so that old counts are never used for it.
+file differs has another version digest, so that old counts are never used for it. Writers that run
+at once may append a digest twice: a reader takes each once.
+
+With a warm cache no text moves and none is encoded. Where few are missing, their digests go to the
+texts; only where many are, the texts are shuffled to them.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respgrid.llm import encoding
-from respgrid.llm.common import shared_dir, stored, text_or_empty
+from respgrid.llm.common import shared_dir, small, stored, text_or_empty
 
+#: Up to so many missing digests are broadcast.
+FEW_MISSES = 20_000
 CACHE = "text_digest binary, tokenizer_digest string, n_tokens long"
 
 
@@ -59,14 +65,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str | None = None) -> D
 
     def cached() -> DataFrame:
         found = spark.read.schema(CACHE).parquet(cache) if _exists(spark, cache) else spark.createDataFrame([], CACHE)
-        return found.where(F.col("tokenizer_digest") == version).select("text_digest", "n_tokens")
+        return found.where(F.col("tokenizer_digest") == version).groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
 
     # Rows become one for each digest before they meet the cache: a digest that many rows have is no hot key.
     distinct = rows.groupBy("text_digest").agg(F.min("doc_id").alias("__doc"))
-    misses = distinct.join(cached(), "text_digest", "left_anti")
-    # The texts of one row for each missing digest; (digest, doc_id) has no hot value.
-    same = (texts["text_digest"] == misses["text_digest"]) & texts["doc_id"].eqNullSafe(misses["__doc"])
-    wanted = texts.join(misses.hint("shuffle_hash"), same, "left_semi").select("text_digest", "text")
-    new = wanted.mapInArrow(_counts(tokenizer), "text_digest binary, n_tokens long").groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
-    new.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
+    misses = stored(distinct.join(cached(), "text_digest", "left_anti").withColumnRenamed("text_digest", "__digest"), "token-misses")
+    if not misses.isEmpty():
+        # The texts of one row for each missing digest; (digest, doc_id) has no hot value.
+        same = (texts["text_digest"] == misses["__digest"]) & texts["doc_id"].eqNullSafe(misses["__doc"])
+        wanted = texts.join(small(misses, FEW_MISSES), same, "left_semi").select("text_digest", "text")
+        new = wanted.mapInArrow(_counts(tokenizer), "text_digest binary, n_tokens long").groupBy("text_digest").agg(F.min("n_tokens").alias("n_tokens"))
+        new.select("text_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache)
     return rows.join(cached(), "text_digest").select("doc_id", "n_bytes", "text_digest", "n_tokens")

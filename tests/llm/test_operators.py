@@ -111,9 +111,22 @@ def test_token_counts(spark, docs, empty, tmp_path):
     stored = spark.read.parquet(cache).count()
     assert stored == len({t or "" for (t,) in listed(docs.select("text"))})
     assert count(docs) == want and spark.read.parquet(cache).count() == stored  # no miss, nothing appended
+    # Two writers that ran at once have appended the same digests.
+    spark.read.parquet(cache).write.mode("append").parquet(cache)
+    assert count(docs) == want
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(70, "a new text")], "doc_id long, text string"))
+    before = spark.read.parquet(cache).count()
+    assert count(more) == sorted([*want, ("70", 10, len(model.encode("a new text")))]) and spark.read.parquet(cache).count() == before + 1
     assert count(empty) == []
 
 
+def test_many_misses_are_shuffled(spark, docs, monkeypatch):
+    path = tokenizer("piece_bpe_32k.model")
+    few = sorted(map(str, listed(token_counts.count_tokens(docs, path).drop("text_digest"))))
+    monkeypatch.setattr(token_counts, "FEW_MISSES", 0)
+    assert sorted(map(str, listed(token_counts.count_tokens(docs, path).drop("text_digest")))) == few
+
+
 def test_word_encoders_against_the_libraries():
     import pyarrow as pa
     from sentencepiece import SentencePieceProcessor
@@ -224,19 +237,63 @@ def test_mixing(spark, docs, empty, weights):
     assert mixing.mixed(empty, weights).count() == 0
 
 
+def plain_form(text):
+    """The canonical form of a text, step by step."""
+    lines = []
+    for line in re.split(r"[\n\r]+", text or ""):
+        if re.match(r"[^\w©(]*(?:portions )?(?:copyright|copr\.|©|\(c\))(?!\w).*(?:[12][0-9]{3}|\(c\)|©|<year>|\[yyyy\])", line, re.I) and len(line) <= 200:
+            continue
+        if len(line) <= 200 and re.match(r"[^\w©(]*(?:portions )?copyright\W+(?:(?:authors|contributors)|.*(?:authors|contributors))\W*$", line, re.I):
+            continue
+        if len(line) <= 200 and re.search("[a-z]", line) and re.match(r"[^\w©(]*[Cc][Oo][Pp][Yy][Rr][Ii][Gg][Hh][Tt]\W+(?:by )?(?!(?i:notice|holder|owner|law|and\b|or\b))(?:[A-Z][\w.&'’-]*[, ]*){1,6}$", line):
+            continue
+        if re.match(r"[^\w©(]*all rights reserved\W*$", line, re.I):
+            continue
+        line = re.sub(r"^\W*(?:[0-9]{1,2}|[a-z]|[ivx]{1,4})[.)](?=\s)", " ", line.lower())
+        if plain := " ".join(re.findall(r"[^\W_]+", line)):
+            for variant, one in license_scan.SPELLINGS:
+                plain = re.sub(rf"(?<!\S){variant}(?!\S)", one, plain)
+            lines.append(plain)
+    whole = " ".join(lines)
+    for variant, one in license_scan.SPELLINGS:
+        if " " in variant:
+            whole = re.sub(rf"(?<!\S){variant}(?!\S)", one, whole)
+    return lines, whole
+
+
 def test_licenses(spark, docs, empty):
     known = license_scan.registry(spark)
-    mit = license_scan.MIT
+    built_in = license_scan.built_in()
+    mit, bsd, apache = license_scan.MIT, license_scan.BSD_LIST + license_scan.BSD_NAMES + license_scan.BSD_WARRANTY, dict(built_in)["Apache-2.0"]
+    apache = next(t for k, t in built_in if k == "Apache-2.0" and len(t) > 1000)
     texts = {
         900: mit, 901: "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), 902: "The MIT Licence (MIT)\n© 1999 X\n" + mit.replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), 903: mit + " and more",
         904: "Some text\nReleased under the MIT Licence.\nMore\nreleased under the mit license", 905: license_scan.ISC, 906: "Copyright 2020 Only",
+        907: "Copyright Jane Doe\n" + mit, 908: "Copyright The X Authors\nAll rights reserved.\n\n" + bsd.replace("3. ", "c) "), 909: apache.replace("\n", "\r\n").upper(), 910: "x " + apache, 911: apache * 300,
+        912: mit.replace("COPYRIGHT HOLDERS", "\nCOPYRIGHT HOLDERS"), 913: "This file is licensed under the LGPLv2.1.",
     }
-    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    texts |= {2000 + i: f"Copyright (c) {1990 + i % 30} A. Person\n{t}" for i, (_, t) in enumerate(built_in)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("lines", F.lit("clash")).withColumn("digest", F.lit(1))
     found = {r["doc_id"]: r for r in license_scan.scan_licenses(df, known).collect()}
-    assert [found[i]["license_id"] for i in range(900, 907)] == ["MIT", "MIT", "MIT", None, None, "ISC", None]
+    assert [found[i]["license_id"] for i in range(900, 914)] == ["MIT", "MIT", "MIT", None, None, "ISC", None, "MIT", "BSD-3-Clause", "Apache-2.0", None, None, "MIT", "LGPL-2.1"]
     assert found[904]["notice_ids"] == ["MIT"] and found[904]["n_notices"] == 2 and found[906]["n_notices"] == 0
-    assert license_scan.scan_licenses(docs, known).count() == docs.count()
+    # All rows against the plain form's lookup.
+    ids, notices = {}, {}
+    for key, text in built_in:
+        lines, whole = plain_form(text)
+        ids[whole] = min(key, ids.get(whole, key))
+        if len(lines) == 1:
+            notices[whole] = min(key, notices.get(whole, key))
+    every = df.select("doc_id", "text").unionByName(docs.select("doc_id", "text"))
+    want = []
+    for d, t in listed(every):
+        lines, whole = plain_form(t)
+        hits = [notices[x] for x in lines if x in notices]
+        want.append((str(d), hashlib.sha256(whole.encode()).hexdigest(), ids.get(whole), tuple(sorted(set(hits))), len(hits)))
+    got = [(str(r["doc_id"]), r["text_digest"], r["license_id"], tuple(r["notice_ids"]), r["n_notices"]) for r in license_scan.scan_licenses(every, known).collect()]
+    assert collections.Counter(got) == collections.Counter(want)
     assert license_scan.scan_licenses(empty, known).count() == 0
+    assert license_scan.scan_licenses(docs, license_scan.registry(spark, [])).where("license_id is not null or n_notices > 0").count() == 0
 
 
 def test_pitman_yor(spark, docs, empty):
@@ -314,13 +371,14 @@ def test_simhash(spark, docs, empty):
     assert simhash.near_groups(empty).count() == 0 and simhash.drop_near_copies(docs).columns == docs.columns
 
 
-def test_links_lose_none(spark):
+@pytest.mark.parametrize("hot", [simhash.HOT, 3])
+def test_links_lose_none(spark, hot):
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(40)]
     fps = list(dict.fromkeys([*base, *[b ^ sum(1 << k for k in r.sample(range(64), r.randrange(1, 7))) for b in base for _ in range(12)]]))
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     df = spark.createDataFrame([(x,) for x in signed], "fp long")
-    roots = dict(listed(simhash.components(simhash.links(df))))
+    roots = dict(listed(simhash.components(simhash.links(df, hot))))
     parent = {x: x for x in fps}
 
     def find(x):
