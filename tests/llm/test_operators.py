@@ -197,10 +197,71 @@ def test_quality_rules(spark, docs, empty):
     assert ngram_quality.judged(empty).count() == 0
 
 
-def test_kneser_ney_sums_to_one():
-    codes, counts = np.unique(ngram_quality._framed([b"abracadabra", b"", b"banana bandana"])[0], return_counts=True)
-    p = 10 ** ngram_quality.Model(codes, counts).table().astype(float).reshape(65536, 256)
-    assert np.allclose(p.sum(axis=1), 1, atol=1e-4) and (p > 0).all()
+def plain_model(texts):
+    """Modified Kneser-Ney probabilities by recursion over dictionaries."""
+    order = ngram_quality.ORDER
+    counts = {order: collections.Counter()}
+    for t in texts:
+        framed = b"\xff" * (order - 1) + t + b"\xfe"
+        counts[order].update(framed[i : i + order] for i in range(len(framed) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = collections.Counter(g[1:] for g in counts[k + 1])
+    taken = {k: ngram_quality.discounts([sum(v == n for v in c.values()) for n in (1, 2, 3, 4)]) for k, c in counts.items()}
+    after = {k: collections.defaultdict(list) for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            after[k][g[:-1]].append(n)
+
+    def p(g):
+        if not g:
+            return 1 / 256
+        k, own = len(g), after[len(g)].get(g[:-1])
+        if not own:
+            return p(g[1:])
+        d = taken[k]
+        return (max(counts[k][g] - d[min(counts[k][g], 3)], 0) + sum(d[min(n, 3)] for n in own) * p(g[1:])) / sum(own)
+
+    return p
+
+
+def mean_by(p, text):
+    framed = b"\xff" * (ngram_quality.ORDER - 1) + text + b"\xfe"
+    return -sum(math.log10(p(framed[i - ngram_quality.ORDER + 1 : i + 1])) for i in range(ngram_quality.ORDER - 1, len(framed))) / (len(text) + 1)
+
+
+def test_perplexity_and_bands_against_plain(spark):
+    r = random.Random(4)
+    texts = [(i, words(60 + i, i, 90).replace("w", r.choice(["ab", "ba"])), "en" if i % 3 else "de") for i in range(60)]
+    texts += [(100, " ".join("%$#" + str(r.randrange(10**6)) for _ in range(80)), "en"), (101, " ".join(["w1 w2", "w1 w3"][r.randrange(2)] for _ in range(90)), "de"), (102, None, "en")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    found = {x["doc_id"]: x for x in ngram_quality.judged(docs.repartition(5)).collect()}
+    p = plain_model([(t or "").encode() for _, t, _ in texts])
+    for d, t, _ in texts:
+        assert abs(found[d]["log_perplexity"] - mean_by(p, (t or "").encode())) < 1e-9
+    for lang in ("en", "de"):
+        own = [d for d, _, x in texts if x == lang and not found[d]["base_failed"]]
+        value = {d: found[d]["log_perplexity"] for d in own}
+        middle = np.median(list(value.values()))
+        at_length = {d: (value[d] - middle) / math.sqrt(1 + ngram_quality.SHORT / len(dict((i, t) for i, t, _ in texts)[d])) for d in own}
+        spread = max(1.4826 * np.median([abs(x) for x in at_length.values()]), ngram_quality.LEAST_SPREAD)
+        for d in own:
+            # A histogram's bins stand for the values.
+            assert abs(found[d]["deviation"] - at_length[d] / spread) < (2 * ngram_quality.BIN + 0.15 * abs(at_length[d])) / spread
+            assert found[d]["kept"] == (abs(found[d]["deviation"]) <= 3.5)
+    assert found[100]["deviation"] > 2 and not found[102]["kept"]
+    assert {d: x["log_perplexity"] for d, x in found.items()} == {x["doc_id"]: x["log_perplexity"] for x in ngram_quality.judged(docs.repartition(2)).collect()}
+
+
+@pytest.mark.parametrize("most", [10**6, 40])
+def test_kneser_ney_sums_to_one(spark, most):
+    texts = ["abracadabra", "", "banana bandana"]
+    model = ngram_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), most)
+    assert all(len(codes) <= most for codes, *_ in model.orders)
+    contexts = [b"\xff\xff\xff\xff", b"abra", b"bana", b"zzzz", b"dana"]
+    for c in contexts:
+        codes = np.array([int.from_bytes(c + bytes([b]), "big") for b in range(256)], np.int64)
+        p = model.probability(codes)
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
 def test_exact_dedup(spark, docs, empty):
