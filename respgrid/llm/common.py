@@ -35,17 +35,27 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[key]}"
 
 
+def written(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "snappy") -> str:
+    """The path of a new table in the shared folder, to which df is written."""
+    path = f"{shared_dir(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    return path
+
+
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None, codec: str = "snappy") -> DataFrame:
     """df, written to a new table in the shared folder and read again.
 
     This cuts the lineage: what was computed survives the loss of any executor, and is
     computed once however often it is read.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name, partition_by, codec))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

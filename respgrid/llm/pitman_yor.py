@@ -1,189 +1,433 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each word is drawn in the restaurant of its context, the class of the word before it; all contexts
-share one parent, the restaurant of the words without context, whose base is uniform over the
-vocabulary and one unknown word. Customers of a context are the training counts of (context,
-word); its tables are customers of the parent. Gibbs sweeps seat them anew, and the
-predictive probabilities are averaged over the samples taken after the burn-in.
-
-Nothing in it is sized by one machine. Documents are read once, in groups: a group lists its distinct
-(word, context) pairs with training counts, split into buckets by the word's hash, and keeps its
-texts as indexes of these pairs. A bucket merges the pairs of all groups. Given the totals of each restaurant,
-words are independent of each other, so buckets sample in parallel, with totals estimated from their
-own words, which a hash has drawn at random; the exact totals of each sample are then summed over
-the buckets, and a second run with the same seeds gives each group the probabilities of its pairs, so that they
-sum to one over the vocabulary. What moves is proportional to the distinct pairs of the groups.
+Each word before another is a context with a restaurant of its own, whose dishes are the words that follow
+it and whose customers are the training tokens. The tables of all restaurants are the customers of one
+parent, the restaurant of the words without context, whose base is uniform over the vocabulary and one
+unknown word. Gibbs sweeps seat the customers anew:
+
+  - given a restaurant's tables T, an auxiliary g is drawn from Gamma(strength / discount + T);
+  - given g and the parent's probability p of a dish, the tables t of its c customers are independent
+    of all other dishes, with weights S(c, t) (discount * g * p)^t, S the generalised Stirling numbers. Up to LIMIT
+    customers these are tabled and t is drawn exactly; beyond, t - 1 is drawn from the Poisson law that they go
+    over to, with the mean that fits S(c, 2) / S(c, 1) (within 7 % where both are known);
+  - the parent is seated in the same way, and its probabilities follow from its customers and tables.
+
+So a sweep needs nothing but each restaurant's T and the parent's probabilities. A dish with one customer has one
+table for good, so that sweeps go over pairs of count two and more. The predictive probability takes the expected
+tables instead of drawn ones, sums to one over vocabulary and unknown word, and is averaged over the
+samples after the burn-in. Discounts are estimated from the counts of counts, as n1 / (n1 + 2 n2).
+
+Texts are read once, in chunks. A chunk's distinct pairs go to buckets by their context, which count them over all
+chunks and send back nothing but the counts; its words go to buckets in the same way. The number of buckets, the
+hashes' width and all seeds follow from the input's bytes, so that the scores are the same however rows are dealt. A bucket
+holds the contexts of some BUCKET_BYTES of text: a context lies in one bucket, with at most as many dishes as there are words.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import math
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respgrid.llm import encoding
-from respgrid.llm.common import stored, text_or_empty
-
-#: Classes of context words; bytes of text in a group.
-CONTEXTS, GROUP_BYTES = 64, 16_000_000
-#: Discounts and strengths: of the contexts, of their parent.
-DISCOUNT, STRENGTH, PARENT_DISCOUNT, PARENT_STRENGTH = 0.85, 1.0, 0.8, 1.0
-BURN_IN, SAMPLES, SEED = 3, 4, 20_231
-#: Customers that are seated one by one; later ones are seated in blocks that grow by GROWTH.
-SINGLY, GROWTH = 24, 1.2
+from respgrid.llm.common import remove, text_or_empty, written
+
+#: Bytes of text in a chunk, and for which there is a bucket.
+CHUNK_BYTES, BUCKET_BYTES = 32_000_000, 32_000_000
+STRENGTH, PARENT_STRENGTH = 1.0, 1.0
+BURN_IN, SAMPLES, SEED = 2, 3, 20_231
+#: Customers of a dish up to which tables are drawn exactly.
+LIMIT = 128
 #: The hash of the end of a text, which no word can equal as bytes: words have no blanks.
 END = xxhash.xxh64_intdigest(b" ")
 
-GROUPS = "group long, bucket int, words binary, n_contexts binary, contexts binary, counts binary, doc_ids binary, held binary, sizes binary, tokens binary"
+#: One row of any kind; what a to f hold depends on it.
+ROW = "kind string, bucket int, other long, x long, y long, a binary, b binary, c binary, d binary, e binary, f binary"
+NAMES = [x.split()[0] for x in ROW.split(", ")]
+FIELDS = pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("other", pa.int64()), ("x", pa.int64()), ("y", pa.int64()), *((x, pa.binary()) for x in "abcdef")])
 
 
-def seat(customers: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables after seating customers of one dish each, one after another.
-
-    opening: the weight of a new table, (strength + discount * the restaurant's tables) * the parent's probability.
-    With i customers at t tables the next opens a table with probability opening / (opening + i - discount * t).
-    """
-    tables = np.minimum(customers, 1).astype(np.float64)
-    active = np.flatnonzero(customers > 1)
-    c, a, t = customers[active], opening[active], tables[active]
-    i = 1
-    while len(active):
-        step = 1 if i < SINGLY else int(i * (GROWTH - 1))
-        n = np.minimum(step, c - i)
-        p = a / (a + i + (n - 1) / 2 - discount * t)
-        t += rng.random(len(t)) < p if step == 1 else rng.binomial(n, np.minimum(p, 1))
-        i += step
-        if not (more := c > i).all():
-            tables[active[~more]] = t[~more]
-            active, c, a, t = active[more], c[more], a[more], t[more]
-    return tables
-
-
-class Bucket:
-    """The pairs of one bucket, merged over all groups, and their samples."""
-
-    def __init__(self, rows: list[dict], bucket: int, buckets: int):
-        words = [np.frombuffer(r["words"], "<u8") for r in rows]
-        each = [np.frombuffer(r["n_contexts"], np.uint8) for r in rows]
-        contexts = np.concatenate([np.frombuffer(r["contexts"], np.uint8) for r in rows])
-        counts = np.concatenate([np.frombuffer(r["counts"], "<u4") for r in rows])
-        self.ends = np.cumsum([int(x.sum()) for x in each])
-        kinds, at = np.unique(np.concatenate(words), return_inverse=True)
-        codes, self.at = np.unique(np.repeat(at, np.concatenate(each)) * CONTEXTS + contexts, return_inverse=True)
-        self.counts = np.bincount(self.at, counts, len(codes)).astype(np.int64)
-        self.word, self.context, self.n_words = codes // CONTEXTS, codes % CONTEXTS, len(kinds)
-        self.word_counts = np.bincount(self.word, self.counts, self.n_words).astype(np.int64)
-        self.bucket, self.buckets = bucket, buckets
-
-    def samples(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each sample: tables of each pair, and customers and tables of each word in the parent."""
-        rng = np.random.default_rng([SEED, self.bucket])
-        some = np.flatnonzero(self.counts)
-        word, context, customers = self.word[some], self.context[some], self.counts[some]
-        base = 1 / (1 + self.buckets * max(1, int((self.word_counts > 0).sum())))
-        tables = np.ones(len(some))
-        parent = np.bincount(word, tables, self.n_words)
-        parent_tables = np.minimum(parent, 1)
-        for sweep in range(BURN_IN + SAMPLES):
-            all_tables = self.buckets * np.bincount(context, tables, CONTEXTS)
-            root_weight = PARENT_STRENGTH + PARENT_DISCOUNT * self.buckets * parent_tables.sum()
-            root = (parent - PARENT_DISCOUNT * parent_tables + root_weight * base) / (PARENT_STRENGTH + self.buckets * parent.sum())
-            tables = seat(customers, (STRENGTH + DISCOUNT * all_tables[context]) * root[word], DISCOUNT, rng)
-            parent = np.bincount(word, tables, self.n_words)
-            parent_tables = seat(parent.astype(np.int64), np.full(self.n_words, root_weight * base), PARENT_DISCOUNT, rng)
-            if sweep >= BURN_IN:
-                full = np.zeros(len(self.counts))
-                full[some] = tables
-                yield full, parent, parent_tables
-
-    def totals(self) -> np.ndarray:
-        """Sums over the bucket: training tokens and words, customers by context, then for each sample
-        tables by context and the parent's customers and tables."""
-        out = [[self.counts.sum(), (self.word_counts > 0).sum()], np.bincount(self.context, self.counts, CONTEXTS)]
-        for tables, parent, parent_tables in self.samples():
-            out += [np.bincount(self.context, tables, CONTEXTS), [parent.sum(), parent_tables.sum()]]
-        return np.concatenate(out).astype(np.float64)
-
-    def predictive(self, totals: np.ndarray) -> np.ndarray:
-        """Each pair's probability, averaged over the samples; totals over all buckets."""
-        customers, base = totals[2 : 2 + CONTEXTS], 1 / (totals[1] + 1)
-        out = np.zeros(len(self.counts))
-        if not totals[0]:
-            return np.full(len(self.counts), base)
-        for k, (tables, parent, parent_tables) in enumerate(self.samples()):
-            own = totals[2 + CONTEXTS + k * (CONTEXTS + 2) :][: CONTEXTS + 2]
-            root = (parent - PARENT_DISCOUNT * parent_tables + (PARENT_STRENGTH + PARENT_DISCOUNT * own[-1]) * base) / (PARENT_STRENGTH + own[-2])
-            rest = STRENGTH + DISCOUNT * own[self.context]
-            # The discount is per table; a pair that no training text has, has neither.
-            out += (self.counts - DISCOUNT * tables + rest * root[self.word]) / (STRENGTH + customers[self.context])
-        return out / SAMPLES
-
-
-def grouped(texts: pa.Array, held: np.ndarray, buckets: int) -> tuple[list[dict], dict]:
-    """A group's pairs by bucket, and its texts as indexes of pairs in the order of the buckets."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-    flat = parts.flatten()
-    real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))[real]
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    hashes = np.array([*(xxhash.xxh64_intdigest(w) for w in pc.cast(coded.dictionary, pa.binary()).to_pylist()), END], np.uint64)
-    sizes = np.bincount(row, minlength=len(texts)) + 1
-    ends = np.cumsum(sizes)
-    token = np.full(int(ends[-1]), len(hashes) - 1, np.int64)
-    inner = np.ones(len(token), bool)
-    inner[ends - 1] = False
-    token[inner] = coded.indices.to_numpy()
-    # Words in the order of their hashes, and so of their buckets.
-    order = np.argsort(hashes)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    before = np.r_[len(hashes) - 1, token[:-1]]
-    before[np.r_[0, ends[:-1]]] = len(hashes) - 1
-    classes = (hashes % np.uint64(CONTEXTS)).astype(np.int64)
-    codes, tokens = np.unique(rank[token] * CONTEXTS + classes[before], return_inverse=True)
-    training = np.repeat(~held, sizes)
-    counts = np.bincount(tokens[training], minlength=len(codes)).astype("<u4")
-    word, context = codes // CONTEXTS, (codes % CONTEXTS).astype(np.uint8)
-    each = np.bincount(word, minlength=len(hashes)).astype(np.uint8)
-    words = hashes[order].astype("<u8")
-    bucket = (words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    pair_cuts = np.searchsorted(word, cuts)
-    rows = [
-        {"bucket": k, "words": words[a:b].tobytes(), "n_contexts": each[a:b].tobytes(), "contexts": context[x:y].tobytes(), "counts": counts[x:y].tobytes()}
-        for k, (a, b, x, y) in enumerate(zip(cuts[:-1], cuts[1:], pair_cuts[:-1], pair_cuts[1:], strict=True))
-        if b > a
-    ]
-    return rows, {"bucket": -1, "sizes": sizes.astype("<i8").tobytes(), "tokens": zlib.compress(tokens.astype("<u4").tobytes(), 1), "held": held.tobytes()}
-
-
-def _table(rows: list[dict], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
-    fields = [pa.field(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")]
-    return pa.RecordBatch.from_pylist(rows, pa.schema(fields))
-
-
-def _group(buckets: int):
+def pack(numbers: np.ndarray) -> bytes:
+    """Unsigned whole numbers as compressed bytes, the lowest bytes of all numbers first."""
+    numbers = np.ascontiguousarray(numbers, "<u8")
+    width = max(1, (int(numbers.max()).bit_length() + 7) // 8) if len(numbers) else 1
+    return bytes([width]) + zstandard.compress(numbers.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes(), 1)
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zstandard.decompress(data[1:]), np.uint8).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def pack_sorted(numbers: np.ndarray) -> bytes:
+    return pack(np.diff(numbers.astype(np.uint64), prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data), dtype=np.uint64)
+
+
+def pack_floats(x: np.ndarray) -> bytes:
+    """32-bit floats; many are equal."""
+    return pack(np.ascontiguousarray(x, "<f4").view("<u4"))
+
+
+def unpack_floats(data: bytes) -> np.ndarray:
+    return unpack(data).astype("<u4").view("<f4").astype(np.float64)
+
+
+class Seats:
+    """Tables of dishes, given their customers and the weight of a table, for one discount."""
+
+    def __init__(self, discount: float):
+        self.discount = d = discount
+        logs = np.full((LIMIT + 1, LIMIT + 2), -np.inf)
+        logs[1, 1] = 0
+        t = np.arange(LIMIT + 2)
+        for c in range(2, LIMIT + 1):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                stay = logs[c - 1] + np.log(np.maximum(c - 1 - t * d, 0))
+            logs[c] = np.logaddexp(np.r_[-np.inf, logs[c - 1, :-1]], np.where(np.isnan(stay), -np.inf, stay))
+        self.logs = logs
+
+    def _shares(self, customers: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Dishes of equal customers (2 to LIMIT) at a time: which, and the probabilities of 1, 2, ... tables."""
+        if not len(customers):
+            return
+        order = np.argsort(customers, kind="stable")
+        kinds, begins = np.unique(customers[order], return_index=True)
+        for k, a, b in zip(kinds.tolist(), begins, [*begins[1:], len(order)], strict=True):
+            if 2 <= k <= LIMIT:
+                for at in range(a, b, 1 << 16):
+                    some = order[at : min(b, at + (1 << 16))]
+                    logs = self.logs[k, 1 : k + 1] + np.log(weight[some])[:, None] * np.arange(1, k + 1)
+                    shares = np.exp(logs - logs.max(axis=1, keepdims=True))
+                    yield some, shares / shares.sum(axis=1, keepdims=True)
+
+    def _mean_beyond(self, customers: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """The Poisson law's mean for dishes of more than LIMIT customers."""
+        d = self.discount
+        back = 0.0 if abs(d - 0.5) < 1e-9 else math.gamma(1 - d) / math.gamma(1 - 2 * d)
+        return weight * (1 - back * customers.astype(float) ** -d) / d
+
+    def drawn(self, customers: np.ndarray, weight: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        out = np.minimum(customers, 1).astype(np.int64)
+        for some, shares in self._shares(customers, weight):
+            out[some] += (np.cumsum(shares, axis=1)[:, :-1] < rng.random(len(some))[:, None]).sum(axis=1)
+        many = np.flatnonzero(customers > LIMIT)
+        out[many] += np.minimum(rng.poisson(self._mean_beyond(customers[many], weight[many])), customers[many] - 1)
+        return out
+
+    def expected(self, customers: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        out = np.minimum(customers, 1).astype(np.float64)
+        for some, shares in self._shares(customers, weight):
+            out[some] = shares @ np.arange(1, shares.shape[1] + 1)
+        many = np.flatnonzero(customers > LIMIT)
+        out[many] += np.minimum(self._mean_beyond(customers[many], weight[many]), customers[many] - 1.0)
+        return out
+
+
+def estimated_discount(once: int, twice: int) -> float:
+    return min(max(once / (once + 2 * twice), 0.3), 0.95) if once else 0.75
+
+
+class Chunk:
+    """The words of some texts, sorted by hash, and their tokens."""
+
+    def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray):
+        self.words, self.tokens, self.sizes, self.held = words, tokens, sizes, held
+        self.ends = np.cumsum(sizes)
+        # The end is the context of each text's first token.
+        before = np.r_[0, tokens[:-1]]
+        before[np.r_[0, self.ends[:-1]]] = int(np.searchsorted(words, np.uint64(END)))
+        self.codes, self.at = np.unique(before * len(words) + tokens, return_inverse=True)
+        self.context, self.word = self.codes // len(words), self.codes % len(words)
+
+    @classmethod
+    def of(cls, texts: pa.Array, held: np.ndarray) -> Chunk:
+        parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat = parts.flatten()
+        real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))[real]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        hashes = np.array([*(xxhash.xxh64_intdigest(w) for w in pc.cast(coded.dictionary, pa.binary()).to_pylist()), END], np.uint64)
+        sizes = np.bincount(row, minlength=len(texts)) + 1
+        inner = np.ones(int(sizes.sum()), bool)
+        inner[np.cumsum(sizes) - 1] = False
+        words, rank = np.unique(hashes, return_inverse=True)
+        tokens = np.full(len(inner), rank[-1], np.int64)
+        tokens[inner] = rank[coded.indices.to_numpy()]
+        return cls(words, tokens, sizes, held)
+
+    def cuts(self, buckets: int) -> np.ndarray:
+        """Where the words of each bucket begin; a last number ends the last."""
+        bucket = (self.words >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        return np.searchsorted(bucket, np.arange(buckets + 1))
+
+    def rows(self, name: int, buckets: int, shift: int, ids: bytes, nulls: np.ndarray) -> Iterator[dict]:
+        training = np.repeat(~self.held, self.sizes)
+        counts = np.bincount(self.at[training], minlength=len(self.codes))
+        word_counts = np.bincount(self.tokens[training], minlength=len(self.words))
+        # Frequent words get the small numbers: they compress better.
+        order = np.argsort(-np.bincount(self.tokens, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        flags = self.held + 2 * nulls
+        yield {"kind": "texts", "bucket": -1, "other": name, "a": ids, "b": pack(flags), "c": pack(self.sizes), "d": pack(rank[self.tokens]), "e": pack_sorted(self.words), "f": pack(order)}
+        cuts = self.cuts(buckets)
+        pair_cuts = np.searchsorted(self.context, cuts)
+        short = self.words >> np.uint64(shift)
+        for k, (a, b, x, y) in enumerate(zip(cuts[:-1], cuts[1:], pair_cuts[:-1], pair_cuts[1:], strict=True)):
+            if b > a:
+                yield {"kind": "words", "bucket": k, "other": name, "a": pack_sorted(self.words[a:b]), "b": pack(word_counts[a:b])}
+            if y > x:
+                contexts, each = np.unique(self.context[x:y], return_counts=True)
+                dishes, which = np.unique(self.word[x:y], return_inverse=True)
+                begins = np.r_[0, np.cumsum(each)[:-1]]
+                steps = np.diff(which, prepend=0)
+                steps[begins] = which[begins]
+                yield {"kind": "pairs", "bucket": k, "other": name, "a": pack_sorted(short[contexts]), "b": pack(each), "c": pack_sorted(short[dishes]), "d": pack(steps), "e": pack(counts[x:y])}
+
+
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{c: r.get(c) for c in NAMES} for r in rows], FIELDS)
+
+
+def _chunks(buckets: int, shift: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, number = TaskContext.get().partitionId(), 0
         for whole in batches:
-            for batch in encoding.slices(whole, at_once=GROUP_BYTES):
-                held = batch.column("held").to_numpy(zero_copy_only=False)
-                rows, texts = grouped(encoding.filled(batch), held, buckets)
-                doc_ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy().astype("<i8").tobytes()
-                nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).tobytes() if batch.column("doc_id").null_count else b""
-                name = (task << 32) + number
+            for batch in encoding.slices(whole, at_once=CHUNK_BYTES):
+                found = Chunk.of(encoding.filled(batch), batch.column("held").to_numpy(zero_copy_only=False))
+                ids = pc.fill_null(batch.column("doc_id"), 0).to_numpy().astype("<i8").tobytes()
+                nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+                yield _batch(list(found.rows((task << 32) + number, buckets, shift, ids, nulls)))
                 number += 1
-                # The counts' place holds which doc_ids are null.
-                yield _table([x | {"group": name} for x in (texts | {"doc_ids": doc_ids, "counts": nulls}, *rows)], GROUPS)
+
+    return run
+
+
+def _by_kind(*tables: pa.Table) -> tuple[int, dict[str, list[dict]]]:
+    """The bucket, and its rows by kind in the order of other."""
+    out: dict[str, list[dict]] = defaultdict(list)
+    for table in tables:
+        for r in table.to_pylist():
+            out[r["kind"]].append(r)
+    bucket = next(r["bucket"] for rows in out.values() for r in rows)
+    return bucket, {k: sorted(rows, key=lambda r: r["other"]) for k, rows in out.items()}
+
+
+def _joined(rows: list[dict], column: str, of: Callable[[bytes], np.ndarray] = unpack) -> np.ndarray:
+    return np.concatenate([of(r[column]) for r in rows]) if rows else np.empty(0, np.uint64)
+
+
+def _sliced(buckets: int, width: int, short: np.ndarray) -> np.ndarray:
+    """Where the short hashes of each bucket begin and end in a sorted list."""
+    bits = np.uint64(8 * width - 32)
+    return np.searchsorted((short >> bits) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1))
+
+
+def _merged(buckets: int, width: int):
+    """Pairs of all chunks -> counts for each chunk, the contexts, the pairs that are sampled, and what else their words need."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, kinds = _by_kind(table)
+        rows, contexts, dishes, counts, ends = kinds["pairs"], [], [], [], []
+        for r in rows:
+            each, own, steps = unpack(r["b"]).astype(np.int64), unpack_sorted(r["a"]), unpack(r["d"]).astype(np.int64)
+            # Steps start anew in each context.
+            sums, begins = np.cumsum(steps), np.r_[0, np.cumsum(each)[:-1]]
+            which = sums - np.repeat(sums[begins] - steps[begins], each)
+            contexts.append(np.repeat(own, each))
+            dishes.append(unpack_sorted(r["c"])[which])
+            counts.append(unpack(r["e"]))
+            ends.append(len(steps))
+        context, at_context = np.unique(np.concatenate(contexts), return_inverse=True)
+        dish, at_dish = np.unique(np.concatenate(dishes), return_inverse=True)
+        del contexts, dishes
+        codes, at = np.unique(at_context * len(dish) + at_dish, return_inverse=True)
+        del at_context, at_dish
+        n = np.bincount(at, np.concatenate(counts).astype(float), len(codes)).astype(np.int64)
+        out = [{"kind": "counts", "bucket": bucket, "other": r["other"], "a": pack(n[x])} for r, x in zip(rows, np.split(at, np.cumsum(ends)[:-1]), strict=True)]
+        of, word = codes // len(dish), codes % len(dish)
+        single = n == 1
+        customers = np.bincount(of, n, len(context))
+        alone = np.bincount(of[single], minlength=len(context))
+        some = np.flatnonzero(n > 1)
+        lively, at_lively = np.unique(of[some], return_inverse=True)
+        moving, at_moving, often = np.unique(word[some], return_inverse=True, return_counts=True)
+        out.append({"kind": "contexts", "bucket": bucket, "other": 0, "a": pack_sorted(context), "b": pack(customers), "c": pack(alone), "d": pack_sorted(lively)})
+        out.append({"kind": "state", "bucket": bucket, "other": 0, "a": pack(at_lively), "b": pack(at_moving), "c": pack(n[some]), "d": pack(alone[lively])})
+        out.append({"kind": "seen", "bucket": bucket, "other": 0, "x": int(single.sum()), "y": int((n == 2).sum())})
+        # Words go to the buckets of their own hashes.
+        once = np.bincount(word[single], minlength=len(dish))
+        listed = np.flatnonzero(once)
+        for name, short, values in (("singles", dish[listed], once[listed]), ("moving", dish[moving], often)):
+            cuts = _sliced(buckets, width, short)
+            out += [{"kind": name, "bucket": k, "other": bucket, "a": pack_sorted(short[a:b]), "b": pack(values[a:b])} for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def _vocabulary(shift: int):
+    """Words of all chunks, with training counts and contexts in which they are single; where the moving words of other buckets are among them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, kinds = _by_kind(table)
+        words, at = np.unique(_joined(kinds.get("words", []), "a", unpack_sorted), return_inverse=True)
+        counts = np.bincount(at, _joined(kinds.get("words", []), "b").astype(float), len(words)).astype(np.int64)
+        short, single, least = words >> np.uint64(shift), np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        for r in kinds.get("singles", []):
+            np.add.at(single, np.searchsorted(short, unpack_sorted(r["a"])), unpack(r["b"]).astype(np.int64))
+        out = []
+        for r in kinds.get("moving", []):
+            place = np.searchsorted(short, unpack_sorted(r["a"]))
+            np.add.at(least, place, unpack(r["b"]).astype(np.int64))
+            out.append({"kind": "places", "bucket": bucket, "other": r["other"], "a": pack_sorted(place), "b": r["b"]})
+        in_all = single + least
+        out.append({"kind": "vocabulary", "bucket": bucket, "other": 0, "a": pack_sorted(words), "b": pack(counts)})
+        out.append({"kind": "single", "bucket": bucket, "other": 0, "a": pack(single)})
+        out.append({"kind": "seen", "bucket": bucket, "other": 0, "x": int((in_all == 1).sum()), "y": int((in_all == 2).sum())})
+        out.append({"kind": "size", "bucket": bucket, "other": 0, "x": int(counts.sum()), "y": int((counts > 0).sum())})
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def _parent_step(seats: Seats, weight: float, sweep: int, sample: bool):
+    """The parent's customers and tables, word by word, from the tables of all contexts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket, kinds = _by_kind(left, right)
+        customers = unpack(kinds["single"][0]["a"]).astype(np.int64)
+        places = {r["other"]: unpack_sorted(r["a"]).astype(np.int64) for r in kinds.get("places", [])}
+        # The first sweep finds one table for each pair.
+        tables = {r["other"]: r["a"] for r in kinds["tables"]} if "tables" in kinds else {r["other"]: r["b"] for r in kinds.get("places", [])}
+        for k, place in places.items():
+            np.add.at(customers, place, unpack(tables[k]).astype(np.int64))
+        own = seats.drawn(customers, np.full(len(customers), weight), np.random.default_rng([SEED, 1, sweep, bucket]))
+        left_over = customers - seats.discount * own
+        out = [{"kind": "shares", "bucket": k, "other": bucket, "a": pack_floats(left_over[place])} for k, place in places.items()]
+        out.append({"kind": "sums", "bucket": bucket, "other": 0, "x": int(customers.sum()), "y": int(own.sum())})
+        if sample:
+            out.append({"kind": "parent", "bucket": bucket, "other": sweep, "a": pack_floats(left_over)})
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def _context_step(seats: Seats, parent: tuple[float, float], sweep: int, sample: bool):
+    """The tables of each moving pair; parent: what its probabilities have in common, and what they are divided by."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        bucket, kinds = _by_kind(left, right)
+        state = kinds["state"][0]
+        of, word, customers, alone = (unpack(state[x]).astype(np.int64) for x in "abcd")
+        p = (_joined(kinds.get("shares", []), "a", unpack_floats) + parent[0]) / parent[1]
+        rng = np.random.default_rng([SEED, 2, sweep, bucket])
+        held = unpack(kinds["held"][0]["a"]).astype(np.int64) if "held" in kinds else alone + np.bincount(of, minlength=len(alone))
+        g = rng.gamma(STRENGTH / seats.discount + held)
+        weight = seats.discount * g[of] * p[word]
+        tables = seats.drawn(customers, weight, rng)
+        out = [{"kind": "held", "bucket": bucket, "other": 0, "a": pack(alone + np.bincount(of, tables, len(alone)).astype(np.int64))}]
+        sums, at = np.bincount(word, tables, len(p)).astype(np.int64), 0
+        for r in kinds.get("shares", []):
+            n = len(unpack(r["a"]))
+            out.append({"kind": "tables", "bucket": r["other"], "other": bucket, "a": pack(sums[at : at + n])})
+            at += n
+        if sample:
+            expected = alone + np.bincount(of, seats.expected(customers, weight), len(alone))
+            out.append({"kind": "sample", "bucket": bucket, "other": sweep, "a": pack_floats(expected), "b": pack_floats(seats.discount * g)})
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def _replies(shift: int, discount: float, parents: list[tuple[float, float]]):
+    """For the words of each chunk: training counts, the parent's probabilities, and as contexts customers, open seats and weights."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, kinds = _by_kind(table)
+        vocabulary = kinds["vocabulary"][0]
+        words, counts = unpack_sorted(vocabulary["a"]), unpack(vocabulary["b"])
+        roots = [(unpack_floats(r["a"]) + x) / y for r, (x, y) in zip(kinds["parent"], parents, strict=True)]
+        customers, samples = np.zeros(len(words)), [(np.zeros(len(words)), np.zeros(len(words))) for _ in parents]
+        if "contexts" in kinds:
+            r = kinds["contexts"][0]
+            own, n, alone, lively = unpack_sorted(r["a"]), unpack(r["b"]), unpack(r["c"]), unpack_sorted(r["d"]).astype(np.int64)
+            short = words >> np.uint64(shift)
+            place = np.minimum(np.searchsorted(own, short), len(own) - 1)
+            known = np.flatnonzero(own[place] == short)
+            customers[known] = n[place[known]]
+            for (tables, weights), s in zip(samples, kinds["sample"], strict=True):
+                t, w = alone.astype(float), np.zeros(len(own))
+                t[lively], w[lively] = unpack_floats(s["a"]), unpack_floats(s["b"])
+                tables[known], weights[known] = t[place[known]], w[place[known]]
+        out = []
+        for r in kinds["words"]:
+            at = np.searchsorted(words, unpack_sorted(r["a"]))
+            out.append({
+                "kind": "replies", "bucket": bucket, "other": r["other"], "a": pack(counts[at]), "b": pack(customers[at]),
+                "c": pack_floats(np.concatenate([x[at] for x in roots])), "d": pack_floats(np.concatenate([STRENGTH + discount * t[at] for t, _ in samples])), "e": pack_floats(np.concatenate([w[at] for _, w in samples])),
+            })
+        return pa.Table.from_batches([_batch(out)])
+
+    return run
+
+
+def predictive(seats: Seats, counts: np.ndarray, customers: np.ndarray, roots: np.ndarray, seats_open: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Each pair's probability, averaged over the samples; roots (of the words), seats_open and weights (of the contexts) have a row for each sample."""
+    out = np.zeros(len(counts))
+    some = np.flatnonzero(counts > 1)
+    for root, rest, weight in zip(roots, seats_open, weights, strict=True):
+        tables = np.minimum(counts, 1).astype(float)
+        tables[some] = seats.expected(counts[some], weight[some] * root[some])
+        out += (counts - seats.discount * tables + rest * root) / (STRENGTH + customers)
+    return out / len(roots)
+
+
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _scores(seats: Seats, train_tokens: int, vocabulary: int, n_samples: int):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        text, found = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["bucket"])
+        ids, flags, sizes = np.frombuffer(text["a"], "<i8"), unpack(text["b"]).astype(int), unpack(text["c"]).astype(np.int64)
+        held = (flags & 1) == 1
+        chunk = Chunk(unpack_sorted(text["e"]), unpack(text["f"]).astype(np.int64)[unpack(text["d"]).astype(np.int64)], sizes, held)
+        replies = [r for r in found if r["kind"] == "replies"]
+        by_sample = lambda c: np.concatenate([unpack_floats(r[c]).reshape(n_samples, -1) for r in replies], axis=1)
+        c, customers = _joined(replies, "a").astype(np.int64), _joined(replies, "b").astype(np.int64)
+        counts = _joined([r for r in found if r["kind"] == "counts"], "a").astype(np.int64)
+        of, word = chunk.context, chunk.word
+        p = np.log10(predictive(seats, counts, customers[of], by_sample("c")[:, word], by_sample("d")[:, of], by_sample("e")[:, of]))
+        base = np.log10((c + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
+        starts = np.r_[0, chunk.ends[:-1]]
+        columns = {
+            "doc_id": pa.array(ids, mask=flags >= 2),
+            "held_out": pa.array(held),
+            "n_tokens": pa.array(sizes),
+            "n_known": pa.array(np.add.reduceat((c > 0)[chunk.tokens].astype(np.int64), starts)),
+            "train_tokens": pa.array(np.full(len(ids), train_tokens)),
+            "base_score": pa.array(np.add.reduceat(base[chunk.tokens], starts)),
+            "score": pa.array(np.add.reduceat(p[chunk.at], starts)),
+        }
+        return pa.table(columns)
 
     return run
 
@@ -201,63 +445,59 @@ def score_texts(docs: DataFrame, held_out: str = "held") -> DataFrame:
     every token is unknown and has the base's probability. An empty table gives an empty result. Further
     columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"), text_or_empty().alias("text"))
-    # Buckets follow the input, so that each stays small.
-    buckets = max(16, -(-rows.rdd.getNumPartitions() * 3 // 4))
-    groups = stored(rows.mapInArrow(_group(buckets), GROUPS), "word-groups", codec="zstd")
-    pairs = groups.where("bucket >= 0").select("group", "bucket", "words", "n_contexts", "contexts", "counts")
-
-    def sums(table: pa.Table) -> pa.Table:
-        found = table.to_pylist()
-        totals = Bucket(found, found[0]["bucket"], buckets).totals()
-        return pa.table({"at": pa.array(range(len(totals)), pa.int32()), "total": pa.array(totals)})
-
-    per_bucket = pairs.groupBy("bucket").applyInArrow(sums, "at int, total double")
-    # As many rows as contexts times samples, and a few more; whole numbers, so that their order doesn't matter.
-    found = {r[0]: r[1] for r in per_bucket.groupBy("at").agg(F.sum("total")).collect()}
-    totals = np.array([found[k] for k in sorted(found)])
-    if not len(totals):
-        totals = np.zeros(2 + CONTEXTS)
-    train_tokens, vocabulary = totals[0], totals[1]
-
-    def replies(table: pa.Table) -> pa.Table:
-        found = table.to_pylist()
-        b = Bucket(found, found[0]["bucket"], buckets)
-        p, c = b.predictive(totals).astype("<f4"), b.word_counts[b.word].astype("<u4")
-        out = []
-        for r, end, begin in zip(found, b.ends, [0, *b.ends[:-1]], strict=True):
-            at = b.at[begin:end]
-            out.append({"group": r["group"], "bucket": r["bucket"], "p": p[at].tobytes(), "c": c[at].tobytes()})
-        return pa.Table.from_batches([_table(out, "group long, bucket int, p binary, c binary")])
-
-    answered = pairs.groupBy("bucket").applyInArrow(replies, "group long, bucket int, p binary, c binary")
-    texts = groups.where("bucket < 0").select("group", "doc_ids", "held", "sizes", "tokens", F.col("counts").alias("nulls"))
-
-    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
-        parts = sorted(right.to_pylist(), key=lambda r: r["bucket"])
-        p = np.log10(np.frombuffer(b"".join(r["p"] for r in parts), "<f4").astype(np.float64))
-        c = np.frombuffer(b"".join(r["c"] for r in parts), "<u4")
-        base = np.log10((c + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
-        out = []
-        for r in left.to_pylist():
-            tokens, sizes = np.frombuffer(zlib.decompress(r["tokens"]), "<u4"), np.frombuffer(r["sizes"], "<i8")
-            starts = np.r_[0, np.cumsum(sizes)[:-1]]
-            ids = np.frombuffer(r["doc_ids"], "<i8")
-            nulls = np.frombuffer(r["nulls"], bool) if r["nulls"] else None
-            columns = {
-                "doc_id": pa.array(ids, mask=nulls),
-                "held_out": pa.array(np.frombuffer(r["held"], bool)),
-                "n_tokens": pa.array(sizes),
-                "n_known": pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), starts)),
-                "train_tokens": pa.array(np.full(len(ids), int(train_tokens))),
-                "base_score": pa.array(np.add.reduceat(base[tokens], starts)),
-                "score": pa.array(np.add.reduceat(p[tokens], starts)),
-            }
-            out.append(pa.table(columns))
-        return pa.concat_tables(out)
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("group").cogroup(answered.groupBy("group")).applyInArrow(summed, schema)
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+    if size is None:
+        return spark.createDataFrame([], SCORES)
+    buckets = -(-size // BUCKET_BYTES) or 1
+    width = min(8, max(5, -(-(size.bit_length() + 10) // 8)))
+    shift = 64 - 8 * width
+    kind = lambda df, *names: df.where(F.col("kind").isin(*names)).select(*NAMES)
+
+    def kept(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+        path = written(df, name, ["kind"], "none")
+        return spark.read.schema(ROW).parquet(path), path
+
+    def sums(df: DataFrame, name: str) -> tuple[int, int]:
+        x, y = kind(df, name).agg(F.sum("x"), F.sum("y")).first()
+        return x or 0, y or 0
+
+    chunks, path = kept(rows.mapInArrow(_chunks(buckets, shift), ROW), "lm-chunks")
+    pairs, _ = kept(kind(chunks, "pairs").groupBy("bucket").applyInArrow(_merged(buckets, width), ROW), "lm-pairs")
+    remove(spark, f"{path}/kind=pairs")
+    seats = Seats(estimated_discount(*sums(pairs, "seen")))
+    own = kind(chunks, "words").unionByName(kind(pairs, "singles", "moving"))
+    words, _ = kept(own.groupBy("bucket").applyInArrow(_vocabulary(shift), ROW), "lm-words")
+    (train_tokens, vocabulary), parent_seats = sums(words, "size"), Seats(estimated_discount(*sums(words, "seen")))
+
+    # What each sweep reads stays where it is.
+    dealt = lambda df: df.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+    state, single = dealt(kind(pairs, "state")), dealt(kind(words, "single", "places"))
+    tables = held = spark.createDataFrame([], ROW)
+    samples, parents, parent_tables = [], [], vocabulary
+    for sweep in range(BURN_IN + SAMPLES):
+        sample = sweep >= BURN_IN
+        g = np.random.default_rng([SEED, 0, sweep]).gamma(PARENT_STRENGTH / parent_seats.discount + parent_tables)
+        seat = _parent_step(parent_seats, parent_seats.discount * g / (vocabulary + 1), sweep, sample)
+        above, _ = kept(single.groupBy("bucket").cogroup(tables.groupBy("bucket")).applyInArrow(seat, ROW), "lm-parent")
+        customers, parent_tables = sums(above, "sums")
+        parent = ((PARENT_STRENGTH + parent_seats.discount * parent_tables) / (vocabulary + 1), PARENT_STRENGTH + customers)
+        given = kind(above, "shares").unionByName(held)
+        below, _ = kept(state.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(_context_step(seats, parent, sweep, sample), ROW), "lm-tables")
+        tables, held = kind(below, "tables"), kind(below, "held")
+        if sample:
+            samples += [kind(above, "parent"), kind(below, "sample")]
+            parents.append(parent)
+    state.unpersist()
+    single.unpersist()
+
+    asked = kind(chunks, "words").unionByName(kind(words, "vocabulary")).unionByName(kind(pairs, "contexts"))
+    for df in samples:
+        asked = asked.unionByName(df)
+    replies = asked.groupBy("bucket").applyInArrow(_replies(shift, seats.discount, parents), ROW)
+    answers = replies.unionByName(kind(pairs, "counts"))
+    return kind(chunks, "texts").groupBy("other").cogroup(answers.groupBy("other")).applyInArrow(_scores(seats, train_tokens, vocabulary, len(parents)), SCORES)
 
 
 def one_fifth(docs: DataFrame) -> DataFrame:

@@ -374,34 +374,112 @@ def test_pitman_yor(spark, docs, empty):
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 for r in nothing)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 3000)
+    texts = [(i, words(30 + i % 40, i % 50, 80) + " rare%d" % (i % 70)) for i in range(150)] + [(7, None), (None, "w1 w2")]
+    df = pitman_yor.one_fifth(spark.createDataFrame(texts, "doc_id long, text string"))
+    scores = [sorted(map(str, listed(pitman_yor.score_texts(df.repartition(n))))) for n in (1, 13)]
+    assert scores[0] == scores[1] and len(scores[0]) == len(texts)
+
+
 def test_predictive_sums_to_one():
-    import pyarrow as pa
+    r = np.random.default_rng(2)
+    for discount in (0.4, 0.5, 0.8):
+        seats = pitman_yor.Seats(discount)
+        counts = np.r_[r.integers(0, 5, 300), 40, 1000, 200_000]
+        roots = r.dirichlet(np.full(len(counts), 0.3), 3)
+        weights = np.array([3.0, 50.0, 700.0])
+        tables = [np.minimum(counts, 1).astype(float) for _ in weights]
+        for t, w, root in zip(tables, weights, roots, strict=True):
+            t[counts > 1] = seats.expected(counts[counts > 1], w * root[counts > 1])
+        rest = np.array([pitman_yor.STRENGTH + discount * t.sum() for t in tables])
+        n = len(counts)
+        p = pitman_yor.predictive(seats, counts, np.full(n, counts.sum()), roots, np.repeat(rest[:, None], n, 1), np.repeat(weights[:, None], n, 1))
+        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
-    texts = pa.array([words(50, i, 30) for i in range(40)])
-    rows, _ = pitman_yor.grouped(texts, np.zeros(40, bool), 1)
-    bucket = pitman_yor.Bucket(rows, 0, 1)
-    totals = bucket.totals()
-    # A context with all words in it leaves exactly the unknown word's share.
-    every = np.unique(bucket.word)
-    for context in np.unique(bucket.context)[:5]:
-        full = pitman_yor.Bucket.__new__(pitman_yor.Bucket)
-        full.__dict__ = dict(bucket.__dict__)
-        p = dict(zip(bucket.word[bucket.context == context], bucket.predictive(totals)[bucket.context == context], strict=True))
-        assert 0 < sum(p.values()) < 1 and len(p) <= len(every)
-
-
-def test_seats():
-    rng = np.random.default_rng(1)
-    customers = np.array([0, 1, 2, 10, 1000, 100_000])
-    tables = np.mean([pitman_yor.seat(customers, np.full(6, 3.0), 0.5, rng) for _ in range(300)], axis=0)
-
-    def expected(n):
-        t = 1.0
-        for i in range(1, n):
-            t += 3.0 / (3.0 + i - 0.5 * t)
-        return t if n else 0.0
-
-    assert np.allclose(tables, [expected(n) for n in customers], rtol=0.05)
+
+def test_tables_of_many_customers(monkeypatch):
+    """Where exact tables end, the Poisson law takes over without a step."""
+    weight = np.array([0.01, 0.1, 0.5, 1.0, 2.0, 4.0])
+    for discount in (0.4, 0.6, 0.8):
+        exact = pitman_yor.Seats(discount).expected(np.full(6, pitman_yor.LIMIT), weight)
+        beyond = pitman_yor.Seats(discount).expected(np.full(6, pitman_yor.LIMIT + 1), weight)
+        assert np.allclose(exact, beyond, rtol=0.08)
+        drawn = np.mean([pitman_yor.Seats(discount).drawn(np.full(6, 30), weight, np.random.default_rng(k)) for k in range(300)], axis=0)
+        assert np.allclose(drawn, pitman_yor.Seats(discount).expected(np.full(6, 30), weight), rtol=0.12)
+
+
+def seated(pairs, vocabulary, discount, parent_discount, sweeps, burn_in, seed):
+    """Mean predictive probabilities of a plain sampler that takes out and seats one customer after another."""
+    r = random.Random(seed)
+    strength, base = pitman_yor.STRENGTH, 1 / (vocabulary + 1)
+    rooms = collections.defaultdict(lambda: collections.defaultdict(list))  # restaurant -> dish -> customers by table
+    size = collections.defaultdict(lambda: [0, 0])  # restaurant -> customers, tables
+
+    def below(room, dish):
+        return base if room is None else p(None, dish)
+
+    def p(room, dish):
+        d, own, (n, t) = parent_discount if room is None else discount, rooms[room][dish], size[room]
+        return (sum(own) - d * len(own) + (strength + d * t) * below(room, dish)) / (strength + n)
+
+    def add(room, dish):
+        d, own = parent_discount if room is None else discount, rooms[room][dish]
+        x = r.random() * (sum(own) - d * len(own) + (strength + d * size[room][1]) * below(room, dish))
+        for k, n in enumerate(own):
+            if (x := x - (n - d)) < 0:
+                own[k] += 1
+                break
+        else:
+            own.append(1)
+            size[room][1] += 1
+            if room is not None:
+                add(None, dish)
+        size[room][0] += 1
+
+    def take(room, dish):
+        own = rooms[room][dish]
+        k = r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        size[room][0] -= 1
+        if not own[k]:
+            del own[k]
+            size[room][1] -= 1
+            if room is not None:
+                take(None, dish)
+
+    for c, w in pairs:
+        add(c, w)
+    total, every = collections.Counter(), {*pairs}
+    for sweep in range(sweeps):
+        for c, w in pairs:
+            take(c, w)
+            add(c, w)
+        if sweep >= burn_in:
+            for c, w in every:
+                total[c, w] += p(c, w) / (sweeps - burn_in)
+    return total
+
+
+def test_score_against_plain_sampler(spark, monkeypatch):
+    monkeypatch.setattr(pitman_yor, "BUCKET_BYTES", 700)
+    monkeypatch.setattr(pitman_yor, "SAMPLES", 8)
+    r = random.Random(8)
+    texts = [(i, " ".join(f"v{min(int(r.expovariate(0.4)), 14)}" for _ in range(20))) for i in range(40)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held", F.lit(False))
+    found = {x["doc_id"]: x["score"] for x in pitman_yor.score_texts(df.repartition(3)).collect()}
+    tokens = {i: [*t.split(), "$"] for i, t in texts}
+    pairs = [(c, w) for t in tokens.values() for c, w in zip(["$", *t[:-1]], t, strict=True)]
+    counts = collections.Counter(pairs)
+    n = collections.Counter(counts.values())
+    discount = pitman_yor.estimated_discount(n[1], n[2])
+    kinds = collections.Counter(w for _, w in counts)
+    n = collections.Counter(kinds.values())
+    p = seated(pairs, len(kinds), discount, pitman_yor.estimated_discount(n[1], n[2]), 120, 30, 1)
+    for i, t in tokens.items():
+        want = sum(math.log10(p[c, w]) for c, w in zip(["$", *t[:-1]], t, strict=True))
+        assert abs(found[i] - want) < 0.02 * abs(want)
+    assert abs(sum(found.values()) / sum(math.log10(p[c, w]) for c, w in pairs) - 1) < 0.005
 
 
 def plain_fingerprint(text):
