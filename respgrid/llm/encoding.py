@@ -1,6 +1,6 @@
 """Exact token ids and counts for batches of texts, word by word.
 
-Neither vocabulary has a token across a blank, so a text's tokens are those of its words. In
+Where a vocabulary has no token across a blank, a text's tokens are those of its words. In
 a batch, Arrow splits the texts and lists the distinct words; the library encodes each new word
 once, and a worker keeps what it has learnt in a table of bounded size. Words for which this
 isn't plain - characters outside a safe range, runs of blanks, special strings - go to
@@ -9,9 +9,11 @@ the library as they are.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,12 @@ def filled(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
 
 
 class WordIds:
-    """Token ids of the BPE vocabulary whose words are lower-cased and end-marked."""
+    """Token ids of a JSON tokenizer: word by word if it is a BPE vocabulary whose words are lower-cased and end-marked, else text by text."""
 
-    # The tokenizer's own splitting pattern, on the safe range of characters.
+    # How such a tokenizer normalises and splits, and its splitting pattern on the safe range of characters.
+    NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+    SPLIT = {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
     PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
     SAFE = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 
@@ -47,6 +52,10 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
+        told = json.loads(Path(path).read_text("utf-8"))
+        splits = {"type": "Sequence", "pretokenizers": [self.SPLIT, self.BYTES]}
+        specials = [t["content"] for t in told["added_tokens"]]
+        self.by_word = told["normalizer"] == self.NORMALIZER and told["pre_tokenizer"] == splits and told["model"]["type"] == "BPE" and all(x.startswith("<|") for x in specials)
         self.model = self.full.model
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -75,6 +84,9 @@ class WordIds:
 
     def __call__(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
         """The ids of all texts as little-endian unsigned 32-bit numbers, and where each text's begin and end, in bytes."""
+        if not self.by_word:
+            whole = [e.ids for at in range(0, len(texts), 256) for e in self.full.encode_batch(texts.slice(at, 256).to_pylist(), add_special_tokens=False)]
+            return memoryview(np.fromiter((i for ids in whole for i in ids), "<u4").tobytes()), np.cumsum([0, *(4 * len(ids) for ids in whole)])
         parts = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
         flat = parts.flatten().dictionary_encode()
         listed = flat.dictionary.to_pylist()

@@ -1,9 +1,10 @@
 """Exact deduplication by a tree merge of digest runs (DataFrame functions only).
 
 Every text is normalised and digested once; from then on only digests move. Rows are dealt
-into RUNS runs by a hash of their doc_id. A run is reduced to one entry per digest - size and
+into runs by a hash of their doc_id: RUNS of them, or FAN_IN times as many as often as needed for runs of
+RUN_ROWS rows. A run is reduced to one entry per digest - size and
 best row so far - which Spark does with a sorted, map-side combined aggregation. Then, in
-log(RUNS)/log(FAN_IN) rounds, each run takes over FAN_IN - 1 neighbours (binomial rounds with
+log(runs)/log(FAN_IN) rounds, each run takes over FAN_IN - 1 neighbours (binomial rounds with
 a multiway merge), so that a digest which a third of all rows share never meets in one task:
 a merge reads at most FAN_IN entries for a digest. The last round leaves one entry per digest.
 The result goes down the same tree: an entry of a run learns its final row, and a row then
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 
 from respgrid.llm.common import SPACE, stored, text_or_empty, without
 
-#: Runs at the leaves of the tree, and how many of them one merge takes in.
-RUNS, FAN_IN = 64, 8
+#: Runs at the leaves of the tree at least, their rows at most, and how many of them one merge takes in.
+RUNS, RUN_ROWS, FAN_IN = 64, 20_000_000, 8
 KEY = ["text_sha256", "check64", "norm_bytes"]
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, a hash of its text, the key of the normalised text, its code points and its run."""
+    """doc_id, a hash of its text, the key of the normalised text and its code points."""
     text = text_or_empty()
     return (
         docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.length(text).cast("long").alias("points"), F.regexp_replace(text, f"{SPACE}+", "").alias("norm"))
@@ -37,7 +38,6 @@ def digested(docs: DataFrame) -> DataFrame:
             F.sha2("norm", 256).alias("text_sha256"),
             F.xxhash64("norm").alias("check64"),
             F.octet_length("norm").alias("norm_bytes"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(RUNS)).cast("int").alias("run"),
         )
     )
 
@@ -55,10 +55,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     gives an empty result. Further columns are ignored, whatever their names are.
     """
     rows = stored(digested(docs), "digests")
+    n, runs = rows.count(), RUNS
+    while n > runs * RUN_ROWS:
+        runs *= FAN_IN
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id"), F.lit(runs)).cast("int"))
     # ~doc_id falls as doc_id rises and, unlike -doc_id, can't overflow.
     best = F.struct("points", F.bitwise_not("doc_id").alias("inverse"))
     leaves = rows.groupBy(*KEY, "run").agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("size"))
-    merged, width = leaves, RUNS
+    merged, width = leaves, runs
     while width > 1:
         width //= FAN_IN
         merged = (

@@ -59,8 +59,11 @@ def _line_rows(min_points: int):
     return run
 
 
-def _settle(min_docs: int):
-    """A partition's rows, sorted by key, falling doc_id and position -> rows of FOUND."""
+def _settle(min_docs: int, keep_first: bool = True, width: int = 16):
+    """A partition's rows, sorted by key (of so many bytes), falling doc_id and position -> rows of FOUND."""
+
+    def goes(docs: np.ndarray, first: int) -> np.ndarray:
+        return docs != first if keep_first else np.ones(len(docs), bool)
 
     names = ["kind", "line_key", "doc_id", "text_hash", "pos", "n_docs"]
 
@@ -82,7 +85,7 @@ def _settle(min_docs: int):
         for batch in batches:
             if not len(batch):
                 continue
-            keys = np.array(batch.column("line_key").to_pylist(), dtype="S16")
+            keys = np.array(batch.column("line_key").to_pylist(), dtype=f"S{width}")
             docs = batch.column("doc_id").to_numpy()
             new = np.r_[True, keys[1:] != keys[:-1]]
             starts = np.flatnonzero(new)
@@ -100,9 +103,9 @@ def _settle(min_docs: int):
                 if opening:
                     yield rows(PENDING, batch, np.arange(ends[0]))
                 elif n >= min_docs:
-                    yield from (rows(DROP, w, np.flatnonzero(w.column("doc_id").to_numpy() != first)) for w in waiting)
+                    yield from (rows(DROP, w, np.flatnonzero(goes(w.column("doc_id").to_numpy(), first))) for w in waiting)
                     waiting = []
-                    for_all[part] = docs[part] != first
+                    for_all[part] = goes(docs[part], first)
                 else:
                     waiting.append(batch.slice(0, ends[0]))
                 begin = 1
@@ -115,7 +118,7 @@ def _settle(min_docs: int):
                     inner = slice(begin + (key is None), last)
                     for a, b, count in zip(starts[inner].tolist(), ends[inner].tolist(), n_docs[inner].tolist(), strict=True):
                         if count >= min_docs:
-                            for_all[a:b] = docs[a:b] != docs[a]
+                            for_all[a:b] = goes(docs[a:b], docs[a])
                 if key is None and last > 0:
                     # The partition's first line, all in this batch.
                     yield rows(PENDING, batch, np.arange(ends[0]))
@@ -126,7 +129,7 @@ def _settle(min_docs: int):
                 if opening:
                     yield rows(PENDING, batch, np.arange(a, b))
                 elif n >= min_docs:
-                    for_all[a:b] = docs[a:b] != first
+                    for_all[a:b] = goes(docs[a:b], first)
                 else:
                     waiting = [batch.slice(a, b - a)]
             if for_all.any():
@@ -138,19 +141,24 @@ def _settle(min_docs: int):
     return run
 
 
-def dropped_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, text_hash and pos of each line that goes; docs comes from _with_id."""
-    lines = stored(docs.mapInArrow(_line_rows(min_points), LINES), "lines")
-    dealt = lines.repartitionByRange("line_key", F.desc("doc_id")).sortWithinPartitions("line_key", F.desc("doc_id"), "text_hash", "pos")
-    found = stored(dealt.mapInArrow(_settle(min_docs), FOUND), "line-decisions")
+def repeated(rows: DataFrame, min_docs: int, keep_first: bool = True, width: int = 16) -> DataFrame:
+    """doc_id, text_hash and pos of the rows (LINES, stored) whose key at least min_docs documents have; keep_first: but in the largest doc_id."""
+    dealt = rows.repartitionByRange("line_key", F.desc("doc_id")).sortWithinPartitions("line_key", F.desc("doc_id"), "text_hash", "pos")
+    found = stored(dealt.mapInArrow(_settle(min_docs, keep_first, width), FOUND), "line-decisions")
     # At most two rows for each partition.
     summaries = found.where(F.col("kind") == SUMMARY).groupBy("line_key").agg(F.sum("n_docs").alias("n"), F.max("doc_id").alias("keeps"))
     summaries = summaries.where(F.col("n") >= min_docs)
-    pending = found.where(F.col("kind") == PENDING).join(F.broadcast(summaries), "line_key").where(F.col("doc_id") != F.col("keeps"))
+    pending = found.where(F.col("kind") == PENDING).join(F.broadcast(summaries), "line_key")
+    pending = pending.where(F.col("doc_id") != F.col("keeps")) if keep_first else pending
     columns = ["doc_id", "text_hash", "pos"]
     return found.where(F.col("kind") == DROP).select(*columns).unionByName(pending.select(*columns))
 
 
+def dropped_lines(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """doc_id, text_hash and pos of each line that goes; docs comes from _with_id."""
+    return repeated(stored(docs.mapInArrow(_line_rows(min_points), LINES), "lines"), min_docs)
+
+
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bitmaps, counts = [], []

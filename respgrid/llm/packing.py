@@ -15,6 +15,7 @@ its own program, solved where Spark deals it, and its own sequences, numbered in
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -111,6 +112,8 @@ def patterns_for(histogram: dict[int, int], room: int, most_steps: int = 4000) -
         row = inverse[leave] / way[leave]
         inverse -= np.outer(way, row)
         inverse[leave] = row
+    else:
+        warnings.warn(f"the program was stopped after {most_steps} columns: its plan may take more sequences than needed", stacklevel=2)
     plan, left = [], need.astype(np.int64)
     for k in np.argsort(-x):
         pattern = basis[:, k].astype(np.int64)

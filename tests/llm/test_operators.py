@@ -140,6 +140,9 @@ def test_word_encoders_against_the_libraries():
     full = Tokenizer.from_file(tokenizer("word_bpe_49k.json"))
     for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
         assert np.frombuffer(ids[a:b], "<u4").tolist() == full.encode(text, add_special_tokens=False).ids, text
+    other = Tokenizer.from_file(tokenizer("byte_bpe_50k.json"))
+    ids, bounds = encoding.WordIds(tokenizer("byte_bpe_50k.json"))(pa.array(texts))
+    assert [np.frombuffer(ids[a:b], "<u4").tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
     model = SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
     counts = encoding.PieceCounts(tokenizer("piece_bpe_32k.model"))(pa.array(texts))
     assert counts.tolist() == [len(x) for x in model.encode(texts)]
