@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from respgrid.llm import exact_dedup, mixing, ngram_quality, packing, simhash
-from respgrid.llm.common import stored
+from respgrid.llm.common import remove, written
 from respgrid.llm.queries import tokenizer
 
 #: Consecutive documents of the mixture that are packed together.
@@ -48,15 +48,19 @@ STAGES = [
     ("mixing sources", mix),
     ("packing", pack),
 ]
-#: Hashes, tokens and the model aren't SQL's: run() is tested against a brute-force version.
+#: Hashes, tokens and the model aren't SQL's: tests/llm/test_pipeline_run.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table, each stored before the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table, each stored before the next; a stage's table goes when the next one's is there."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ""
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{k}")
+            path = written(docs, f"stage-{k}")
+            docs = spark.read.schema(docs.schema).parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
