@@ -10,6 +10,10 @@ from respgrid.functions import scalars as S
 from respgrid.limits import DEFAULT, Limits
 from respgrid.operators.inflate import expand_body
 
+# What users are told, in the words that results must have.
+TOO_LARGE, UNREADABLE, NOTHING_IN_IT = "File is too large to open as a table", "Could not read this ", "No sheets in this file"
+OVER = (" exceeds the ", " parse limit")
+
 
 def _typed(expanded: DataFrame) -> DataFrame:
     named = expanded.withColumn("file_name", S.file_name(F.col("content_disposition"), F.col("request_path")))
@@ -82,13 +86,13 @@ def open_status(detected: DataFrame, outcomes: DataFrame, limits: Limits = DEFAU
     )
     joined = detected.join(outcomes.select("response_id", "sheets", "error"), "response_id", "left").withColumn("status", status)
     title = (
-        F.when(F.col("status") == "too_large", "File is too large to open as a table")
-        .when(F.col("status") == "error", F.concat(F.lit("Could not read this "), shown))
-        .when(F.col("status") == "empty", "No sheets in this file")
+        F.when(F.col("status") == "too_large", TOO_LARGE)
+        .when(F.col("status") == "error", F.concat(F.lit(UNREADABLE), shown))
+        .when(F.col("status") == "empty", NOTHING_IN_IT)
         .otherwise("")
     )
     over = F.concat(
-        S.human_bytes(F.length("expanded")), F.lit(" exceeds the "), S.human_bytes(F.lit(limits.tabular_bytes)), F.lit(" parse limit")
+        S.human_bytes(F.length("expanded")), F.lit(OVER[0]), S.human_bytes(F.lit(limits.tabular_bytes)), F.lit(OVER[1])
     )
     detail = F.when(F.col("status") == "too_large", over).when(F.col("status") == "error", F.col("error")).otherwise("")
     return joined.select("response_id", "file_type", "status", title.alias("title"), detail.alias("detail"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from respgrid.functions import scalars as S
 
 SHEET = ["response_id", "sheet_idx"]
+# Fixed value: what users are told, in the words that results must have.
+CUT = '" truncated at the row/column cap'
 
 
 def cell(i: int | Column) -> Column:
@@ -132,7 +134,7 @@ def column_width_sample(data: DataFrame, sample: int = 200) -> DataFrame:
 def notices(warnings: DataFrame, sheets: DataFrame) -> DataFrame:
     """response_id and notice: warnings in order, then the sheets that were cut."""
     cut = sheets.where("truncated").select(
-        "response_id", F.lit(1).alias("part"), F.col("sheet_idx").alias("seq"), F.concat(F.lit('"'), "name", F.lit('" truncated at the row/column cap')).alias("message")
+        "response_id", F.lit(1).alias("part"), F.col("sheet_idx").alias("seq"), F.concat(F.lit('"'), "name", F.lit(CUT)).alias("message")
     )
     told = warnings.select("response_id", F.lit(0).alias("part"), "seq", "message").unionByName(cut)
     ordered = F.array_sort(F.collect_list(F.struct("part", "seq", "message")))

@@ -16,6 +16,8 @@ from respgrid.functions import scalars as S
 from respgrid.limits import DEFAULT, Limits
 
 SHEET = ["response_id", "sheet_idx"]
+# What users are told, in the words that results must have.
+LOST, NO_SHEETS = ('Sheet "', '" could not be located inside the container'), "No readable worksheets in the container"
 
 
 def part_path(target: Column) -> Column:
@@ -45,13 +47,13 @@ def missing_sheets(sheets: DataFrame, catalogue: DataFrame) -> DataFrame:
     """response_id, seq, message: a warning for each sheet that isn't there, or one error-like message if none is."""
     named = sheets.where(F.col("rel_id").isNotNull())
     lost = named.join(catalogue.select("response_id", "ord"), ["response_id", "ord"], "left_anti")
-    text = F.concat(F.lit('Sheet "'), F.coalesce("name", F.lit("Sheet")), F.lit('" could not be located inside the container'))
+    text = F.concat(F.lit(LOST[0]), F.coalesce("name", F.lit("Sheet")), F.lit(LOST[1]))
     return lost.select("response_id", F.col("ord").alias("seq"), text.alias("message"))
 
 
 def unreadable_workbooks(workbooks: DataFrame, catalogue: DataFrame) -> DataFrame:
     """response_id and message of workbooks without any readable sheet."""
-    return workbooks.select("response_id").distinct().join(catalogue, "response_id", "left_anti").withColumn("message", F.lit("No readable worksheets in the container"))
+    return workbooks.select("response_id").distinct().join(catalogue, "response_id", "left_anti").withColumn("message", F.lit(NO_SHEETS))
 
 
 def style_is_date(xfs: DataFrame, numfmts: DataFrame) -> DataFrame:

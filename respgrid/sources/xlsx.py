@@ -17,6 +17,10 @@ from respgrid.operators import workbook
 # The parts that are read.
 WORKBOOK, RELATIONS, STRINGS, STYLES = "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml", "xl/styles.xml"
 SHEETS = ("xl/worksheets/", ".xml")
+#: Elements of a string that tell how it is spoken.
+HINTS = frozenset({"rPh", "phoneticPr"})
+# Fixed value: what users are told, in the words that results must have.
+NO_WORKBOOK = "Not an xlsx container: xl/workbook.xml is missing"
 FIELDS = [
     ("response_id", pa.int64()), ("kind", pa.string()), ("part", pa.string()), ("ord", pa.int32()), ("sub", pa.int32()), ("number", pa.int32()),
     ("flag", pa.bool_()), ("name", pa.string()), ("type", pa.string()), ("value", pa.string()), ("text", pa.string()),
@@ -104,26 +108,25 @@ class _Texts(_Walk):
     """Texts of rich or plain strings, without phonetic hints."""
 
     run: list[str] | None = None
-    hints, inside = 0, False
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.within: list[str] = []  # names of the open elements of a string
 
     def text_start(self, name: str) -> None:
-        if name in ("rPh", "phoneticPr"):
-            self.hints += 1
-        elif name == "t" and not self.hints:
-            self.inside = True
+        self.within.append(name)
 
     def text_end(self, name: str) -> None:
-        if name in ("rPh", "phoneticPr"):
-            self.hints = max(0, self.hints - 1)
-        elif name == "t":
-            self.inside = False
+        while name in self.within and self.within.pop() != name:
+            pass
 
     def text(self, data: str) -> None:
-        if self.inside and self.run is not None:
+        if self.run is not None and self.within[-1:] == ["t"] and HINTS.isdisjoint(self.within):
             self.run.append(data)
 
     def taken(self, limits: Limits) -> str:
-        whole, self.run, self.inside, self.hints = "".join(self.run or ()), None, False, 0
+        whole, self.run = "".join(self.run or ()), None
+        self.within.clear()
         return whole if len(whole) <= limits.cell_chars else whole[: limits.cell_chars] + "…"
 
 
@@ -224,7 +227,7 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
     """The records of one workbook, one after another."""
     parts = _parts(body, limits)
     if WORKBOOK not in parts:
-        raise ValueError("Not an xlsx container: xl/workbook.xml is missing")
+        raise ValueError(NO_WORKBOOK)
     book = _Book()
     sheets = list(book.over(parts[WORKBOOK]))
     yield {"kind": "workbook"}
