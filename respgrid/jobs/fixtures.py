@@ -210,6 +210,51 @@ def xlsx_bytes(rows: list[tuple]) -> bytes:
     return out.getvalue()
 
 
+def rich_xlsx_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A real XLSX body for each customer with orders, on every other row: priority, nothing, date, status, whether it is open, key, an error or nothing, price."""
+    day = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1899-12-30")))
+    listed = F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus", "o_orderpriority", day.alias("day"), F.col("o_totalprice").cast("decimal(12,2)").alias("price"))))
+    grouped = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("response_id")).agg(listed.alias("orders"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [rich_xlsx_bytes([tuple(o.values()) for o in rows]) for rows in batch.column("orders").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+
+    none = F.lit(None).cast("string")
+    return grouped.mapInArrow(run, "response_id long, body binary").select(
+        "response_id", F.concat(F.lit("/rich/"), F.col("response_id").cast("string")).alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body"
+    )
+
+
+def rich_xlsx_bytes(rows: list[tuple]) -> bytes:
+    """rows: key, status, priority, day, price. Priorities are rich inline strings, days have a date's style, statuses are shared strings with a
+    spoken form, keys a formula's text; the last cells have no reference, every other row has no number."""
+    statuses = sorted({r[1] for r in rows})
+    lines = []
+    for k, (key, status, priority, day, price) in enumerate(rows):
+        number = 2 * k + 1
+        cells = f'<c r="A{number}" t="inlineStr"><is><r><t>{escape(priority[:2])}</t></r><r><rPr><b/></rPr><t>{escape(priority[2:])}</t></r></is></c>'
+        cells += f'<c r="C{number}" s="1"><v>{day}</v></c><c r="D{number}" t="s"><v>{statuses.index(status)}</v></c>'
+        cells += f'<c r="E{number}" t="b"><v>{int(status == "O")}</v></c><c t="str"><f>CONCAT(1,"&lt;")</f><v>{key}!</v></c>'
+        cells += f'<c t="{"e" if key % 2 == 0 else "str"}"><v>{"#N/A" if key % 2 == 0 else ""}</v></c><c><v>{price}</v></c>'
+        # A row without a number follows the one before; here that is a blank one.
+        lines.append(f'<row r="{number}">{cells}</row><row/>')
+    shared = "".join(f"<si><r><t>{escape(s)}</t></r><r><t xml:space='preserve'> &amp; status</t></r><rPh sb='0' eb='1'><t>spoken</t></rPh></si>" for s in statuses)
+    parts = {
+        "xl/workbook.xml": '<workbook xmlns:r="r"><sheets><sheet name="Rich" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="/xl/worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": '<styleSheet><cellStyleXfs><xf numFmtId="9"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": f"<sst>{shared}</sst>",
+        "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{''.join(lines)}</sheetData></worksheet>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as container:
+        for name, xml in parts.items():
+            container.writestr(name, xml)
+    return out.getvalue()
+
+
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of documents by doc_id modulo 8: gzip, zlib, a raw stream, two gzip members, text that only its header calls compressed,
     a gzip file whose end is cut off, text as it is, and none. All but the second, third and fifth have a PDF marker in front."""

@@ -144,6 +144,14 @@ UNION ALL SELECT response_id, 'sheets', 'Orders ' || n || ' 8' FROM b WHERE resp
          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, CAST(CAST(o_totalprice AS DECIMAL(12,2)) AS VARCHAR)) - 1 AS row_idx FROM orders)
 SELECT response_id, 0 AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, unnest([0, 1, 2]) AS col_idx,
        unnest([CAST(o_orderkey AS VARCHAR), o_orderstatus, regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '')]) AS text FROM r""",
+    "s3_rich_xlsx_cells": r"""WITH r AS (
+  SELECT o_custkey AS response_id, o_orderkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE) AS day, CAST(o_totalprice AS DECIMAL(12,2)) AS price,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, o_orderpriority, CAST(o_orderdate AS DATE), CAST(o_totalprice AS DECIMAL(12,2))) - 1 AS k FROM orders), c AS (
+SELECT response_id, 0 AS sheet_idx, CAST(2 * k AS INTEGER) AS row_idx, unnest([0, 2, 3, 4, 5, 6, 7]) AS col_idx,
+       unnest([o_orderpriority, strftime(day, '%Y-%m-%d'), o_orderstatus || ' & status', CASE WHEN o_orderstatus = 'O' THEN 'TRUE' ELSE 'FALSE' END, o_orderkey || '!',
+               CASE WHEN o_orderkey % 2 = 0 THEN '#N/A' ELSE '' END, regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '')]) AS text FROM r)
+SELECT * FROM c WHERE text <> ''""",
+    "t2_latest_stream": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "d4_d6_file_name": f"WITH {PAGES} SELECT response_id, file_name FROM pages_n",
     "d7_pdf_marker": r"SELECT doc_id AS response_id, (doc_id % 7 IN (0, 1)) OR (doc_id % 7 > 2 AND position('%PDF' IN left(text, 1028)) > 0) AS pdf, false AS gzip, false AS zip FROM documents",
     "d10_declared_type": f"WITH {PAGES} SELECT response_id, nullif(file_type, 'UNKNOWN') AS declared, false AS compressed FROM pages_t",

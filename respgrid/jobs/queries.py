@@ -328,6 +328,11 @@ def s3_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xlsx.xlsx_tables(_detected(X.xlsx_bodies(spark, sf_dir)), scratch(spark, "xlsx"))["cells"]
 
 
+def s3_rich_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates, gaps between rows and cells, rich and phonetic strings, booleans, formulas' values and errors."""
+    return xlsx.xlsx_tables(_detected(X.rich_xlsx_bodies(spark, sf_dir)), scratch(spark, "xlsx"))["cells"].where("text != ''")
+
+
 def s4_xls_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in 32 bits, formulas' cached values and strings cut by a continuation, through the reader of legacy workbooks."""
     return xls.xls_tables(_detected(X.xls_bodies(spark, sf_dir)), scratch(spark, "xls"))["cells"].select("response_id", "sheet_idx", "row_idx", "col_idx", "text")
@@ -433,8 +438,17 @@ def t2_latest_per_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.latest_per_view(events, "user_id", "event_id")
 
 
+def t2_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as t2_latest_per_view from a stream in update mode, whose files come one at a time."""
+    source, sink = scratch(spark, "results"), scratch(spark, "newest")
+    X.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").repartition(4, "event_id").write.parquet(source)
+    arriving = spark.readStream.schema("user_id long, event_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(source)
+    triage.latest_stream(arriving, "user_id", "event_id", sink, scratch(spark, "stream")).awaitTermination()
+    return triage.latest_per_view(spark.read.parquet(sink), "user_id", "event_id")
+
+
 ALL: list[Query] = [
-    s1_read_responses, k1_savable_bodies, k2_csv_export, s3_xlsx_cells,
+    s1_read_responses, k1_savable_bodies, k2_csv_export, s3_xlsx_cells, s3_rich_xlsx_cells,
     d2_compressed_flags, d3_expanded_bodies, d9_legacy_excel, d15_sniff_against_detect, f10_expanded_header, s4_xls_cells, x12_packed_numbers, x14_formula_values, x16_xls_messages,
     d4_d6_file_name, d7_pdf_marker, d10_declared_type, d11_mostly_printable, d12_guess_delimiter, d13_classify_orders, d14_detect, d15_sniff, d16_renderable, d18_open_status,
     f1_number_text, f2_date_serial_text, f3_f4_date_formats, f5_clamp_cell, f6_as_number, f7_f8_columns, f9_human_bytes, f10_f13_file_header, f11_suggested_name, f12_csv_quote,
@@ -442,7 +456,7 @@ ALL: list[Query] = [
     x1_sheet_catalogue, x2_missing_sheets, x3_x5_cell_text, x4_style_is_date, x6_place_rows, x7_place_columns, x8_last_cell_wins, x9_cut_wide_rows, x10_assembled_cells, x11_dense_rows,
     x13_boolerr_text, x15_out_of_bounds, x17_all_cells,
     g1_to_wide, g2_g3_header, g4_filter, g5_sort, g6_row_counts, g7_csv_lines, g8_numeric_cells, g9_column_widths, g10_notices, g11_sample_head,
-    a1_sheet_shape, a2_triage_summary, a3_open_summary, t1_triage_stream, t2_latest_per_view,
+    a1_sheet_shape, a2_triage_summary, a3_open_summary, t1_triage_stream, t2_latest_per_view, t2_latest_stream,
 ]
 
 

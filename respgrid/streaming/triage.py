@@ -29,3 +29,17 @@ def latest_per_view(results: DataFrame, key: str, generation: str) -> DataFrame:
     others = [c for c in results.columns if c not in (key, generation)]
     newest = results.groupBy(key).agg(F.max(F.struct(generation, *others)).alias("newest"))
     return newest.select(key, *[F.col("newest")[c].alias(c) for c in (generation, *others)])
+
+
+def latest_stream(results: DataFrame, key: str, generation: str, sink: str, checkpoint: str) -> StreamingQuery:
+    """Appends to sink, at each trigger, the newest generation of every key that the trigger changed; ends when all that is there has been read.
+
+    The sink's rows of a key follow each other in their generation, so that a reader takes the last. A trigger that is
+    run again writes the same rows once more.
+    """
+
+    def append(changed: DataFrame, _: int) -> None:
+        changed.write.mode("append").parquet(sink)
+
+    newest = latest_per_view(results, key, generation)
+    return newest.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("update").start()
