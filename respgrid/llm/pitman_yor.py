@@ -42,7 +42,7 @@ from respgrid.llm import encoding
 from respgrid.llm.common import remove, text_or_empty, written
 
 #: Bytes of text in a chunk, and for which there is a bucket.
-CHUNK_BYTES, BUCKET_BYTES = 32_000_000, 32_000_000
+CHUNK_BYTES, BUCKET_BYTES = 16_000_000, 32_000_000
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 BURN_IN, SAMPLES, SEED = 2, 3, 20_231
 #: Customers of a dish up to which tables are drawn exactly.
@@ -246,22 +246,20 @@ def _merged(buckets: int, width: int):
 
     def run(table: pa.Table) -> pa.Table:
         bucket, kinds = _by_kind(table)
-        rows, contexts, dishes, counts, ends = kinds["pairs"], [], [], [], []
-        for r in rows:
-            each, own, steps = unpack(r["b"]).astype(np.int64), unpack_sorted(r["a"]), unpack(r["d"]).astype(np.int64)
+        rows = kinds["pairs"]
+        owns, lists = [unpack_sorted(r["a"]) for r in rows], [unpack_sorted(r["c"]) for r in rows]
+        context, dish = np.unique(np.concatenate(owns)), np.unique(np.concatenate(lists))
+        codes, counts = [], []
+        for r, own, listed in zip(rows, owns, lists, strict=True):
+            each, steps = unpack(r["b"]).astype(np.int64), unpack(r["d"]).astype(np.int64)
             # Steps start anew in each context.
             sums, begins = np.cumsum(steps), np.r_[0, np.cumsum(each)[:-1]]
             which = sums - np.repeat(sums[begins] - steps[begins], each)
-            contexts.append(np.repeat(own, each))
-            dishes.append(unpack_sorted(r["c"])[which])
+            codes.append(np.repeat(np.searchsorted(context, own) * len(dish), each) + np.searchsorted(dish, listed)[which])
             counts.append(unpack(r["e"]))
-            ends.append(len(steps))
-        context, at_context = np.unique(np.concatenate(contexts), return_inverse=True)
-        dish, at_dish = np.unique(np.concatenate(dishes), return_inverse=True)
-        del contexts, dishes
-        codes, at = np.unique(at_context * len(dish) + at_dish, return_inverse=True)
-        del at_context, at_dish
-        n = np.bincount(at, np.concatenate(counts).astype(float), len(codes)).astype(np.int64)
+        ends = [len(x) for x in codes]
+        codes, at = np.unique(np.concatenate(codes), return_inverse=True)
+        n = np.bincount(at, np.concatenate(counts), len(codes)).astype(np.int64)
         out = [{"kind": "counts", "bucket": bucket, "other": r["other"], "a": pack(n[x])} for r, x in zip(rows, np.split(at, np.cumsum(ends)[:-1]), strict=True)]
         of, word = codes // len(dish), codes % len(dish)
         single = n == 1
@@ -390,15 +388,12 @@ def _replies(shift: int, discount: float, parents: list[tuple[float, float]]):
     return run
 
 
-def predictive(seats: Seats, counts: np.ndarray, customers: np.ndarray, roots: np.ndarray, seats_open: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Each pair's probability, averaged over the samples; roots (of the words), seats_open and weights (of the contexts) have a row for each sample."""
-    out = np.zeros(len(counts))
+def predictive(seats: Seats, counts: np.ndarray, customers: np.ndarray, root: np.ndarray, rest: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Each pair's probability in one sample, from its count, the parent's probability of its word, and its context's customers, open seats and weight."""
     some = np.flatnonzero(counts > 1)
-    for root, rest, weight in zip(roots, seats_open, weights, strict=True):
-        tables = np.minimum(counts, 1).astype(float)
-        tables[some] = seats.expected(counts[some], weight[some] * root[some])
-        out += (counts - seats.discount * tables + rest * root) / (STRENGTH + customers)
-    return out / len(roots)
+    tables = np.minimum(counts, 1).astype(float)
+    tables[some] = seats.expected(counts[some], weight[some] * root[some])
+    return (counts - seats.discount * tables + rest * root) / (STRENGTH + customers)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -414,8 +409,10 @@ def _scores(seats: Seats, train_tokens: int, vocabulary: int, n_samples: int):
         by_sample = lambda c: np.concatenate([unpack_floats(r[c]).reshape(n_samples, -1) for r in replies], axis=1)
         c, customers = _joined(replies, "a").astype(np.int64), _joined(replies, "b").astype(np.int64)
         counts = _joined([r for r in found if r["kind"] == "counts"], "a").astype(np.int64)
-        of, word = chunk.context, chunk.word
-        p = np.log10(predictive(seats, counts, customers[of], by_sample("c")[:, word], by_sample("d")[:, of], by_sample("e")[:, of]))
+        of, word, total = chunk.context, chunk.word, np.zeros(len(counts))
+        for root, rest, weight in zip(by_sample("c"), by_sample("d"), by_sample("e"), strict=True):
+            total += predictive(seats, counts, customers[of], root[word], rest[of], weight[of])
+        p = np.log10(total / n_samples)
         base = np.log10((c + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
         starts = np.r_[0, chunk.ends[:-1]]
         columns = {

@@ -396,9 +396,10 @@ def test_predictive_sums_to_one():
         for t, w, root in zip(tables, weights, roots, strict=True):
             t[counts > 1] = seats.expected(counts[counts > 1], w * root[counts > 1])
         rest = np.array([pitman_yor.STRENGTH + discount * t.sum() for t in tables])
-        n = len(counts)
-        p = pitman_yor.predictive(seats, counts, np.full(n, counts.sum()), roots, np.repeat(rest[:, None], n, 1), np.repeat(weights[:, None], n, 1))
-        assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
+        same = lambda x: np.full(len(counts), x)
+        for root, open_seats, weight in zip(roots, rest, weights, strict=True):
+            p = pitman_yor.predictive(seats, counts, same(counts.sum()), root, same(open_seats), same(weight))
+            assert abs(p.sum() - 1) < 1e-9 and (p > 0).all()
 
 
 def test_tables_of_many_customers(monkeypatch):

@@ -49,7 +49,7 @@ def plain_mix(spark, rows):
 
 
 def rows_of(df):
-    return sorted(map(tuple, df.collect()))
+    return sorted(map(tuple, df.collect()), key=str)
 
 
 def test_run_against_plain(spark, table):
@@ -90,3 +90,17 @@ def test_mixture_reaches_the_rows(spark, table, monkeypatch):
         monkeypatch.setattr(corpus_pipeline, "STAGES", [*stages[:3], ("mixing sources", mix), stages[4]])
         other = rows_of(corpus_pipeline.run(spark, path))
         assert other != rows and [r[:5] for r in other] == [r[:5] for r in rows]
+
+
+def test_empty_table_and_clashing_columns(spark, table, tmp_path):
+    path, kept = table
+    rows = rows_of(corpus_pipeline.run(spark, path))
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    clashing = docs.withColumns({c: F.lit(7).cast("long") for c in ("kept", "run", "fp", "block", "slot", "offset", "class", "length", "start", "digest")})
+    # A row without a doc_id, and one that is there twice.
+    odd = clashing.unionByName(clashing.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long")).withColumn("text", F.lit(words(200, 99)))).unionByName(clashing.where("doc_id = 20"))
+    odd.write.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    found = rows_of(corpus_pipeline.run(spark, f"file://{tmp_path}/odd"))
+    assert [r[:5] for r in found if r[0] is not None] == [r[:5] for r in rows] and sum(r[0] is None for r in found) == 1
+    docs.where("false").write.parquet(f"file://{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}/none").count() == 0
