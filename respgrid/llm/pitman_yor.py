@@ -43,6 +43,8 @@ from respgrid.llm.common import remove, text_or_empty, written
 
 #: Bytes of text in a chunk, and for which there is a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 16_000_000, 32_000_000
+#: Buckets or chunks are dealt to so many tasks at most; a task takes one after another.
+MOST_TASKS = 20_000
 STRENGTH, PARENT_STRENGTH = 1.0, 1.0
 BURN_IN, SAMPLES, SEED = 2, 3, 20_231
 #: Customers of a dish up to which tables are drawn exactly.
@@ -88,6 +90,19 @@ def unpack_floats(data: bytes) -> np.ndarray:
     return unpack(data).astype("<u4").view("<f4").astype(np.float64)
 
 
+def pack_samples(samples: list[np.ndarray]) -> bytes:
+    """The same floats of several samples: the first, and where the others differ from it, which most don't."""
+    bits = np.array([np.ascontiguousarray(x, "<f4").view("<u4") for x in samples])
+    bits[1:] ^= bits[0]
+    return pack(bits.ravel())
+
+
+def unpack_samples(data: bytes, n: int) -> np.ndarray:
+    bits = unpack(data).astype("<u4").reshape(n, -1)
+    bits[1:] ^= bits[0]
+    return bits.view("<f4").astype(np.float64)
+
+
 class Seats:
     """Tables of dishes, given their customers and the weight of a table, for one discount."""
 
@@ -147,13 +162,17 @@ class Chunk:
     """The words of some texts, sorted by hash, and their tokens."""
 
     def __init__(self, words: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, held: np.ndarray):
-        self.words, self.tokens, self.sizes, self.held = words, tokens, sizes, held
+        self.words, self.tokens, self.sizes, self.held = words, tokens.astype(np.int32), sizes, held
         self.ends = np.cumsum(sizes)
+        codes = np.empty(len(tokens), np.int64)
+        codes[1:] = self.tokens[:-1]
         # The end is the context of each text's first token.
-        before = np.r_[0, tokens[:-1]]
-        before[np.r_[0, self.ends[:-1]]] = int(np.searchsorted(words, np.uint64(END)))
-        self.codes, self.at = np.unique(before * len(words) + tokens, return_inverse=True)
-        self.context, self.word = self.codes // len(words), self.codes % len(words)
+        codes[np.r_[0, self.ends[:-1]]] = int(np.searchsorted(words, np.uint64(END)))
+        codes *= len(words)
+        codes += self.tokens
+        codes, at = np.unique(codes, return_inverse=True)
+        self.at, self.n_pairs = at.astype(np.int32), len(codes)
+        self.context, self.word = (codes // len(words)).astype(np.int32), (codes % len(words)).astype(np.int32)
 
     @classmethod
     def of(cls, texts: pa.Array, held: np.ndarray) -> Chunk:
@@ -178,7 +197,7 @@ class Chunk:
 
     def rows(self, name: int, buckets: int, shift: int, ids: bytes, nulls: np.ndarray) -> Iterator[dict]:
         training = np.repeat(~self.held, self.sizes)
-        counts = np.bincount(self.at[training], minlength=len(self.codes))
+        counts = np.bincount(self.at[training], minlength=self.n_pairs)
         word_counts = np.bincount(self.tokens[training], minlength=len(self.words))
         # Frequent words get the small numbers: they compress better.
         order = np.argsort(-np.bincount(self.tokens, minlength=len(self.words)), kind="stable")
@@ -201,6 +220,11 @@ class Chunk:
                 yield {"kind": "pairs", "bucket": k, "other": name, "a": pack_sorted(short[contexts]), "b": pack(each), "c": pack_sorted(short[dishes]), "d": pack(steps), "e": pack(counts[x:y])}
 
 
+def _free() -> None:
+    """Gives back what Arrow keeps for later: workers live on through stages whose memory is another's."""
+    pa.default_memory_pool().release_unused()
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{c: r.get(c) for c in NAMES} for r in rows], FIELDS)
 
@@ -217,6 +241,8 @@ def _chunks(buckets: int, shift: int):
                 nulls = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
                 yield _batch(list(found.rows((task << 32) + number, buckets, shift, ids, nulls)))
                 number += 1
+                del found
+                _free()
 
     return run
 
@@ -356,15 +382,15 @@ def _context_step(seats: Seats, parent: tuple[float, float], sweep: int, sample:
     return run
 
 
-def _replies(shift: int, discount: float, parents: list[tuple[float, float]]):
-    """For the words of each chunk: training counts, the parent's probabilities, and as contexts customers, open seats and weights."""
+def _replies(shift: int):
+    """For the words of each chunk: training counts and what is left to the parent's customers; as contexts, customers, tables and weights."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket, kinds = _by_kind(table)
         vocabulary = kinds["vocabulary"][0]
         words, counts = unpack_sorted(vocabulary["a"]), unpack(vocabulary["b"])
-        roots = [(unpack_floats(r["a"]) + x) / y for r, (x, y) in zip(kinds["parent"], parents, strict=True)]
-        customers, samples = np.zeros(len(words)), [(np.zeros(len(words)), np.zeros(len(words))) for _ in parents]
+        left = [unpack_floats(r["a"]) for r in kinds["parent"]]
+        customers, samples = np.zeros(len(words)), [(np.zeros(len(words)), np.zeros(len(words))) for _ in left]
         if "contexts" in kinds:
             r = kinds["contexts"][0]
             own, n, alone, lively = unpack_sorted(r["a"]), unpack(r["b"]), unpack(r["c"]), unpack_sorted(r["d"]).astype(np.int64)
@@ -381,7 +407,7 @@ def _replies(shift: int, discount: float, parents: list[tuple[float, float]]):
             at = np.searchsorted(words, unpack_sorted(r["a"]))
             out.append({
                 "kind": "replies", "bucket": bucket, "other": r["other"], "a": pack(counts[at]), "b": pack(customers[at]),
-                "c": pack_floats(np.concatenate([x[at] for x in roots])), "d": pack_floats(np.concatenate([STRENGTH + discount * t[at] for t, _ in samples])), "e": pack_floats(np.concatenate([w[at] for _, w in samples])),
+                "c": pack_samples([x[at] for x in left]), "d": pack_samples([t[at] for t, _ in samples]), "e": pack_samples([w[at] for _, w in samples]),
             })
         return pa.Table.from_batches([_batch(out)])
 
@@ -399,20 +425,24 @@ def predictive(seats: Seats, counts: np.ndarray, customers: np.ndarray, root: np
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _scores(seats: Seats, train_tokens: int, vocabulary: int, n_samples: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        text, found = left.to_pylist()[0], sorted(right.to_pylist(), key=lambda r: r["bucket"])
+def _scores(seats: Seats, train_tokens: int, vocabulary: int, parents: list[tuple[float, float]]):
+    def run(table: pa.Table) -> pa.Table:
+        found = sorted(table.to_pylist(), key=lambda r: r["bucket"])
+        del table
+        _free()
+        text = found[0]  # its bucket is -1
         ids, flags, sizes = np.frombuffer(text["a"], "<i8"), unpack(text["b"]).astype(int), unpack(text["c"]).astype(np.int64)
         held = (flags & 1) == 1
         chunk = Chunk(unpack_sorted(text["e"]), unpack(text["f"]).astype(np.int64)[unpack(text["d"]).astype(np.int64)], sizes, held)
         replies = [r for r in found if r["kind"] == "replies"]
-        by_sample = lambda c: np.concatenate([unpack_floats(r[c]).reshape(n_samples, -1) for r in replies], axis=1)
+        by_sample = lambda c: np.concatenate([unpack_samples(r[c], len(parents)) for r in replies], axis=1)
         c, customers = _joined(replies, "a").astype(np.int64), _joined(replies, "b").astype(np.int64)
         counts = _joined([r for r in found if r["kind"] == "counts"], "a").astype(np.int64)
         of, word, total = chunk.context, chunk.word, np.zeros(len(counts))
-        for root, rest, weight in zip(by_sample("c"), by_sample("d"), by_sample("e"), strict=True):
+        for left, tables, weight, (shared, size) in zip(by_sample("c"), by_sample("d"), by_sample("e"), parents, strict=True):
+            root, rest = (left + shared) / size, STRENGTH + seats.discount * tables
             total += predictive(seats, counts, customers[of], root[word], rest[of], weight[of])
-        p = np.log10(total / n_samples)
+        p = np.log10(total / len(parents))
         base = np.log10((c + 0.5) / (train_tokens + 0.5 * (vocabulary + 1)))
         starts = np.r_[0, chunk.ends[:-1]]
         columns = {
@@ -460,16 +490,19 @@ def score_texts(docs: DataFrame, held_out: str = "held") -> DataFrame:
         x, y = kind(df, name).agg(F.sum("x"), F.sum("y")).first()
         return x or 0, y or 0
 
+    # A task for each bucket, whatever their hashes, as long as there aren't too many.
+    tasks = min(buckets, MOST_TASKS)
+    spread = lambda df: df.repartitionByRange(tasks, "bucket")
     chunks, path = kept(rows.mapInArrow(_chunks(buckets, shift), ROW), "lm-chunks")
-    pairs, _ = kept(kind(chunks, "pairs").groupBy("bucket").applyInArrow(_merged(buckets, width), ROW), "lm-pairs")
+    pairs, _ = kept(spread(kind(chunks, "pairs")).groupBy("bucket").applyInArrow(_merged(buckets, width), ROW), "lm-pairs")
     remove(spark, f"{path}/kind=pairs")
     seats = Seats(estimated_discount(*sums(pairs, "seen")))
     own = kind(chunks, "words").unionByName(kind(pairs, "singles", "moving"))
-    words, _ = kept(own.groupBy("bucket").applyInArrow(_vocabulary(shift), ROW), "lm-words")
+    words, _ = kept(spread(own).groupBy("bucket").applyInArrow(_vocabulary(shift), ROW), "lm-words")
     (train_tokens, vocabulary), parent_seats = sums(words, "size"), Seats(estimated_discount(*sums(words, "seen")))
 
     # What each sweep reads stays where it is.
-    dealt = lambda df: df.repartition(buckets, "bucket").persist(StorageLevel.DISK_ONLY)
+    dealt = lambda df: df.repartition(tasks, "bucket").persist(StorageLevel.DISK_ONLY)
     state, single = dealt(kind(pairs, "state")), dealt(kind(words, "single", "places"))
     tables = held = spark.createDataFrame([], ROW)
     samples, parents, parent_tables = [], [], vocabulary
@@ -492,9 +525,10 @@ def score_texts(docs: DataFrame, held_out: str = "held") -> DataFrame:
     asked = kind(chunks, "words").unionByName(kind(words, "vocabulary")).unionByName(kind(pairs, "contexts"))
     for df in samples:
         asked = asked.unionByName(df)
-    replies = asked.groupBy("bucket").applyInArrow(_replies(shift, seats.discount, parents), ROW)
-    answers = replies.unionByName(kind(pairs, "counts"))
-    return kind(chunks, "texts").groupBy("other").cogroup(answers.groupBy("other")).applyInArrow(_scores(seats, train_tokens, vocabulary, len(parents)), SCORES)
+    replies = spread(asked).groupBy("bucket").applyInArrow(_replies(shift), ROW)
+    told = kind(chunks, "texts").unionByName(kind(pairs, "counts")).unionByName(replies)
+    n_chunks = kind(chunks, "texts").count()
+    return told.repartitionByRange(min(n_chunks, MOST_TASKS), "other").groupBy("other").applyInArrow(_scores(seats, train_tokens, vocabulary, parents), SCORES)
 
 
 def one_fifth(docs: DataFrame) -> DataFrame:
