@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most words that a worker remembers, and bytes of text that are split at once.
-REMEMBERED, AT_ONCE = 400_000, 6_000_000
+REMEMBERED, AT_ONCE = 120_000, 6_000_000
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", at_once: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
@@ -32,6 +32,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", at_once: int = AT_ONCE)
         end = max(begin + 1, int(np.searchsorted(ends, before + at_once, "right")))
         yield batch.slice(begin, end - begin)
         begin = end
+    # Workers live on through stages whose memory is another's: what Arrow keeps for later goes back.
+    pa.default_memory_pool().release_unused()
 
 
 def filled(batch: pa.RecordBatch, column: str = "text") -> pa.Array:
