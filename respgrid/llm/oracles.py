@@ -39,5 +39,46 @@ FROM marked GROUP BY doc_id
 """
 
 
+# Each round: every part's nearest entry, then the floored means.
+_OP12_ROUND = r"""
+near{k} AS MATERIALIZED (
+  SELECT p, vec_id, ints, min(struct_pack(d := d, i := i)) AS best FROM (
+    SELECT v.p, v.vec_id, v.ints, b.i, list_sum(list_transform(range(1, len(v.ints) + 1), lambda j: (v.ints[j] - b.ints[j]) * (v.ints[j] - b.ints[j]))) AS d
+    FROM parts v JOIN book{k} b ON v.p = b.p)
+  GROUP BY p, vec_id, ints
+)"""
+_OP12_BOOK = r"""
+mean{k} AS MATERIALIZED (
+  SELECT p, i, list(m ORDER BY j) AS ints FROM (
+    SELECT p, best.i AS i, j, CAST(floor(sum(ints[j]) / count(*)) AS BIGINT) AS m FROM near{k}, (SELECT unnest(range(1, 17)) AS j) GROUP BY p, best.i, j)
+  GROUP BY p, i
+), book{next} AS MATERIALIZED (
+  SELECT b.p, b.i, coalesce(m.ints, b.ints) AS ints FROM book{k} b LEFT JOIN mean{k} m ON b.p = m.p AND b.i = m.i
+)"""
+
+OP12 = (
+    r"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), parts AS MATERIALIZED (
+  SELECT vec_id, p, ints[p * 16 + 1 : p * 16 + 16] AS ints FROM kept, (SELECT unnest(range(4)) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, ints, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i FROM parts QUALIFY i < 256
+), """
+    + ", ".join(_OP12_ROUND.format(k=k) + ", " + _OP12_BOOK.format(k=k, next=k + 1) for k in range(4))
+    + ", "
+    + _OP12_ROUND.format(k=4)
+    + r""", coded AS (
+  SELECT n.vec_id, k.label, string_agg(lower(lpad(to_base(best.i, 16), 2, '0')), '' ORDER BY p) AS code, CAST(sum(best.d) AS BIGINT) AS error
+  FROM near4 n JOIN kept k ON n.vec_id = k.vec_id GROUP BY n.vec_id, k.label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(ints, ','), ',' ORDER BY p, i)) FROM book4) AS codebooks_sha256
+FROM coded
+"""
+)
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op10_line_dedup": OP10}
+    return {"op5_exact_dedup": OP5, "op10_line_dedup": OP10, "op12_vector_codes": OP12}

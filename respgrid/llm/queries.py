@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, token_counts
-from respgrid.llm.common import documents
+from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, token_counts, vector_codes
+from respgrid.llm.common import documents, stored
 
 
 def tokenizer(name: str) -> str:
@@ -65,6 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    found = vector_codes.with_label_error(stored(coded, "vector-codes"))
+    digest = F.lit(books.digest() if books else None).cast("string")
+    return found.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -77,4 +84,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor": op8_pitman_yor,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op12_vector_codes": op12_vector_codes,
     }
