@@ -39,6 +39,20 @@ FROM marked GROUP BY doc_id
 """
 
 
+# Base32 has four digits for every five hexadecimal ones.
+OP11 = r"""
+WITH digests AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS hexed FROM pages
+), ranked AS (
+  SELECT *, first_value(page_id) OVER w AS top, row_number() OVER w AS nth FROM digests WINDOW w AS (PARTITION BY hexed ORDER BY page_id DESC NULLS LAST)
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(32), lambda c:
+         substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substring(hexed, (c // 4) * 5 + 1, 5) AS BIGINT) >> (15 - 5 * (c % 4))) & 31 AS INTEGER) + 1, 1)), '') AS payload_digest,
+       CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN nth > 1 THEN top END AS refers_to
+FROM ranked
+"""
+
 # Each round: every part's nearest entry, then the floored means.
 _OP12_ROUND = r"""
 near{k} AS MATERIALIZED (
@@ -81,4 +95,4 @@ FROM coded
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op10_line_dedup": OP10, "op12_vector_codes": OP12}
+    return {"op5_exact_dedup": OP5, "op10_line_dedup": OP10, "op11_warc": OP11, "op12_vector_codes": OP12}

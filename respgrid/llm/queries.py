@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, token_counts, vector_codes
+from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, token_counts, vector_codes, warc
 from respgrid.llm.common import documents, stored
 
 
@@ -65,6 +65,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_digests(docs, line_dedup.keep_bitmaps(docs))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    _, index = warc.archived(pages)
+    found = stored(warc.lookup(index, pages.select("url", "page_id")), "found-captures")
+    return warc.read_records(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded, books = vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     found = vector_codes.with_label_error(stored(coded, "vector-codes"))
@@ -84,5 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor": op8_pitman_yor,
         "op9_simhash": op9_simhash,
         "op10_line_dedup": op10_line_dedup,
+        "op11_warc": op11_warc,
         "op12_vector_codes": op12_vector_codes,
     }
