@@ -94,5 +94,49 @@ FROM coded
 )
 
 
+# CRC-32 by its table, which follows from the polynomial. Near words share what one of them is without a character, or both without the same one.
+OP13 = r"""
+WITH RECURSIVE bits(b, v, k) AS (
+  SELECT b, b::BIGINT, 0 FROM range(256) t(b)
+  UNION ALL
+  SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(v ORDER BY b) AS t FROM bits WHERE k = 8
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY doc_id, run
+), hexed AS (
+  SELECT run, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substring(x, i * 2 + 1, 2) AS BIGINT)),
+                     lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) AS h
+  FROM hexed, crc
+), words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM words a JOIN cut b ON a.word = b.rest
+  UNION SELECT b.word, b.n, a.word, a.n FROM words a JOIN cut b ON a.word = b.rest
+), ranked AS (
+  SELECT word, n, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 2 * w.n THEN r.other END AS form, CASE WHEN r.other_n >= 2 * w.n THEN r.other_n END AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word
+), way(word, last) AS (
+  SELECT word, word FROM formed
+  UNION ALL
+  SELECT way.word, f.form FROM way JOIN formed f ON way.last = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, w.last AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN way w ON f.word = w.word JOIN formed e ON w.last = e.word WHERE e.form IS NULL
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5, "op10_line_dedup": OP10, "op11_warc": OP11, "op12_vector_codes": OP12}
+    return {"op5_exact_dedup": OP5, "op10_line_dedup": OP10, "op11_warc": OP11, "op12_vector_codes": OP12, "op13_spelling": OP13}

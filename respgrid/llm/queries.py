@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, token_counts, vector_codes, warc
+from respgrid.llm import exact_dedup, html_extraction, license_scan, line_dedup, mixing, ngram_quality, packing, pitman_yor, simhash, spelling, token_counts, vector_codes, warc
 from respgrid.llm.common import documents, stored
 
 
@@ -79,6 +79,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
@@ -93,4 +97,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_line_dedup": op10_line_dedup,
         "op11_warc": op11_warc,
         "op12_vector_codes": op12_vector_codes,
+        "op13_spelling": op13_spelling,
     }
