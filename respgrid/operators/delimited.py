@@ -92,40 +92,53 @@ def finish_field(raw: Column, limits: Limits = DEFAULT) -> Column:
     return S.clamp_cell(value, limits.cell_chars)
 
 
+def kept_records(text: Column, delimiter: Column, quoted: Column) -> Column:
+    """A text's records with anything in them: ended, those with a line end, and tail, which has the last one if the end of the text ends it."""
+    records = F.when(quoted, _by_delimiter(delimiter, lambda d: _quoted_records(text, d))).otherwise(F.split(text, LINE_END, -1))
+    plain = lambda x: S.trim_edges(F.replace(x, delimiter, F.lit(""))) != ""
+    with_text = lambda x: F.when(quoted, ~_by_delimiter(delimiter, lambda d: _blank_quoted(x, d))).otherwise(plain(x))
+    return S.let(
+        records,
+        lambda x: F.struct(F.filter(F.slice(x, F.lit(1), F.size(x) - 1), with_text).alias("ended"), F.filter(F.slice(x, F.size(x), F.lit(1)), with_text).alias("tail")),
+    )
+
+
+def n_fields(record: Column, delimiter: Column, quoted: Column) -> Column:
+    plain = F.length(record) - F.length(F.replace(record, delimiter, F.lit(""))) + 1
+    return F.when(quoted, _by_delimiter(delimiter, lambda d: _n_quoted(record, d))).otherwise(plain)
+
+
+def texts(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """response_id, name and of (text, delimiter, quoted) of each CSV or TSV response."""
+    text = detected.where(F.col("file_type").isin("CSV", "TSV") & (F.length("expanded") <= limits.tabular_bytes)).select(
+        "response_id", "file_type", S.sheet_name(F.col("file_name")).alias("name"), decode_text(F.col("expanded")).alias("text")
+    )
+    told = S.let(F.col("text"), lambda t: F.struct(t.alias("text"), parse_delimiter(F.col("file_type"), t).alias("delimiter"), F.contains(t, F.lit('"')).alias("quoted")))
+    return text.select("response_id", "name", told.alias("of"))
+
+
 def parse_delimited(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """One row per CSV or TSV response: response_id, sheet_idx, name, delimiter, quoted, records, n_rows, n_cols, truncated.
 
     records has the rows with any text, up to the cap, as they are in the body; sheet_rows cuts them into cells. A row
     that the end of the text ends isn't looked at when the rows before it reach the cap.
     """
-    text = detected.where(F.col("file_type").isin("CSV", "TSV") & (F.length("expanded") <= limits.tabular_bytes)).select(
-        "response_id", "file_type", S.sheet_name(F.col("file_name")).alias("name"), decode_text(F.col("expanded")).alias("text")
-    )
-    told = text.select("response_id", "name", S.let(F.col("text"), lambda t: F.struct(t.alias("text"), parse_delimiter(F.col("file_type"), t).alias("delimiter"), F.contains(t, F.lit('"')).alias("quoted"))).alias("of"))
-
     def cut(of: Column) -> Column:
-        body, delimiter, quoted = of["text"], of["delimiter"], of["quoted"]
-        records = F.when(quoted, _by_delimiter(delimiter, lambda d: _quoted_records(body, d))).otherwise(F.split(body, LINE_END, -1))
-        plain = lambda x: S.trim_edges(F.replace(x, delimiter, F.lit(""))) != ""
-        with_text = lambda x: F.when(quoted, ~_by_delimiter(delimiter, lambda d: _blank_quoted(x, d))).otherwise(plain(x))
-
-        def capped(x: Column) -> Column:
-            ended = F.filter(F.slice(x, F.lit(1), F.size(x) - 1), with_text)
-            tail = F.filter(F.slice(x, F.size(x), F.lit(1)), with_text)
-            full = lambda e: F.size(e) >= limits.rows
-            return S.let(ended, lambda e: F.struct(F.when(full(e), F.slice(e, 1, limits.rows)).otherwise(F.concat(e, tail)).alias("records"), full(e).alias("full")))
-
-        width = lambda x: F.when(quoted, _by_delimiter(delimiter, lambda d: _n_quoted(x, d))).otherwise(F.length(x) - F.length(F.replace(x, delimiter, F.lit(""))) + 1)
-        kept = S.let(records, capped)
+        delimiter, quoted = of["delimiter"], of["quoted"]
+
+        def capped(k: Column) -> Column:
+            full = F.size(k["ended"]) >= limits.rows
+            return F.struct(F.when(full, F.slice(k["ended"], 1, limits.rows)).otherwise(F.concat(k["ended"], k["tail"])).alias("records"), full.alias("full"))
+
         return S.let(
-            kept,
+            S.let(kept_records(of["text"], delimiter, quoted), capped),
             lambda k: F.struct(
                 delimiter.alias("delimiter"), quoted.alias("quoted"), k["records"].alias("records"), k["full"].alias("full"),
-                F.coalesce(F.array_max(F.transform(k["records"], width)), F.lit(0)).alias("width"),
+                F.coalesce(F.array_max(F.transform(k["records"], lambda x: n_fields(x, delimiter, quoted))), F.lit(0)).alias("width"),
             ),
         )
 
-    sheets = told.select("response_id", "name", S.let(F.col("of"), cut).alias("s"))
+    sheets = texts(detected, limits).select("response_id", "name", S.let(F.col("of"), cut).alias("s"))
     return sheets.select(
         "response_id",
         F.lit(0).alias("sheet_idx"),
