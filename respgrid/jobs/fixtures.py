@@ -115,6 +115,52 @@ def documents_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Rows that count as blank, and how many order keys a large export has.
+BLANK, EXPORTED = ["", " , ,", "\t ", '""', ",,,"], 8192
+
+
+def exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large CSV bodies, each of the lines of a range of orders: key, number, price and a note, which every third number has in quotes over two lines.
+
+    There are blank rows of several kinds at the start, at the end and before lines of some orders; line ends vary by body.
+    """
+    key, body = F.col("l_orderkey"), F.expr(f"l_orderkey div {EXPORTED}")
+    end = F.when(body % 3 == 1, "\r\n").when(body % 3 == 2, "\r").otherwise("\n")
+    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    note = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit('"'), "l_returnflag", F.lit(', ""'), "l_linestatus", F.lit('""\n'), day, F.lit('"'))).otherwise(day)
+    line = F.concat_ws(",", key.cast("string"), F.col("l_linenumber").cast("string"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), note)
+    rows = table(spark, sf_dir, "lineitem").select(body.alias("response_id"), end.alias("end"), key, F.col("l_linenumber").alias("n"), line.alias("line"))
+    grouped = rows.groupBy("response_id", "end").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "n", "line"))).alias("lines"))
+    def with_blanks(x: Column) -> Column:
+        kind = F.element_at(F.array(*map(F.lit, BLANK)), (x["l_orderkey"] % len(BLANK)).cast("int") + 1)
+        return F.when(x["l_orderkey"] % 7 == 0, F.concat(kind, F.col("end"), x["line"])).otherwise(x["line"])
+
+    text = F.concat(F.lit(" ,"), "end", "end", F.call_function("array_join", F.transform("lines", with_blanks), F.col("end")), "end", "end", F.lit(",,"))
+    none = F.lit(None).cast("string")
+    return grouped.select(
+        "response_id",
+        F.concat(F.lit("/exports/"), F.col("response_id").cast("string"), F.lit(".csv")).alias("request_path"),
+        F.lit("text/csv").alias("content_type"),
+        none.alias("content_disposition"),
+        F.encode(text, "UTF-8").alias("body"),
+    )
+
+
+def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of documents in UTF-8, that with its mark, UTF-16 in either order with its mark, and Latin-1, by doc_id; what Latin-1 hasn't is '?' there."""
+    kind, text = F.col("doc_id") % 5, F.concat(F.lit("é;"), "text")
+    latin = F.regexp_replace(text, r"[^\x00-\xff]", "?")
+    marked = lambda mark, charset: F.concat(F.unhex(F.lit(mark)), F.encode(text, charset))
+    body = (
+        F.when(kind == 0, F.encode(text, "UTF-8"))
+        .when(kind == 1, marked("EFBBBF", "UTF-8"))
+        .when(kind == 2, marked("FFFE", "UTF-16LE"))
+        .when(kind == 3, marked("FEFF", "UTF-16BE"))
+        .otherwise(F.encode(latin, "ISO-8859-1"))
+    )
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("response_id"), body.alias("body"))
+
+
 def sort_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of one cell, a sheet for each brand: numbers, some with commas, names and empty cells."""
     key = F.col("p_partkey")

@@ -107,6 +107,17 @@ packed AS (
   FROM packed
 )"""
 
+# The lines of large exports in their order.
+EXPORTS = r"""
+export_lines AS (
+  SELECT l_orderkey // 8192 AS response_id, l_orderkey, l_linenumber,
+         [CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR),
+          CASE WHEN l_linenumber % 3 = 0 THEN l_returnflag || ', "' || l_linestatus || '"' || chr(10) ELSE '' END || strftime(l_shipdate, '%Y-%m-%d')] AS f
+  FROM lineitem
+), exported AS (
+  SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY l_orderkey, l_linenumber, CAST(f[3] AS VARCHAR) || ',' || f[4]) - 1 AS row_idx FROM export_lines
+)"""
+
 # The workbooks of customers: rows of their orders, and which books are locked or early.
 EARLY_BOOKS = r"""
 book_orders AS (
@@ -203,7 +214,12 @@ SELECT p_partkey, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(64 + i
     "c2_delimiter_of_orders": f"WITH {ORDERS} SELECT response_id, file_type, CASE WHEN file_type = 'UNKNOWN' THEN ',' ELSE d END AS delimiter FROM order_bodies",
     "c3_order_cells": f"WITH {ORDERS} SELECT response_id, 0 AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, unnest([0, 1, 2, 3, 4, 5]) AS col_idx, unnest(f) AS text FROM told",
     "c4_quoted_fields": "SELECT doc_id // 50 AS response_id, CAST(row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) - 1 AS INTEGER) AS row_idx, CAST(doc_id AS VARCHAR) AS doc_id, lang, CASE WHEN length(text) > 32768 THEN left(text, 32768) || '…' ELSE text END AS text, 3 AS n FROM documents",
-    "c6_capped_rows": f"""WITH {ORDERS} SELECT response_id, CAST(response_id AS VARCHAR) AS name, CAST(least(n_rows, CASE WHEN response_id % 3 = 2 AND response_id % 5 <> 0 AND n_rows = 4 THEN 4 ELSE 4 END) AS INTEGER) AS n_rows, 5 AS n_cols, true AS truncated
+    "c1_encodings": r"SELECT doc_id AS response_id, 'é;' || CASE WHEN doc_id % 5 = 4 THEN regexp_replace(text, '[^\x00-\xff]', '?', 'g') ELSE text END AS text FROM documents",
+    "c3_large_bodies": f"WITH {EXPORTS} SELECT response_id, CAST(row_idx AS INTEGER) AS row_idx, array_to_string(f, '|') AS cells FROM exported",
+    "c5_blank_rows": f"""WITH {EXPORTS}, n AS (SELECT response_id, count(*) AS n FROM exported GROUP BY 1)
+SELECT response_id, CAST(response_id AS VARCHAR) || '.csv' AS name, CAST(least(n, 5000) AS INTEGER) AS n_rows, 4 AS n_cols, n >= 5000 AS truncated, CAST(row_idx AS INTEGER) AS last_row, f[1] AS last_key
+FROM n JOIN exported USING (response_id) WHERE row_idx = least(n, 5000) - 1""",
+    "c6_capped_rows": f"""WITH {ORDERS} SELECT response_id, CAST(response_id AS VARCHAR) AS name, CAST(least(n_rows, 4) AS INTEGER) AS n_rows, 5 AS n_cols, true AS truncated
   FROM order_bodies WHERE file_type <> 'UNKNOWN'""",
     "x1_sheet_catalogue": "SELECT DISTINCT l_suppkey AS response_id, 0 AS sheet_idx, 'Lines' AS name, 'xl/worksheets/sheet1.xml' AS part FROM lineitem",
     "x2_missing_sheets": """SELECT DISTINCT l_suppkey AS response_id, 1 AS seq, 'Sheet "Lost" could not be located inside the container' AS message FROM lineitem""",

@@ -13,7 +13,7 @@ from respgrid.functions import detection as D
 from respgrid.functions import scalars as S
 from respgrid.jobs import fixtures as X
 from respgrid.limits import Limits
-from respgrid.operators import delimited, detect, grid, reports, tables, workbook
+from respgrid.operators import delimited, detect, grid, large_bodies, reports, tables, workbook
 from respgrid.sources import responses, xls, xlsx
 from respgrid.streaming import triage
 
@@ -239,6 +239,23 @@ def c4_quoted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("response_id", "row_idx", F.col("cells")[0].alias("doc_id"), F.col("cells")[1].alias("lang"), F.col("cells")[2].alias("text"), F.size("cells").alias("n"))
 
 
+def c1_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.encoded(spark, sf_dir).select("response_id", delimited.decode_text(F.col("body")).alias("text"))
+
+
+def c3_large_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of several hundred kilobytes to megabytes, each cut into records by several tasks."""
+    rows, _ = large_bodies.parse_bodies(_detected(X.exports(spark, sf_dir)), staged, large=1 << 16)
+    return rows.select("response_id", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
+def c5_blank_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blank rows at the start, within and at the end of bodies aren't counted, so that the cap falls on the same row without them."""
+    rows, sheets = large_bodies.parse_bodies(_detected(X.exports(spark, sf_dir)), staged, Limits(rows=5000), large=1 << 16)
+    found = rows.groupBy("response_id").agg(F.max("row_idx").alias("last_row"), F.max_by(F.col("cells")[0], "row_idx").alias("last_key"))
+    return sheets.join(found, "response_id").select("response_id", "name", "n_rows", "n_cols", "truncated", "last_row", "last_key")
+
+
 def c6_capped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     limits = Limits(rows=4, columns=5)
     parsed = delimited.parse_delimited(_detected(X.orders(spark, sf_dir)), limits)
@@ -452,7 +469,7 @@ ALL: list[Query] = [
     d2_compressed_flags, d3_expanded_bodies, d9_legacy_excel, d15_sniff_against_detect, f10_expanded_header, s4_xls_cells, x12_packed_numbers, x14_formula_values, x16_xls_messages,
     d4_d6_file_name, d7_pdf_marker, d10_declared_type, d11_mostly_printable, d12_guess_delimiter, d13_classify_orders, d14_detect, d15_sniff, d16_renderable, d18_open_status,
     f1_number_text, f2_date_serial_text, f3_f4_date_formats, f5_clamp_cell, f6_as_number, f7_f8_columns, f9_human_bytes, f10_f13_file_header, f11_suggested_name, f12_csv_quote,
-    c2_delimiter_of_orders, c3_order_cells, c4_quoted_fields, c6_capped_rows,
+    c1_encodings, c2_delimiter_of_orders, c3_order_cells, c3_large_bodies, c4_quoted_fields, c5_blank_rows, c6_capped_rows,
     x1_sheet_catalogue, x2_missing_sheets, x3_x5_cell_text, x4_style_is_date, x6_place_rows, x7_place_columns, x8_last_cell_wins, x9_cut_wide_rows, x10_assembled_cells, x11_dense_rows,
     x13_boolerr_text, x15_out_of_bounds, x17_all_cells,
     g1_to_wide, g2_g3_header, g4_filter, g5_sort, g6_row_counts, g7_csv_lines, g8_numeric_cells, g9_column_widths, g10_notices, g11_sample_head,

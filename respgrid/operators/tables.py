@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respgrid.limits import DEFAULT, Limits
-from respgrid.operators import delimited, workbook
+from respgrid.operators import delimited, large_bodies, workbook
 from respgrid.sources import xls, xlsx
 
 
@@ -27,10 +28,15 @@ def to_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT) -> Ta
 
     Workbooks' records are staged in folders under staging. detected is read once by each reader: store it before.
     """
-    text = delimited.parse_delimited(detected, limits)
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        path = f"{staging}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    rows, shape = large_bodies.parse_bodies(detected, stage, limits)
     books = [xlsx.xlsx_tables(detected, f"{staging}/xlsx", limits), xls.xls_tables(detected, f"{staging}/xls", limits)]
-    shape = text.select("response_id", "sheet_idx", "name", "n_rows", "n_cols", "truncated")
-    cells = delimited.cells_of_rows(delimited.sheet_rows(text, limits))
+    cells = delimited.cells_of_rows(rows)
     return Tables(
         workbook.union_cells(cells, *[b["cells"] for b in books]),
         books[0]["sheets"].unionByName(books[1]["sheets"]).unionByName(shape),
