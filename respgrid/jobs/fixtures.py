@@ -326,6 +326,26 @@ def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def many_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gzip bodies of 20 documents each, a member for every 24 characters; every other one has bytes after the last member that are none."""
+    rows = table(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("response_id"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    grouped = rows.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))
+    grouped = grouped.select("response_id", F.array_join(F.transform("docs", lambda d: d["text"]), "").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = []
+            for key, text in zip(batch.column("response_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                pieces = [gzip.compress(text[k : k + 24].encode(), 1, mtime=0) for k in range(0, len(text), 24)]
+                bodies.append(b"".join(pieces) + (b"no member, though it is long enough" if key % 2 else b""))
+            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+
+    none = F.lit(None).cast("string")
+    return grouped.mapInArrow(run, "response_id long, body binary").select(
+        "response_id", F.concat(F.lit("/members/"), F.col("response_id").cast("string"), F.lit(".csv")).alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body"
+    )
+
+
 def compressed_bytes(kind: int, content: bytes | None) -> bytes | None:
     if content is None:
         return None

@@ -136,6 +136,8 @@ SQL: dict[str, str] = {
     "d2_compressed_flags": f"WITH {PACKED} SELECT response_id, kind IN (0, 3, 5) AS gzip, kind IN (1, 2, 4) AS mentioned FROM packed",
     "d3_expanded_bodies": f"""WITH {PACKED} SELECT response_id, file_type, file_type <> 'UNKNOWN' AND decompressed AS decompressed, CAST(CASE WHEN file_type = 'UNKNOWN' THEN 0 ELSE size END AS INTEGER) AS n_bytes,
   sha256(CASE WHEN file_type = 'UNKNOWN' THEN '' WHEN kind IN (0, 3, 6) THEN '%PDF-1.7' || repeat(' ', 64) || text ELSE text END) AS digest, file_type <> 'UNKNOWN' AS has_length FROM opened""",
+    "d3_many_members": """WITH b AS (SELECT doc_id // 20 AS response_id, string_agg(coalesce(text, ''), '' ORDER BY doc_id) AS t FROM documents GROUP BY 1)
+SELECT response_id, 'CSV' AS file_type, true AS decompressed, CAST(strlen(t) AS INTEGER) AS n_bytes, sha256(t) AS digest FROM b""",
     "d9_legacy_excel": """WITH c AS (SELECT DISTINCT o_custkey AS k FROM orders), b AS (SELECT k AS response_id, true AS excel FROM c UNION ALL SELECT -1 - k, k % 2 = 0 OR k % 3 = 0 FROM c)
 SELECT response_id, excel, CASE WHEN excel THEN 'XLS' ELSE 'UNKNOWN' END AS file_type FROM b""",
     "d15_sniff_against_detect": f"WITH {PACKED} SELECT response_id, CASE WHEN kind = 5 THEN 'PDF' WHEN kind IN (1, 2) AND position('%PDF' IN left(text, 64)) = 0 THEN CASE kind WHEN 1 THEN 'CSV' ELSE 'TSV' END ELSE file_type END AS sniffed, file_type FROM opened",

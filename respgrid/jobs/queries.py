@@ -131,6 +131,11 @@ def d3_expanded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("response_id", "file_type", "decompressed", F.length("expanded").alias("n_bytes"), F.sha2("expanded", 256).alias("digest"), (F.col("original_length") > 0).alias("has_length"))
 
 
+def d3_many_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _detected(X.many_members(spark, sf_dir))
+    return found.select("response_id", "file_type", "decompressed", F.length("expanded").alias("n_bytes"), F.sha2("expanded", 256).alias("digest"))
+
+
 def d9_legacy_excel(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = X.xls_bodies(spark, sf_dir)
     # A container that has no workbook, too: it is legacy Excel by its headers only.
@@ -466,7 +471,7 @@ def t2_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALL: list[Query] = [
     s1_read_responses, k1_savable_bodies, k2_csv_export, s3_xlsx_cells, s3_rich_xlsx_cells,
-    d2_compressed_flags, d3_expanded_bodies, d9_legacy_excel, d15_sniff_against_detect, f10_expanded_header, s4_xls_cells, x12_packed_numbers, x14_formula_values, x16_xls_messages,
+    d2_compressed_flags, d3_expanded_bodies, d3_many_members, d9_legacy_excel, d15_sniff_against_detect, f10_expanded_header, s4_xls_cells, x12_packed_numbers, x14_formula_values, x16_xls_messages,
     d4_d6_file_name, d7_pdf_marker, d10_declared_type, d11_mostly_printable, d12_guess_delimiter, d13_classify_orders, d14_detect, d15_sniff, d16_renderable, d18_open_status,
     f1_number_text, f2_date_serial_text, f3_f4_date_formats, f5_clamp_cell, f6_as_number, f7_f8_columns, f9_human_bytes, f10_f13_file_header, f11_suggested_name, f12_csv_quote,
     c1_encodings, c2_delimiter_of_orders, c3_order_cells, c3_large_bodies, c4_quoted_fields, c5_blank_rows, c6_capped_rows,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,30 +14,61 @@ from respgrid.functions import detection as D
 from respgrid.limits import DEFAULT, Limits
 
 
-def _drain(data: bytes, wbits: int, limit: int) -> bytes | None:
-    """All or nothing, but for the limit: what is over it isn't looked at."""
-    out, left = b"", data
+#: Bytes that are fed at first and at most, and bytes that come out at once.
+FIRST, MOST, PART = 1 << 8, 1 << 16, 1 << 18
+#: The start of a gzip member, and the least that one takes.
+MEMBER, LEAST = b"\x1f\x8b\x08", 18
+
+
+def parts(data: memoryview, wbits: int, limit: int) -> Iterator[bytes]:
+    """What data expands to, in parts, until limit is reached; what comes after isn't looked at. A damaged or unfinished stream raises zlib.error.
+
+    gzip members follow one another; what follows the last and isn't one is ignored. data is fed in windows that begin small
+    with each member and grow, so that what a member leaves unread is never more than about its own size: time grows with the body's length,
+    however many members there are.
+    """
+    at, total = 0, 0
     while True:
-        stream = zlib.decompressobj(wbits)
-        try:
-            out += stream.decompress(left, limit - len(out))
-            if len(out) >= limit:
-                return out
-            if not stream.eof:
-                return None
-        except zlib.error:
-            # What follows a gzip member and isn't another is ignored.
-            return out if out and left is not data else None
-        left = stream.unused_data
-        if wbits < 16 or len(left) < 18 or left[:2] != b"\x1f\x8b":
-            return out
-
-
-def expand_bytes(data: bytes, limit: int) -> bytes | None:
+        stream, window = zlib.decompressobj(wbits), FIRST
+        while not stream.eof:
+            fed = data[at : at + window]
+            out = stream.decompress(fed, min(PART, limit - total))
+            read = len(fed) - len(stream.unconsumed_tail) - len(stream.unused_data)
+            if out:
+                yield out
+                total += len(out)
+                if total >= limit:
+                    return
+            elif not read and not stream.eof:
+                raise zlib.error("the stream isn't finished")
+            at, window = at + read, min(2 * window, MOST)
+        if wbits < 16 or len(data) - at < LEAST or bytes(data[at : at + 3]) != MEMBER:
+            return
+
+
+def _drain(data: memoryview, wbits: int, limit: int) -> bytearray | None:
+    out = bytearray()
+    try:
+        for part in parts(data, wbits, limit):
+            out += part
+    except zlib.error:
+        return None  # all or nothing
+    return out or None
+
+
+def expand_bytes(data: bytes | memoryview, limit: int) -> bytearray | None:
     """gzip by its signature; else zlib, else a raw stream. None if it won't expand or is empty."""
-    if len(data) > 2 and data[:2] == b"\x1f\x8b":
-        return _drain(data, 31, limit) or None
-    return _drain(data, 15, limit) or _drain(data, -15, limit) or None
+    view = memoryview(data)
+    if len(view) > 2 and bytes(view[:2]) == MEMBER[:2]:
+        return _drain(view, 31, limit)
+    return _drain(view, 15, limit) or _drain(view, -15, limit)
+
+
+def _one_binary(value: bytearray | pa.Buffer | None) -> pa.Array:
+    """An array of this one value, which isn't copied."""
+    if value is None:
+        return pa.nulls(1, pa.binary())
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(struct.pack("<ii", 0, len(value))), pa.py_buffer(value)])
 
 
 def expand_body(responses: DataFrame, limits: Limits = DEFAULT, limit: int | None = None) -> DataFrame:
@@ -49,9 +81,9 @@ def expand_body(responses: DataFrame, limits: Limits = DEFAULT, limit: int | Non
         for batch in batches:
             for k in range(len(batch)):  # row by row: a batch of expanded bodies could be huge
                 row = batch.slice(k, 1)
-                body = row.column("body")[0].as_py()
-                out = expand_bytes(body, most) if body else None
-                extra = [pa.array([body if out is None else out], pa.binary()), pa.array([out is not None])]
+                body = row.column("body")[0].as_buffer()
+                out = expand_bytes(body, most) if body is not None and len(body) else None
+                extra = [_one_binary(body if out is None else out), pa.array([out is not None])]
                 yield pa.RecordBatch.from_arrays([*row.columns, *extra], [*columns, "expanded", "decompressed"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in responses.schema)

@@ -1,5 +1,7 @@
 import gzip
+import random
 import struct
+import time
 import zipfile
 import zlib
 from io import BytesIO
@@ -34,6 +36,33 @@ def test_expanding():
     assert inflate.expand_bytes(gzip.compress(b""), 100) is None
 
 
+def test_expanding_damaged_members():
+    good, bad = gzip.compress(b"first"), bytearray(gzip.compress(b"second" * 50))
+    bad[15] ^= 0xFF
+    assert inflate.expand_bytes(good + bytes(bad), 1000) is None
+    assert inflate.expand_bytes(good + bytes(bad), 5) == b"first"  # the limit comes first
+    assert inflate.expand_bytes(good + gzip.compress(b"second")[:-3], 1000) is None
+    assert inflate.expand_bytes(good + b"\x1f\x8b\x07" + b"x" * 40, 1000) == b"first"
+    assert inflate.expand_bytes(good + b"\x1f\x8b\x08short", 1000) == b"first"
+    assert inflate.expand_bytes(b"\x1f\x8b\x07" + b"x" * 40, 1000) is None
+    assert inflate.expand_bytes(good[:12], 1000) is None and inflate.expand_bytes(b"\x1f\x8b\x08", 1000) is None
+    for n in (1, 255, 256, 257, 70_000, 300_000):
+        data = bytes(random.Random(n).randbytes(n))
+        assert inflate.expand_bytes(gzip.compress(data) + gzip.compress(data[:9]), 10**6) == data + data[:9]
+        assert inflate.expand_bytes(gzip.compress(data), n) == data and inflate.expand_bytes(zlib.compress(data), max(1, n // 2)) == data[: max(1, n // 2)]
+
+
+def test_members_take_linear_time():
+    def seconds(n):
+        body = gzip.compress(b"a,b\n", mtime=0) * n
+        began = time.process_time()
+        assert len(inflate.expand_bytes(body, 1 << 30)) == 4 * n
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(200_000) < 25 * max(seconds(20_000), 0.02)
+
+
 def test_detection_of_compressed_and_odd_bodies(spark):
     bodies = [gzip.compress(b"%PDF-1.4"), None, b"", b"%PDF" + b"x" * 100, b"plain"]
     found = {r["response_id"]: r for r in detect.detect(responses(spark, bodies, name="f"), Limits(body_bytes=100)).collect()}
