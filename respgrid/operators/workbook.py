@@ -149,6 +149,72 @@ def trim_blanks(cells: DataFrame) -> DataFrame:
     return cells.withColumn("__last", last).where("col_idx <= __last").drop("__last")
 
 
+def _placed(cells: Column) -> Column:
+    """A row's cells (cell_n, place, text), in order, with col_idx: their place, or the one after the cell before."""
+    known = F.transform(cells, lambda x: F.struct(x["place"].alias("col_idx"), x["cell_n"].alias("cell_n"), x["text"].alias("text")))
+    none = F.array().cast("array<struct<col_idx:int,cell_n:int,text:string>>")
+
+    def add(acc: Column, x: Column) -> Column:
+        col = F.coalesce(x["place"], acc["last"] + 1)
+        return F.struct(col.alias("last"), F.concat(acc["out"], F.array(F.struct(col.alias("col_idx"), x["cell_n"].alias("cell_n"), x["text"].alias("text")))).alias("out"))
+
+    folded = F.aggregate(cells, F.struct(F.lit(-1).alias("last"), none.alias("out")), add, lambda acc: acc["out"])
+    return F.when(F.exists(cells, lambda x: x["place"].isNull()), folded).otherwise(known)
+
+
+def _settled(cells: Column) -> Column:
+    """Placed cells in the order of their columns: of several in one the last, and none that is blank after the last with text."""
+
+    def once(x: Column) -> Column:
+        return F.filter(x, lambda c, i: (i == F.size(x) - 1) | (c["col_idx"] != F.get(x, i + 1)["col_idx"]))
+
+    def cut(x: Column) -> Column:
+        return F.slice(x, F.lit(1), F.coalesce(F.array_max(F.transform(x, lambda c, i: F.when(c["text"] != "", i + 1))), F.lit(0)))
+
+    # Structs sort by column, then by the cell's number.
+    return F.transform(S.let(S.let(F.array_sort(cells), once), cut), lambda c: F.struct(c["col_idx"].alias("col_idx"), c["text"].alias("text")))
+
+
+def packed_rows(rows: DataFrame, cells: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """response_id, sheet_idx, n, row_idx, cells, truncated and cut: a row for each row of a sheet, its cells (col_idx, text) as one array.
+
+    rows has response_id, sheet_idx, n and declared, cells has row_n, cell_n, ref and text. Rows and cells are placed, of cells in one place the last stays, blank
+    ends go, and the caps hold, as place_rows, place_columns, last_cell_wins, cut_wide_rows and trim_blanks say: all behind one
+    exchange, by sheet. The row at which the column cap ends a sheet is there without its cells, and with cut.
+    """
+    column = S.column_index(F.col("ref"))
+    marks = rows.select(*SHEET, "n", F.lit(-1).alias("cell_n"), F.col("declared").cast("int").alias("place"), F.lit(None).cast("string").alias("text"))
+    flat = cells.select(*SHEET, F.col("row_n").alias("n"), F.col("cell_n").cast("int").alias("cell_n"), F.when(column >= 0, column).alias("place"), "text")
+    dealt = marks.unionByName(flat).repartition(*SHEET)
+    listed = dealt.groupBy(*SHEET, "n").agg(F.array_sort(F.collect_list(F.struct("cell_n", "place", "text"))).alias("all"))
+    # A row's own mark comes first.
+    first = F.col("all")[0]
+    known = listed.where(first["cell_n"] == -1).select(*SHEET, "n", first["place"].alias("declared"), _placed(F.slice("all", F.lit(2), F.size("all"))).alias("placed"))
+    placed = place_rows(known, limits)
+    wide = F.exists("placed", lambda c: c["col_idx"] >= limits.columns)
+    cut_at = F.min(F.when(wide, F.col("n"))).over(Window.partitionBy(*SHEET))
+    kept = placed.withColumn("cut_at", cut_at).where(F.col("cut_at").isNull() | (F.col("n") <= F.col("cut_at")))
+    cut = F.col("cut_at").isNotNull() & (F.col("n") == F.col("cut_at"))
+    return kept.select(*SHEET, "n", "row_idx", F.when(cut, F.slice(_settled(F.col("placed")), 1, 0)).otherwise(_settled(F.col("placed"))).alias("cells"), "truncated", cut.alias("cut"))
+
+
+def packed_cells(packed: DataFrame) -> DataFrame:
+    """response_id, sheet_idx, row_idx, col_idx and text of packed rows."""
+    cells = packed.select(*SHEET, "row_idx", F.explode_outer("cells").alias("c")).where(F.col("c").isNotNull())
+    return cells.select(*SHEET, "row_idx", "c.col_idx", "c.text")
+
+
+def packed_shape(packed: DataFrame) -> DataFrame:
+    """response_id, sheet_idx, n_rows, n_cols, truncated of packed rows."""
+    some = F.size("cells") > 0
+    width = F.element_at("cells", -1)["col_idx"] + 1
+    return packed.groupBy(*SHEET).agg(
+        F.coalesce(F.max(F.when(some, F.col("row_idx") + 1)), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.max(F.when(some, width)), F.lit(0)).alias("n_cols"),
+        F.bool_or(F.col("cut") | F.col("truncated")).alias("truncated"),
+    )
+
+
 def drop_out_of_bounds(cells: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Legacy workbooks: cells past either cap are left out without a word."""
     return cells.where((F.col("row_idx") < limits.rows) & (F.col("col_idx") < limits.columns))
@@ -190,17 +256,9 @@ def assemble(records: dict[str, DataFrame], limits: Limits = DEFAULT) -> dict[st
     sound = {k: v.join(errors.select("response_id").distinct(), "response_id", "left_anti") for k, v in records.items() if k != "error"}
     catalogue = sheet_catalogue(sound["sheet"], sound["rel"], sound["part"])
     keys = catalogue.select("response_id", "part", "sheet_idx", "date1904")
-    rows = place_rows(sound["row"].join(keys, ["response_id", "part"]), limits)
-    raw = sound["cell"].join(keys, ["response_id", "part"])
-    kept, cuts = cut_wide_rows(place_columns(raw), limits)
-    texts = cell_text(kept, sound["sst"], style_is_date(sound["xf"], sound["numfmt"]), limits)
-    places = rows.select(*SHEET, F.col("n").alias("row_n"), "row_idx")
-    # Two rows can share a place only beyond the cap; of two cells at one place the later holds.
-    cells = trim_blanks(last_cell_wins(texts.join(places, [*SHEET, "row_n"])))
-    # A sheet that is cut by its width before its rows run out isn't cut by them.
-    full = rows.where("truncated").join(cuts, SHEET, "left").where(F.col("cut_at").isNull() | (F.col("n") < F.col("cut_at")))
-    flags = cuts.select(*SHEET).unionByName(full.select(*SHEET))
-    shape = sheet_shape(cells, flags)
+    texts = cell_text(sound["cell"].join(keys, ["response_id", "part"]), sound["sst"], style_is_date(sound["xf"], sound["numfmt"]), limits)
+    packed = packed_rows(sound["row"].join(keys, ["response_id", "part"]), texts, limits)
+    cells, shape = packed_cells(packed), packed_shape(packed)
     sheets = catalogue.select(*SHEET, "name").join(shape, SHEET, "left")
     sheets = sheets.select(*SHEET, "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_cols")], F.coalesce("truncated", F.lit(False)).alias("truncated"))
     return {
