@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from respgrid.functions import scalars as S
@@ -21,7 +23,9 @@ FIELDS = [
     ("style_idx", pa.int32()), ("number", pa.float64()), ("code", pa.int32()), ("flag", pa.bool_()), ("text", pa.string()),
 ]
 SCHEMA = "response_id long, kind string, sheet_idx int, ord int, row_idx int, col_idx int, style_idx int, number double, code int, flag boolean, text string"
-BATCH = 4096
+CELLS = frozenset({LABELSST, LABEL, RSTRING, NUMBER, RK, MULRK, BOOLERR, FORMULA})
+#: Records that are handed on at once, and cells.
+BATCH, AT_ONCE = 4096, 1 << 15
 # What users are told, in the words that results must have.
 LOCKED, NO_STREAM = "Workbook is password protected", "Not an .xls workbook: no Workbook stream in the container"
 IMPLAUSIBLE, CUT_SHORT = "Shared string table declares an implausible size; strings may be missing", "Shared string table ended early after {} of {} strings"
@@ -86,7 +90,8 @@ class Container:
         return out
 
     def _sector(self, number: int, full: bool = False) -> bytes:
-        out = self.data[(number + 1) * self.size :][: self.size] if (number + 1) * self.size < len(self.data) else b""
+        at = (number + 1) * self.size
+        out = self.data[at : at + self.size]
         if len(out) < (self.size if full else 1):
             raise ValueError("a sector lies outside the file")
         return out
@@ -105,7 +110,7 @@ class Container:
         first, size = self.streams[name]
         if size >= self.cutoff or not self.small_links:
             return self._large(first)[: size or None]
-        blocks = [self.small_sectors[k * self.small :][: self.small] for k in _follow(first, self.small_links, "small")]
+        blocks = [self.small_sectors[k * self.small : (k + 1) * self.small] for k in _follow(first, self.small_links, "small")]
         if not all(blocks):
             raise ValueError("a small sector lies outside their stream")
         return b"".join(blocks)[: size or None]
@@ -183,60 +188,134 @@ def decode_rk(packed: int) -> float:
     return value / 100 if packed & 1 else value
 
 
-def _cells(kind: int, data: bytes, strings: list[str]) -> Iterator[dict]:
-    """The cells of one record: text, a number with its style, or a code. A formula whose text follows has none of these."""
-    row, column, style = struct.unpack_from("<HHH", data, 0)
-    at = {"row_idx": row, "col_idx": column, "style_idx": style}
-    if kind == LABELSST:
-        index = struct.unpack_from("<I", data, 6)[0]
-        yield at | {"text": strings[index] if index < len(strings) else ""}
-    elif kind in (LABEL, RSTRING):
-        yield at | {"text": _text(data[6:])}
-    elif kind == NUMBER:
-        yield at | {"number": struct.unpack_from("<d", data, 6)[0]}
-    elif kind == RK:
-        yield at | {"number": decode_rk(struct.unpack_from("<I", data, 6)[0])}
-    elif kind == MULRK:
-        for i in range((len(data) - 6) // 6):
-            style, packed = struct.unpack_from("<HI", data, 4 + 6 * i)
-            yield {"row_idx": row, "col_idx": column + i, "style_idx": style, "number": decode_rk(packed)}
-    elif kind == BOOLERR:
-        yield at | {"code": data[6], "flag": data[7] != 0}
-    elif kind == FORMULA and len(data) >= 14:
-        if data[12:14] != b"\xff\xff":
-            yield at | {"number": struct.unpack_from("<d", data, 6)[0]}
-        elif data[6] == 0:
-            yield at
-        elif data[6] in (1, 2):
-            yield at | {"code": data[8], "flag": data[6] == 2}
-        else:
-            yield at | {"text": ""}
-
-
-def _sheet(stream: bytes, offset: int, strings: list[str]) -> Iterator[dict]:
-    depth, pending = 0, None
+def decode_rks(packed: np.ndarray) -> np.ndarray:
+    """decode_rk over an array of unsigned 32-bit values."""
+    whole = packed.view(np.int32) >> 2
+    double = ((packed & np.uint32(0xFFFFFFFC)).astype(np.uint64) << np.uint64(32)).view(np.float64)
+    value = np.where(packed & 2, whole, double)
+    return np.where(packed & 1, value / 100, value)
+
+
+#: What a cell holds.
+A_NUMBER, A_TEXT, A_CODE = 0, 1, 2
+
+
+class Part:
+    """Cells of one sheet as columns: places and styles of all, and the values of each kind in an array of their own."""
+
+    def __init__(self, sheet: int, first: int):
+        self.sheet, self.first = sheet, first
+        self.rows, self.columns, self.styles, self.kinds = array("i"), array("i"), array("i"), bytearray()
+        self.numbers, self.texts, self.codes, self.flags = array("d"), [], array("i"), bytearray()
+
+    def __len__(self) -> int:
+        return len(self.kinds)
+
+    def _add(self, row: int, column: int, style: int, kind: int) -> None:
+        self.rows.append(row)
+        self.columns.append(column)
+        self.styles.append(style)
+        self.kinds.append(kind)
+
+    def number(self, row: int, column: int, style: int, value: float) -> None:
+        self._add(row, column, style, A_NUMBER)
+        self.numbers.append(value)
+
+    def text(self, row: int, column: int, style: int, value: str) -> None:
+        self._add(row, column, style, A_TEXT)
+        self.texts.append(value)
+
+    def code(self, row: int, column: int, style: int, value: int, is_error: bool) -> None:
+        self._add(row, column, style, A_CODE)
+        self.codes.append(value)
+        self.flags.append(is_error)
+
+    def many(self, row: int, column: int, data: bytes) -> None:
+        """Numbers in columns that follow one another: six bytes each, style and packed value."""
+        n = len(data) // 6
+        found = np.frombuffer(data, [("style", "<u2"), ("packed", "<u4")], n)
+        self.rows.extend([row] * n)
+        self.columns.extend(range(column, column + n))
+        self.styles.frombytes(found["style"].astype(np.int32).tobytes())
+        self.kinds += bytes(n)
+        self.numbers.frombytes(decode_rks(np.ascontiguousarray(found["packed"])).tobytes())
+
+    def batch(self, response_id: int) -> pa.RecordBatch:
+        n, kinds = len(self), np.frombuffer(bytes(self.kinds), np.uint8)
+
+        def spread(values: np.ndarray, kind: int, to: pa.DataType) -> pa.Array:
+            """Values at the cells of their kind, nulls at the others."""
+            some = kinds == kind
+            at = np.cumsum(some) - 1
+            return pa.array(values, to).take(pa.array(np.where(some, at, 0), mask=~some))
+
+        columns = {
+            "response_id": pa.repeat(pa.scalar(response_id, pa.int64()), n), "kind": pa.repeat("cell", n), "sheet_idx": pa.repeat(pa.scalar(self.sheet, pa.int32()), n),
+            "ord": pa.array(np.arange(self.first, self.first + n, dtype=np.int32)), "row_idx": pa.array(np.array(self.rows, np.int32)), "col_idx": pa.array(np.array(self.columns, np.int32)),
+            "style_idx": pa.array(np.array(self.styles, np.int32)), "number": spread(np.array(self.numbers), A_NUMBER, pa.float64()), "code": spread(np.array(self.codes, np.int32), A_CODE, pa.int32()),
+            "flag": spread(np.frombuffer(bytes(self.flags), np.uint8).astype(bool), A_CODE, pa.bool_()), "text": spread(self.texts, A_TEXT, pa.string()),
+        }
+        return pa.RecordBatch.from_arrays([columns[name] for name, _ in FIELDS], [name for name, _ in FIELDS])
+
+
+def _formula(part: Part, row: int, column: int, style: int, data: bytes) -> bool:
+    """A formula's cached value; whether it is a text that the next record of strings brings."""
+    if len(data) < 14:
+        return False
+    if data[12:14] != b"\xff\xff":
+        part.number(row, column, style, struct.unpack_from("<d", data, 6)[0])
+    elif data[6] == 0:
+        return True
+    elif data[6] in (1, 2):
+        part.code(row, column, style, data[8], data[6] == 2)
+    else:
+        part.text(row, column, style, "")
+    return False
+
+
+def _sheet(stream: bytes, offset: int, strings: list[str], sheet: int) -> Iterator[Part]:
+    """The cells of a sheet, in parts of some ten thousand."""
+    depth, pending, part = 0, None, Part(sheet, 0)
     for kind, data, _ in _records(stream, offset):
         if kind == BOF:
             depth += 1
         elif kind == EOF:
             depth -= 1
             if depth <= 0:
-                return
-        elif depth == 1 and kind == STRING and pending:
-            yield pending | {"text": _text(data)}
-            pending = None
-        elif depth == 1 and kind in (LABELSST, LABEL, RSTRING, NUMBER, RK, MULRK, BOOLERR, FORMULA):
-            if kind == FORMULA:
+                break
+        elif depth == 1 and kind == STRING:
+            if pending:
+                part.text(*pending, _text(data))
                 pending = None
-            for cell in _cells(kind, data, strings):
-                if cell.keys() & {"text", "number", "code"}:
-                    yield cell
-                else:
-                    pending = cell
-
-
-def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
-    """Tagged records of one workbook: book, xf, numfmt, sheet, cell and warning."""
+        elif depth == 1 and kind in CELLS:
+            row, column, style = struct.unpack_from("<HHH", data, 0)
+            if kind == LABELSST:
+                index = struct.unpack_from("<I", data, 6)[0]
+                part.text(row, column, style, strings[index] if index < len(strings) else "")
+            elif kind in (LABEL, RSTRING):
+                part.text(row, column, style, _text(data[6:]))
+            elif kind == NUMBER:
+                part.number(row, column, style, struct.unpack_from("<d", data, 6)[0])
+            elif kind == RK:
+                part.number(row, column, style, decode_rk(struct.unpack_from("<I", data, 6)[0]))
+            elif kind == MULRK:
+                part.many(row, column, data[4 : 4 + (len(data) - 6) // 6 * 6])
+            elif kind == BOOLERR:
+                part.code(row, column, style, data[6], data[7] != 0)
+            else:
+                pending = (row, column, style) if _formula(part, row, column, style, data) else None
+            if len(part) >= AT_ONCE:
+                yield part
+                part = Part(sheet, part.first + len(part))
+    yield part
+
+
+def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict | Part]:
+    """Tagged records of one workbook - book, xf, numfmt, sheet and warning - and its cells in parts.
+
+    Cells bear the place of their sheet among all that are listed. A sheet's own record follows them: where one can't be
+    read to its end there is none, and what it gave before has no sheet.
+    """
     container = Container(body, limits)
     stream = container.stream("Workbook")
     stream = container.stream("Book") if stream is None else stream
@@ -286,18 +365,16 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
         warnings.append(EARLY)
     yield {"kind": "book", "flag": date1904}
     sheets = 0
-    for name, offset in bound:
-        found: list[dict] = []
+    for place, (name, offset) in enumerate(bound):
         try:
-            found.extend(_sheet(stream, offset, strings))
+            yield from _sheet(stream, offset, strings, place)
         except (struct.error, IndexError) as error:
             warnings.append(UNREADABLE.format(name, error))
             continue
-        yield {"kind": "sheet", "sheet_idx": sheets, "text": name}
-        yield from ({"kind": "cell", "sheet_idx": sheets, "ord": k} | c for k, c in enumerate(found))
+        yield {"kind": "sheet", "sheet_idx": place, "text": name}
         sheets += 1
     if not sheets:
-        yield {"kind": "sheet", "sheet_idx": 0, "text": "(empty)"}
+        yield {"kind": "sheet", "sheet_idx": len(bound), "text": "(empty)"}
     yield from ({"kind": "warning", "ord": k, "text": w} for k, w in enumerate(warnings))
 
 
@@ -310,6 +387,9 @@ def xls_records(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
             for response_id, body in zip(batch.column("response_id").to_pylist(), batch.column("expanded"), strict=True):
                 try:
                     for record in records(body.as_py(), limits):
+                        if isinstance(record, Part):
+                            yield record.batch(response_id)
+                            continue
                         held.append(record | {"response_id": response_id})
                         if len(held) >= BATCH:
                             yield pa.RecordBatch.from_pylist(held, pa.schema(FIELDS))
@@ -335,14 +415,17 @@ def xls_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT) -> d
         of("xf").select("response_id", "style_idx", F.col("code").alias("numfmt_id")),
         of("numfmt").select("response_id", "ord", F.col("code").alias("numfmt_id"), F.col("text").alias("code")),
     )
-    books = of("book").select("response_id", F.col("flag").alias("date1904"))
-    joined = of("cell").join(styles, ["response_id", "style_idx"], "left").join(books, "response_id")
+    # Sheets that were read to their end are numbered in order; cells of others find none.
+    order = Window.partitionBy("response_id").orderBy("sheet_idx")
+    names = of("sheet").select("response_id", F.col("sheet_idx").alias("place"), (F.row_number().over(order) - 1).alias("sheet_idx"), F.col("text").alias("name"))
+    places = names.join(of("book").select("response_id", F.col("flag").alias("date1904")), "response_id").drop("name")
+    cell = of("cell").withColumnRenamed("sheet_idx", "place")
+    joined = cell.join(styles, ["response_id", "style_idx"], "left").join(places, ["response_id", "place"])
     number = F.when(F.coalesce("is_date", F.lit(False)), S.date_serial_text(F.col("number"), F.col("date1904"))).otherwise(S.number_text(F.col("number")))
     text = F.when(F.col("number").isNotNull(), number).when(F.col("code").isNotNull(), S.boolerr_text(F.col("code"), F.col("flag"))).otherwise(F.col("text"))
     shown = joined.withColumn("text", S.clamp_cell(text, limits.cell_chars))
     cells = workbook.last_cell_wins(workbook.drop_out_of_bounds(shown, limits), "ord")
-    names = of("sheet").select("response_id", "sheet_idx", F.col("text").alias("name"))
-    shape = names.join(workbook.sheet_shape(cells), workbook.SHEET, "left")
+    shape = names.drop("place").join(workbook.sheet_shape(cells), workbook.SHEET, "left")
     return {
         "cells": cells,
         "sheets": shape.select(*workbook.SHEET, "name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "n_cols")], F.coalesce("truncated", F.lit(False)).alias("truncated")),
