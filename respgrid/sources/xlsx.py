@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -17,6 +20,8 @@ from respgrid.operators import workbook
 # The parts that are read.
 WORKBOOK, RELATIONS, STRINGS, STYLES = "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml", "xl/styles.xml"
 SHEETS = ("xl/worksheets/", ".xml")
+#: The parts that come before sheets, in the order in which they are walked.
+FRONT = [WORKBOOK, RELATIONS, STYLES, STRINGS]
 #: Elements of a string that tell how it is spoken.
 HINTS = frozenset({"rPh", "phoneticPr"})
 # Fixed value: what users are told, in the words that results must have.
@@ -27,6 +32,8 @@ FIELDS = [
 ]
 SCHEMA = "response_id long, kind string, part string, ord int, sub int, number int, flag boolean, name string, type string, value string, text string"
 BATCH = 4096
+#: Bytes from which a body's parts are dealt out.
+LARGE = 1 << 20
 
 
 class _Walk:
@@ -209,63 +216,162 @@ class _Cells(_Texts):
             self.rows += 1
 
 
-def _parts(body: bytes, limits: Limits) -> dict[str, bytes]:
-    parts, total = {}, 0
+@dataclass(frozen=True)
+class Packed:
+    """A part as the container has it: order says when it is walked, allowed how much of its size may be read."""
+
+    order: int
+    name: str
+    method: int
+    data: bytes
+    size: int
+    allowed: int
+    crc: int
+
+    def xml(self) -> bytes:
+        if self.method == zipfile.ZIP_STORED:
+            out = self.data[: self.allowed]
+        elif self.method == zipfile.ZIP_DEFLATED:
+            out = zlib.decompressobj(-15).decompress(self.data, self.allowed) if self.allowed else b""
+        else:
+            raise NotImplementedError(f"{self.name} is packed in a way that isn't read")
+        if len(out) < self.allowed:
+            raise EOFError(f"{self.name} ends early")
+        if self.allowed == self.size and zlib.crc32(out) != self.crc:
+            raise zipfile.BadZipFile(f"{self.name} isn't what its checksum says")
+        return out
+
+
+def directory(body: bytes, limits: Limits = DEFAULT) -> list[Packed]:
+    """The wanted parts of a container, of several with one name the last, within the limits on entries and on bytes in all."""
+    parts: dict[str, Packed] = {}
+    total = 0
     with zipfile.ZipFile(io.BytesIO(body)) as container:
         for entry in container.infolist()[: limits.zip_entries]:
-            name = entry.filename
-            if name in (WORKBOOK, RELATIONS, STRINGS, STYLES) or name.startswith(SHEETS[0]) and name.endswith(SHEETS[1]):
-                with container.open(entry) as f:
-                    parts[name] = f.read(limits.unzipped_bytes - total)
-                total += len(parts[name])
-                if total >= limits.unzipped_bytes:
-                    break
-    return parts
+            name, at = entry.filename, entry.header_offset
+            if not (name in FRONT or name.startswith(SHEETS[0]) and name.endswith(SHEETS[1])):
+                continue
+            if body[at : at + 4] != b"PK\x03\x04" or entry.flag_bits & 1:
+                raise zipfile.BadZipFile(f"{name} can't be read")
+            begin = at + 30 + sum(struct.unpack_from("<HH", body, at + 26))
+            allowed = min(entry.file_size, limits.unzipped_bytes - total)
+            order = FRONT.index(name) if name in FRONT else len(FRONT) + len(parts)
+            order = parts[name].order if name in parts else order
+            parts[name] = Packed(order, name, entry.compress_type, body[begin : begin + entry.compress_size], entry.file_size, allowed, entry.CRC)
+            total += allowed
+            if total >= limits.unzipped_bytes:
+                break
+    if WORKBOOK not in parts:
+        raise ValueError(NO_WORKBOOK)
+    return sorted(parts.values(), key=lambda p: p.order)
+
+
+def part_records(part: Packed, limits: Limits = DEFAULT) -> Iterator[dict]:
+    """The records of one part."""
+    xml = part.xml()
+    if part.name == WORKBOOK:
+        book = _Book()
+        sheets = list(book.over(xml))
+        yield {"kind": "workbook"}
+        yield from (s | {"flag": book.date1904} for s in sheets)
+    elif part.name in FRONT:
+        walk = {RELATIONS: _Relations, STYLES: _Styles}.get(part.name) or (lambda: _Strings(limits))
+        yield from walk().over(xml)
+    else:
+        yield {"kind": "part", "part": part.name}
+        yield from _Cells(part.name, limits).over(xml)
 
 
 def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict]:
     """The records of one workbook, one after another."""
-    parts = _parts(body, limits)
-    if WORKBOOK not in parts:
-        raise ValueError(NO_WORKBOOK)
-    book = _Book()
-    sheets = list(book.over(parts[WORKBOOK]))
-    yield {"kind": "workbook"}
-    yield from (s | {"flag": book.date1904} for s in sheets)
-    for name, walk in ((RELATIONS, _Relations), (STYLES, _Styles), (STRINGS, lambda: _Strings(limits))):
-        if name in parts:
-            yield from walk().over(parts[name])
-    for name, xml in parts.items():
-        if name.startswith(SHEETS[0]):
-            yield {"kind": "part", "part": name}
-            yield from _Cells(name, limits).over(xml)
-
-
-def xlsx_records(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
-    """Tagged records of all XLSX bodies. A workbook that can't be read adds an error record to what it gave before."""
+    for part in directory(body, limits):
+        yield from part_records(part, limits)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
 
-        held: list[dict] = []
+def _told(error: Exception) -> str:
+    known = (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile, expat.ExpatError, NotImplementedError, RuntimeError)
+    return (str(error) if isinstance(error, known) else "") or type(error).__name__
+
+
+def _batches(found: Iterator[tuple[int, int, Callable[[], Iterator[dict]]]]) -> Iterator[pa.RecordBatch]:
+    """Batches of the records of workbooks or parts: response_id, the order of an error, and how to get at them. One bad file must not end the task."""
+
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
+
+    held: list[dict] = []
+    for response_id, order, of in found:
+        try:
+            for record in of():
+                held.append(record | {"response_id": response_id})
+                if len(held) >= BATCH:
+                    yield batch_of(held)
+                    held = []
+        except Exception as error:
+            held.append({"response_id": response_id, "kind": "error", "ord": order, "text": _told(error)})
+    if held:
+        yield batch_of(held)
+
+
+PACKED = "response_id long, order int, name string, method int, data binary, size long, allowed long, crc long, error string"
+
+
+def xlsx_parts(bodies: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
+    """A row of PACKED for each wanted part of each body (response_id, expanded), still packed; one with error for a container that can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [("response_id", pa.int64()), ("order", pa.int32()), ("name", pa.string()), ("method", pa.int32()), ("data", pa.binary())]
+        kinds += [("size", pa.int64()), ("allowed", pa.int64()), ("crc", pa.int64()), ("error", pa.string())]
         for batch in batches:
             for response_id, body in zip(batch.column("response_id").to_pylist(), batch.column("expanded"), strict=True):
                 try:
-                    for record in records(body.as_py(), limits):
-                        held.append(record | {"response_id": response_id})
-                        if len(held) >= BATCH:
-                            yield batch_of(held)
-                            held = []
-                except (ValueError, KeyError, OSError, EOFError, zipfile.BadZipFile, expat.ExpatError, NotImplementedError, RuntimeError) as error:
-                    held.append({"response_id": response_id, "kind": "error", "text": str(error) or type(error).__name__})
+                    rows = [{"response_id": response_id} | vars(part) for part in directory(body.as_py(), limits)]
                 except Exception as error:  # one bad file must not end the task
-                    held.append({"response_id": response_id, "kind": "error", "text": type(error).__name__})
-        if held:
-            yield batch_of(held)
+                    rows = [{"response_id": response_id, "order": -1, "error": _told(error)}]
+                yield from (pa.RecordBatch.from_pylist([row], pa.schema(kinds)) for row in rows)
+
+    return bodies.mapInArrow(run, PACKED)
+
+
+def _walked(parts: DataFrame, limits: Limits) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, int, Callable[[], Iterator[dict]]]]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    row = {c: batch.column(c)[k].as_py() for c in batch.schema.names}
+                    response_id, error = row.pop("response_id"), row.pop("error")
+
+                    def of(row: dict = row, error: str | None = error) -> Iterator[dict]:
+                        if error is not None:
+                            raise ValueError(error)
+                        return part_records(Packed(**row), limits)
+
+                    yield response_id, row["order"], of
+
+        yield from _batches(found())
+
+    return parts.mapInArrow(run, SCHEMA)
+
+
+def xlsx_records(detected: DataFrame, limits: Limits = DEFAULT, large: int = LARGE) -> DataFrame:
+    """Tagged records of all XLSX bodies. A workbook that can't be read adds error records to what it gave before.
+
+    A body of over so many bytes is taken apart first, and its parts, still packed, are dealt out, so that several tasks walk the sheets of one book.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (
+            (response_id, 0, lambda body=body: records(body.as_py(), limits))
+            for batch in batches
+            for response_id, body in zip(batch.column("response_id").to_pylist(), batch.column("expanded"), strict=True)
+        )
+        yield from _batches(found)
 
-    some = detected.where((F.col("file_type") == "XLSX") & (F.length("expanded") <= limits.tabular_bytes))
-    return some.select("response_id", "expanded").mapInArrow(run, SCHEMA)
+    size = F.length("expanded")
+    some = detected.where((F.col("file_type") == "XLSX") & (size <= limits.tabular_bytes)).select("response_id", "expanded")
+    tasks = int(detected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = xlsx_parts(some.where(size > large), limits).repartition(tasks, "response_id", "name")
+    return some.where(size <= large).mapInArrow(run, SCHEMA).unionByName(_walked(dealt, limits))
 
 
 def by_kind(staged: DataFrame) -> dict[str, DataFrame]:
@@ -281,12 +387,12 @@ def by_kind(staged: DataFrame) -> dict[str, DataFrame]:
         "numfmt": of("numfmt", ord="ord", numfmt_id="number", code="text"),
         "row": of("row", part="part", n="ord", declared="number"),
         "cell": of("cell", part="part", row_n="ord", cell_n="sub", style_idx="number", ref="name", t="type", v="value", inline_text="text"),
-        "error": of("error", message="text"),
+        "error": of("error", order="ord", message="text").groupBy("response_id").agg(F.min_by("message", "order").alias("message")),
     }
 
 
-def xlsx_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT) -> dict[str, DataFrame]:
+def xlsx_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT, large: int = LARGE) -> dict[str, DataFrame]:
     """cells, sheets, warnings and errors. The records are staged once, by kind, in a table under staging."""
     spark = detected.sparkSession
-    xlsx_records(detected, limits).write.mode("append").partitionBy("kind").parquet(staging)
+    xlsx_records(detected, limits, large).write.mode("append").partitionBy("kind").parquet(staging)
     return workbook.assemble(by_kind(spark.read.schema(SCHEMA).parquet(staging)), limits)
