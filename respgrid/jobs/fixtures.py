@@ -301,6 +301,51 @@ def rich_xlsx_bytes(rows: list[tuple]) -> bytes:
     return out.getvalue()
 
 
+def many_sheet_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A real XLSX body for 25 customers each: a sheet for every one with orders, of key, date and status. Some sheets have no name, some no relation, some
+    no part, some two relations of which the last holds; in books with an odd id the date's format is declared anew as one of numbers."""
+    day = F.datediff(F.to_date("o_orderdate"), F.to_date(F.lit("1899-12-30")))
+    listed = F.array_sort(F.collect_list(F.struct("o_custkey", "o_orderkey", "o_orderstatus", day.alias("day"))))
+    grouped = table(spark, sf_dir, "orders").groupBy(F.expr("o_custkey div 25").alias("response_id")).agg(listed.alias("orders"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("response_id").to_pylist()
+            bodies = [many_sheet_bytes([tuple(o.values()) for o in rows], odd=i % 2 == 1) for i, rows in zip(ids, batch.column("orders").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+
+    none = F.lit(None).cast("string")
+    return grouped.mapInArrow(run, "response_id long, body binary").select(
+        "response_id", F.concat(F.lit("/sheets/"), F.col("response_id").cast("string")).alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body"
+    )
+
+
+def many_sheet_bytes(rows: list[tuple], odd: bool) -> bytes:
+    """rows: customer, key, status, day."""
+    statuses, by_customer = sorted({r[2] for r in rows}), {}
+    for customer, key, status, day in rows:
+        by_customer.setdefault(customer, []).append(f'<c><v>{key}</v></c><c s="1"><v>{day}</v></c><c t="s"><v>{statuses.index(status)}</v></c>')
+    sheets, relations, parts = "", "", {}
+    for c, cells in by_customer.items():
+        sheets += f'<sheet {"" if c % 7 == 3 else f"name={chr(34)}C{c}{chr(34)}"} sheetId="{c}" r:id="rId{c}"/>'
+        target = f'<Relationship Id="rId{c}" Target="worksheets/{{}}.xml"/>'
+        relations += (target.format("wrong") if c % 5 == 4 else "") + (target.format(f"c{c}") if c % 5 != 2 else "")
+        if c % 11 != 7:
+            parts[f"xl/worksheets/c{c}.xml"] = f"<worksheet><sheetData>{''.join(f'<row>{x}</row>' for x in cells)}</sheetData></worksheet>"
+    date = '<numFmt numFmtId="164" formatCode="yyyy\\-mm\\-dd"/>' + ('<numFmt numFmtId="164" formatCode="0&quot;d&quot;"/>' if odd else "")
+    parts |= {
+        "xl/workbook.xml": f'<workbook xmlns:r="r"><sheets>{sheets}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f"<Relationships>{relations}</Relationships>",
+        "xl/styles.xml": f'<styleSheet><numFmts>{date}</numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
+        "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{escape(s)}</t></si>" for s in statuses) + "</sst>",
+    }
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as container:
+        for name, xml in parts.items():
+            container.writestr(name, xml)
+    return out.getvalue()
+
+
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of documents by doc_id modulo 8: gzip, zlib, a raw stream, two gzip members, text that only its header calls compressed,
     a gzip file whose end is cut off, text as it is, and none. All but the second, third and fifth have a PDF marker in front."""

@@ -132,7 +132,23 @@ book_orders AS (
   FROM book_orders WHERE response_id % 11 <> 3
 )"""
 
+# Books of many sheets: which are found, and their rows.
+MANY_SHEETS = r"""
+customers AS (
+  SELECT DISTINCT o_custkey AS k, o_custkey // 25 AS response_id, CASE WHEN o_custkey % 7 = 3 THEN 'Sheet' ELSE 'C' || o_custkey END AS name, o_custkey % 5 <> 2 AND o_custkey % 11 <> 7 AS found FROM orders
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY response_id ORDER BY k) - 1 AS place, row_number() OVER (PARTITION BY response_id, found ORDER BY k) - 1 AS sheet_idx FROM customers
+), sheet_rows AS (
+  SELECT n.response_id, n.sheet_idx, n.name, o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE) AS day,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey, o_orderstatus, CAST(o_orderdate AS DATE)) - 1 AS row_idx
+  FROM orders JOIN numbered n ON o_custkey = n.k WHERE n.found
+)"""
+
 SQL: dict[str, str] = {
+    "s3_many_sheets": f"""WITH {MANY_SHEETS} SELECT response_id, CAST(sheet_idx AS INTEGER) AS sheet_idx, CAST(row_idx AS INTEGER) AS row_idx, unnest([0, 1, 2]) AS col_idx,
+  unnest([CAST(o_orderkey AS VARCHAR), CASE WHEN response_id % 2 = 0 THEN strftime(day, '%Y-%m-%d') ELSE CAST(datediff('day', DATE '1899-12-30', day) AS VARCHAR) END, o_orderstatus]) AS text FROM sheet_rows""",
+    "x1_x2_many_sheets": f"""WITH {MANY_SHEETS} SELECT response_id, 'sheet' AS kind, CAST(sheet_idx AS INTEGER) AS place, name || ' ' || count(*) || ' 3' AS message FROM sheet_rows GROUP BY response_id, sheet_idx, name
+UNION ALL SELECT response_id, 'warning', CAST(place AS INTEGER), 'Sheet "' || name || '" could not be located inside the container' FROM numbered WHERE NOT found""",
     "d2_compressed_flags": f"WITH {PACKED} SELECT response_id, kind IN (0, 3, 5) AS gzip, kind IN (1, 2, 4) AS mentioned FROM packed",
     "d3_expanded_bodies": f"""WITH {PACKED} SELECT response_id, file_type, file_type <> 'UNKNOWN' AND decompressed AS decompressed, CAST(CASE WHEN file_type = 'UNKNOWN' THEN 0 ELSE size END AS INTEGER) AS n_bytes,
   sha256(CASE WHEN file_type = 'UNKNOWN' THEN '' WHEN kind IN (0, 3, 6) THEN '%PDF-1.7' || repeat(' ', 64) || text ELSE text END) AS digest, file_type <> 'UNKNOWN' AS has_length FROM opened""",

@@ -355,6 +355,22 @@ def s3_rich_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xlsx.xlsx_tables(_detected(X.rich_xlsx_bodies(spark, sf_dir)), scratch(spark, "xlsx"))["cells"].where("text != ''")
 
 
+def _many_sheets(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Tables of books of some twenty sheets each, whose parts are dealt out to tasks."""
+    return xlsx.xlsx_tables(_detected(X.many_sheet_bodies(spark, sf_dir)), scratch(spark, "xlsx"), large=0)
+
+
+def s3_many_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates by a custom format, which some books declare twice; sheets without a relation or a part have no cells."""
+    return _many_sheets(spark, sf_dir)["cells"]
+
+
+def x1_x2_many_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _many_sheets(spark, sf_dir)
+    sheets = found["sheets"].select("response_id", F.lit("sheet").alias("kind"), F.col("sheet_idx").alias("place"), F.concat_ws(" ", "name", "n_rows", "n_cols").alias("message"))
+    return sheets.unionByName(found["warnings"].select("response_id", F.lit("warning").alias("kind"), F.col("seq").alias("place"), "message"))
+
+
 def s4_xls_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers in 32 bits, formulas' cached values and strings cut by a continuation, through the reader of legacy workbooks."""
     return xls.xls_tables(_detected(X.xls_bodies(spark, sf_dir)), scratch(spark, "xls"))["cells"].select("response_id", "sheet_idx", "row_idx", "col_idx", "text")
@@ -470,7 +486,7 @@ def t2_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ALL: list[Query] = [
-    s1_read_responses, k1_savable_bodies, k2_csv_export, s3_xlsx_cells, s3_rich_xlsx_cells,
+    s1_read_responses, k1_savable_bodies, k2_csv_export, s3_xlsx_cells, s3_rich_xlsx_cells, s3_many_sheets, x1_x2_many_sheets,
     d2_compressed_flags, d3_expanded_bodies, d3_many_members, d9_legacy_excel, d15_sniff_against_detect, f10_expanded_header, s4_xls_cells, x12_packed_numbers, x14_formula_values, x16_xls_messages,
     d4_d6_file_name, d7_pdf_marker, d10_declared_type, d11_mostly_printable, d12_guess_delimiter, d13_classify_orders, d14_detect, d15_sniff, d16_renderable, d18_open_status,
     f1_number_text, f2_date_serial_text, f3_f4_date_formats, f5_clamp_cell, f6_as_number, f7_f8_columns, f9_human_bytes, f10_f13_file_header, f11_suggested_name, f12_csv_quote,
