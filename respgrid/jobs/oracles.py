@@ -180,6 +180,8 @@ SELECT response_id, 0 AS sheet_idx, CAST(2 * k AS INTEGER) AS row_idx, unnest([0
        unnest([o_orderpriority, strftime(day, '%Y-%m-%d'), o_orderstatus || ' & status', CASE WHEN o_orderstatus = 'O' THEN 'TRUE' ELSE 'FALSE' END, o_orderkey || '!',
                CASE WHEN o_orderkey % 2 = 0 THEN '#N/A' ELSE '' END, regexp_replace(regexp_replace(CAST(price AS VARCHAR), '(\.[0-9]*?)0+$', '\1'), '\.$', '')]) AS text FROM r)
 SELECT * FROM c WHERE text <> ''""",
+    "t2_stream_updates": """WITH r AS (SELECT event_id % 4 AS batch, user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1, 2)
+SELECT CAST(batch AS INTEGER) AS batch, user_id, event_id, event_type FROM r QUALIFY event_id > coalesce(max(event_id) OVER (PARTITION BY user_id ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1)""",
     "t2_latest_stream": "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "d4_d6_file_name": f"WITH {PAGES} SELECT response_id, file_name FROM pages_n",
     "d7_pdf_marker": r"SELECT doc_id AS response_id, (doc_id % 7 IN (0, 1)) OR (doc_id % 7 > 2 AND position('%PDF' IN left(text, 1028)) > 0) AS pdf, false AS gzip, false AS zip FROM documents",

@@ -476,13 +476,27 @@ def t2_latest_per_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.latest_per_view(events, "user_id", "event_id")
 
 
+EVENTS = "user_id long, event_id long, event_type string"
+
+
+def _arrive(spark: SparkSession, sf_dir: str, rounds: int) -> str:
+    """The sink of a stream to which the events come in so many rounds, by event_id; between them the stream ends and is started again."""
+    source, sink, checkpoint = scratch(spark, "results"), scratch(spark, "newest"), scratch(spark, "stream")
+    events = X.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    for k in range(rounds):
+        events.where(F.col("event_id") % rounds == k).write.mode("append").parquet(source)
+        triage.latest_stream(spark.readStream.schema(EVENTS).parquet(source), "user_id", "event_id", sink, checkpoint).awaitTermination()
+    return sink
+
+
 def t2_latest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same as t2_latest_per_view from a stream in update mode, whose files come one at a time."""
-    source, sink = scratch(spark, "results"), scratch(spark, "newest")
-    X.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").repartition(4, "event_id").write.parquet(source)
-    arriving = spark.readStream.schema("user_id long, event_id long, event_type string").option("maxFilesPerTrigger", 1).parquet(source)
-    triage.latest_stream(arriving, "user_id", "event_id", sink, scratch(spark, "stream")).awaitTermination()
-    return triage.latest_per_view(spark.read.parquet(sink), "user_id", "event_id")
+    """The same as t2_latest_per_view, from a stream that is started again and again."""
+    return triage.latest_of(spark, _arrive(spark, sf_dir, 2), "user_id", "event_id")
+
+
+def t2_stream_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that the stream has written: a round's newest results, without those that are older than what rounds before have shown."""
+    return spark.read.parquet(_arrive(spark, sf_dir, 4)).select("batch", "user_id", "event_id", "event_type")
 
 
 ALL: list[Query] = [
@@ -494,7 +508,7 @@ ALL: list[Query] = [
     x1_sheet_catalogue, x2_missing_sheets, x3_x5_cell_text, x4_style_is_date, x6_place_rows, x7_place_columns, x8_last_cell_wins, x9_cut_wide_rows, x10_assembled_cells, x11_dense_rows,
     x13_boolerr_text, x15_out_of_bounds, x17_all_cells,
     g1_to_wide, g2_g3_header, g4_filter, g5_sort, g6_row_counts, g7_csv_lines, g8_numeric_cells, g9_column_widths, g10_notices, g11_sample_head,
-    a1_sheet_shape, a2_triage_summary, a3_open_summary, t1_triage_stream, t2_latest_per_view, t2_latest_stream,
+    a1_sheet_shape, a2_triage_summary, a3_open_summary, t1_triage_stream, t2_latest_per_view, t2_latest_stream, t2_stream_updates,
 ]
 
 
