@@ -50,12 +50,15 @@ def number_text(x: Column) -> Column:
 
     long_form = let(let(let(F.format_string("%.14e", F.abs(x)), digits_of), placed), short)
     whole = (x == F.rint(x)) & (F.abs(x) < 1e15)
+    # Most numbers print with fewer digits than are shown; such a print is what rounding to 15 digits gives.
+    printed = F.abs(x).cast("string")
+    brief = (F.length(printed) <= 16) & ~F.contains(printed, F.lit("E")) & ~F.endswith(printed, F.lit("0"))
     return (
         F.when(x.isNull(), None)
         .when(F.isnan(x), "NaN")
         .when(F.abs(x) == float("inf"), F.when(x > 0, "Infinity").otherwise("-Infinity"))
         .when(whole, F.when(whole, x).cast("long").cast("string"))
-        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), long_form))
+        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), F.when(brief, printed).otherwise(long_form)))
     )
 
 

@@ -201,12 +201,19 @@ A_NUMBER, A_TEXT, A_CODE = 0, 1, 2
 
 
 class Part:
-    """Cells of one sheet as columns: places and styles of all, and the values of each kind in an array of their own."""
+    """Cells as columns: places and styles of all, and the values of each kind in an array of their own. Those of one sheet follow one another."""
 
-    def __init__(self, sheet: int, first: int):
-        self.sheet, self.first = sheet, first
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
         self.rows, self.columns, self.styles, self.kinds = array("i"), array("i"), array("i"), bytearray()
         self.numbers, self.texts, self.codes, self.flags = array("d"), [], array("i"), bytearray()
+        # Where the cells of a sheet begin: position, response_id, sheet, number of its first cell here.
+        self.runs: list[tuple[int, int, int, int]] = []
+
+    def begin(self, response_id: int, sheet: int, first: int) -> None:
+        self.runs.append((len(self), response_id, sheet, first))
 
     def __len__(self) -> int:
         return len(self.kinds)
@@ -240,8 +247,11 @@ class Part:
         self.kinds += bytes(n)
         self.numbers.frombytes(decode_rks(np.ascontiguousarray(found["packed"])).tobytes())
 
-    def batch(self, response_id: int) -> pa.RecordBatch:
+    def batch(self) -> pa.RecordBatch:
         n, kinds = len(self), np.frombuffer(bytes(self.kinds), np.uint8)
+        begins, ids, sheets, firsts = (np.array(c, np.int64) for c in zip(*self.runs, strict=True)) if self.runs else [np.zeros(0, np.int64)] * 4
+        sizes = np.diff(np.r_[begins, n])
+        ords = np.arange(n) - np.repeat(begins - firsts, sizes)
 
         def spread(values: np.ndarray, kind: int, to: pa.DataType) -> pa.Array:
             """Values at the cells of their kind, nulls at the others."""
@@ -250,8 +260,8 @@ class Part:
             return pa.array(values, to).take(pa.array(np.where(some, at, 0), mask=~some))
 
         columns = {
-            "response_id": pa.repeat(pa.scalar(response_id, pa.int64()), n), "kind": pa.repeat("cell", n), "sheet_idx": pa.repeat(pa.scalar(self.sheet, pa.int32()), n),
-            "ord": pa.array(np.arange(self.first, self.first + n, dtype=np.int32)), "row_idx": pa.array(np.array(self.rows, np.int32)), "col_idx": pa.array(np.array(self.columns, np.int32)),
+            "response_id": pa.array(np.repeat(ids, sizes)), "kind": pa.repeat("cell", n), "sheet_idx": pa.array(np.repeat(sheets, sizes).astype(np.int32)),
+            "ord": pa.array(ords.astype(np.int32)), "row_idx": pa.array(np.array(self.rows, np.int32)), "col_idx": pa.array(np.array(self.columns, np.int32)),
             "style_idx": pa.array(np.array(self.styles, np.int32)), "number": spread(np.array(self.numbers), A_NUMBER, pa.float64()), "code": spread(np.array(self.codes, np.int32), A_CODE, pa.int32()),
             "flag": spread(np.frombuffer(bytes(self.flags), np.uint8).astype(bool), A_CODE, pa.bool_()), "text": spread(self.texts, A_TEXT, pa.string()),
         }
@@ -273,9 +283,11 @@ def _formula(part: Part, row: int, column: int, style: int, data: bytes) -> bool
     return False
 
 
-def _sheet(stream: bytes, offset: int, strings: list[str], sheet: int) -> Iterator[Part]:
-    """The cells of a sheet, in parts of some ten thousand."""
-    depth, pending, part = 0, None, Part(sheet, 0)
+def _sheet(stream: bytes, offset: int, strings: list[str], key: tuple[int, int], part: Part) -> Iterator[Part]:
+    """Puts the cells of a sheet (response_id, number) into part; hands part on, to be cleared, when it is full."""
+    depth, pending, before = 0, None, 0
+    part.begin(*key, 0)
+    begun = len(part)
     for kind, data, _ in _records(stream, offset):
         if kind == BOF:
             depth += 1
@@ -305,13 +317,15 @@ def _sheet(stream: bytes, offset: int, strings: list[str], sheet: int) -> Iterat
             else:
                 pending = (row, column, style) if _formula(part, row, column, style, data) else None
             if len(part) >= AT_ONCE:
+                before += len(part) - begun
                 yield part
-                part = Part(sheet, part.first + len(part))
-    yield part
+                part.clear()
+                part.begin(*key, before)
+                begun = 0
 
 
-def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict | Part]:
-    """Tagged records of one workbook - book, xf, numfmt, sheet and warning - and its cells in parts.
+def records(body: bytes, limits: Limits = DEFAULT, response_id: int = 0, part: Part | None = None) -> Iterator[dict | Part]:
+    """Tagged records of one workbook - book, xf, numfmt, sheet and warning. Its cells go into part, which is handed on whenever it is full.
 
     Cells bear the place of their sheet among all that are listed. A sheet's own record follows them: where one can't be
     read to its end there is none, and what it gave before has no sheet.
@@ -364,10 +378,10 @@ def records(body: bytes, limits: Limits = DEFAULT) -> Iterator[dict | Part]:
     if version and version < 0x600:
         warnings.append(EARLY)
     yield {"kind": "book", "flag": date1904}
-    sheets = 0
+    sheets, part = 0, Part() if part is None else part
     for place, (name, offset) in enumerate(bound):
         try:
-            yield from _sheet(stream, offset, strings, place)
+            yield from _sheet(stream, offset, strings, (response_id, place), part)
         except (struct.error, IndexError) as error:
             warnings.append(UNREADABLE.format(name, error))
             continue
@@ -383,12 +397,13 @@ def xls_records(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        part = Part()
         for batch in batches:
             for response_id, body in zip(batch.column("response_id").to_pylist(), batch.column("expanded"), strict=True):
                 try:
-                    for record in records(body.as_py(), limits):
-                        if isinstance(record, Part):
-                            yield record.batch(response_id)
+                    for record in records(body.as_py(), limits, response_id, part):
+                        if record is part:
+                            yield part.batch()
                             continue
                         held.append(record | {"response_id": response_id})
                         if len(held) >= BATCH:
@@ -396,6 +411,7 @@ def xls_records(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
                             held = []
                 except Exception as error:  # one bad file must not end the task
                     held.append({"response_id": response_id, "kind": "error", "text": str(error) or type(error).__name__})
+        yield part.batch()
         if held:
             yield pa.RecordBatch.from_pylist(held, pa.schema(FIELDS))
 

@@ -90,10 +90,11 @@ from tests.test_xls_parts import in_large_sectors, packed, stream_of
 row = packed(0, 0, range(250))
 body = in_large_sectors(lambda: stream_of({"s": [row[:4] + struct.pack("<H", r % 60_000) + row[6:] for r in range(20_900)]}))
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-cells = 0
-for part in xls.records(body):
-    if isinstance(part, xls.Part):
-        cells += part.batch(1).num_rows
+cells, part = 0, xls.Part()
+for record in xls.records(body, part=part):
+    if record is part:
+        cells += part.batch().num_rows
+cells += part.batch().num_rows
 print(len(body), cells, before, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss)
 """
     size, cells, before, after = peak(code)
