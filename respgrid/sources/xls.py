@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respgrid.functions import scalars as S
@@ -385,10 +385,10 @@ def records(body: bytes, limits: Limits = DEFAULT, response_id: int = 0, part: P
         except (struct.error, IndexError) as error:
             warnings.append(UNREADABLE.format(name, error))
             continue
-        yield {"kind": "sheet", "sheet_idx": place, "text": name}
+        yield {"kind": "sheet", "sheet_idx": sheets, "ord": place, "text": name}
         sheets += 1
     if not sheets:
-        yield {"kind": "sheet", "sheet_idx": len(bound), "text": "(empty)"}
+        yield {"kind": "sheet", "sheet_idx": 0, "ord": len(bound), "text": "(empty)"}
     yield from ({"kind": "warning", "ord": k, "text": w} for k, w in enumerate(warnings))
 
 
@@ -431,9 +431,8 @@ def xls_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT) -> d
         of("xf").select("response_id", "style_idx", F.col("code").alias("numfmt_id")),
         of("numfmt").select("response_id", "ord", F.col("code").alias("numfmt_id"), F.col("text").alias("code")),
     )
-    # Sheets that were read to their end are numbered in order; cells of others find none.
-    order = Window.partitionBy("response_id").orderBy("sheet_idx")
-    names = of("sheet").select("response_id", F.col("sheet_idx").alias("place"), (F.row_number().over(order) - 1).alias("sheet_idx"), F.col("text").alias("name"))
+    # Sheets that were read to their end have numbers; cells of others find none.
+    names = of("sheet").select("response_id", F.col("ord").alias("place"), "sheet_idx", F.col("text").alias("name"))
     places = names.join(of("book").select("response_id", F.col("flag").alias("date1904")), "response_id").drop("name")
     cell = of("cell").withColumnRenamed("sheet_idx", "place")
     joined = cell.join(styles, ["response_id", "style_idx"], "left").join(places, ["response_id", "place"])
