@@ -38,7 +38,8 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def _detected(bodies: DataFrame) -> DataFrame:
-    return staged(detect.detect(bodies), "detected")
+    """bodies as a table of captured responses, and what is detected in them, stored."""
+    return staged(detect.detect(staged(bodies, "responses")), "detected")
 
 
 def _order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:

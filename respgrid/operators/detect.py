@@ -15,9 +15,12 @@ TOO_LARGE, UNREADABLE, NOTHING_IN_IT = "File is too large to open as a table", "
 OVER = (" exceeds the ", " parse limit")
 
 
-def _typed(expanded: DataFrame) -> DataFrame:
+def _typed(responses: DataFrame, limits: Limits, limit: int | None = None) -> DataFrame:
+    """responses expanded, with file_name and file_type. Bodies are read twice: once for those that may be compressed, once for the others."""
+    expanded = expand_body(responses, limits, limit)
     named = expanded.withColumn("file_name", S.file_name(F.col("content_disposition"), F.col("request_path")))
-    return named.withColumn("file_type", D.classify(F.col("expanded"), F.col("content_type"), F.col("file_name")))
+    kind = F.when(D.body_ok(F.col("body"), limits), D.classify(F.col("expanded"), F.col("content_type"), F.col("file_name"))).otherwise("UNKNOWN")
+    return named.withColumn("file_type", kind)
 
 
 def detect(responses: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -27,7 +30,7 @@ def detect(responses: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     body, no name and length 0.
     """
     known = F.col("file_type") != "UNKNOWN"
-    ok = _typed(expand_body(responses.where(D.body_ok(F.col("body"), limits)), limits)).select(
+    return _typed(responses, limits).select(
         "response_id",
         "file_type",
         F.when(known, F.col("file_name")).alias("file_name"),
@@ -35,23 +38,12 @@ def detect(responses: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
         F.when(known, F.length("body")).otherwise(0).alias("original_length"),
         F.when(known, F.col("expanded")).otherwise(F.lit(b"")).alias("expanded"),
     )
-    none = responses.where(~D.body_ok(F.col("body"), limits)).select(
-        "response_id",
-        F.lit("UNKNOWN").alias("file_type"),
-        F.lit(None).cast("string").alias("file_name"),
-        F.lit(False).alias("decompressed"),
-        F.lit(0).alias("original_length"),
-        F.lit(b"").alias("expanded"),
-    )
-    return ok.unionByName(none)
 
 
 def sniff(responses: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """response_id and file_type by a prefix of compressed bodies: cheaper than detect, and on damaged
     or late-marked files it may differ from it."""
-    ok = _typed(expand_body(responses.where(D.body_ok(F.col("body"), limits)), limits, limits.sniff_bytes))
-    rest = responses.where(~D.body_ok(F.col("body"), limits)).select("response_id", F.lit("UNKNOWN").alias("file_type"))
-    return ok.select("response_id", "file_type").unionByName(rest)
+    return _typed(responses, limits, limits.sniff_bytes).select("response_id", "file_type")
 
 
 def renderable(detected: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def _one_binary(value: bytearray | pa.Buffer | None) -> pa.Array:
 
 
 def expand_body(responses: DataFrame, limits: Limits = DEFAULT, limit: int | None = None) -> DataFrame:
-    """responses with expanded (binary) and decompressed; bodies that aren't compressed pass by the helper."""
+    """responses with expanded (binary) and decompressed; bodies that aren't compressed, or are over the cap, pass by the helper."""
     most = limit or limits.inflated_bytes
-    maybe = F.coalesce(D.is_gzip(F.col("body")) | D.mentions_compression(F.col("content_type")), F.lit(False))
+    maybe = D.body_ok(F.col("body"), limits) & F.coalesce(D.is_gzip(F.col("body")) | D.mentions_compression(F.col("content_type")), F.lit(False))
     columns = responses.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
