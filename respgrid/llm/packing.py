@@ -15,7 +15,6 @@ its own program, solved where Spark deals it, and its own sequences, numbered in
 
 from __future__ import annotations
 
-import warnings
 import zlib
 from collections.abc import Iterator
 from itertools import accumulate
@@ -29,8 +28,8 @@ from respgrid.llm import encoding
 from respgrid.llm.common import stored
 
 LENGTH, UNIT, END_ID = 2048, 8, 1
-#: Parts into which a class is dealt to be ranked.
-PARTS = 256
+#: Parts into which a class is dealt to be ranked, at least; and rows of a part if all were of one class.
+PARTS, PART_ROWS = 256, 2_000_000
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, with_ids: bool = False, ranged: bool = False) -> DataFrame:
@@ -86,34 +85,63 @@ def _price(value: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.n
     return best[room], pattern
 
 
-def patterns_for(histogram: dict[int, int], room: int, most_steps: int = 4000) -> list[tuple[int, dict[int, int]]]:
+def _largest_first(need: np.ndarray, sizes: np.ndarray, room: int) -> np.ndarray:
+    """A basis of patterns, a column for each class: each is filled largest first with what is left, and used until a class runs out.
+
+    A column holds its class and such as run out later, so that the basis is triangular and its plan feasible.
+    """
+    left, basis = need.copy(), np.diag((room // sizes).astype(float))
+    while left.any():
+        free, fill = room, np.zeros(len(sizes))
+        for i in np.flatnonzero(left)[::-1]:
+            fill[i] = min(np.ceil(left[i]), free // sizes[i])
+            free -= fill[i] * sizes[i]
+        used = np.flatnonzero(fill)
+        often = left[used] / fill[used]
+        out = used[often.argmin()]
+        basis[:, out] = fill
+        left = np.where(fill > 0, left - fill * often.min(), left)
+        left[out] = 0
+        left[left < 1e-9] = 0
+    return basis
+
+
+def patterns_for(histogram: dict[int, int], room: int) -> list[tuple[int, dict[int, int]]]:
     """(how often, pieces by class) so that each class's count is placed exactly.
 
-    Any basis on the way is a feasible plan, so most_steps bounds the time, not the result's wholeness.
+    The program ends when no pattern can lower its value, or when the bound that the duals give - their value over that of the best pattern - says that
+    no plan has fewer sequences than the value rounded up.
     """
     sizes = np.array(sorted(k for k, v in histogram.items() if v))
     if not len(sizes):
         return []
     need = np.array([histogram[int(k)] for k in sizes], float)
-    basis = np.diag((room // sizes).astype(float))
-    inverse, x = np.diag(1 / np.diag(basis)), need / np.diag(basis)
-    for _ in range(most_steps):
-        value, pattern = _price(inverse.sum(axis=0), sizes, room)
-        if value <= 1 + 1e-7:
+    # Slightly unequal needs have no ties: each step lowers the value, so that none comes back.
+    eased = need * (1 + 1e-12 * np.arange(len(sizes))) + 1e-9 * (1 + np.arange(len(sizes)))
+    basis = _largest_first(eased, sizes, room)
+    inverse, bound, steps = np.linalg.inv(basis), 0.0, 0
+    x = np.maximum(inverse @ eased, 0)
+    while True:
+        duals = inverse.sum(axis=0)
+        value, pattern = _price(duals, sizes, room)
+        bound = max(bound, float(duals @ need) / value)
+        if value <= 1 + 1e-7 or np.ceil(x.sum() - 1e-4) <= np.ceil(bound - 1e-4):
             break
         way = inverse @ pattern
         ratio = np.full(len(way), np.inf)
         np.divide(x, way, out=ratio, where=way > 1e-9)
         leave = int(ratio.argmin())
-        step = ratio[leave]
-        x = np.maximum(x - step * way, 0)
-        x[leave] = step
-        basis[:, leave] = pattern
-        row = inverse[leave] / way[leave]
-        inverse -= np.outer(way, row)
-        inverse[leave] = row
-    else:
-        warnings.warn(f"the program was stopped after {most_steps} columns: its plan may take more sequences than needed", stacklevel=2)
+        basis[:, leave], steps = pattern, steps + 1
+        if steps % 256:
+            row = inverse[leave] / way[leave]
+            inverse -= np.outer(way, row)
+            inverse[leave] = row
+            x = np.maximum(x - ratio[leave] * way, 0)
+            x[leave] = ratio[leave]
+        else:  # errors of the updates don't add up
+            inverse = np.linalg.inv(basis)
+            x = np.maximum(inverse @ eased, 0)
+    x = np.maximum(inverse @ need, 0)
     plan, left = [], need.astype(np.int64)
     for k in np.argsort(-x):
         pattern = basis[:, k].astype(np.int64)
@@ -171,7 +199,7 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UN
     tokens are a power of two. with_ids adds each piece's ids, so that sequences can be written out.
     ranged: docs has a column __range (long); a sequence holds pieces of one range only, and those of lower ranges come first.
 
-    Defined cases: a null or empty text is the end id alone; texts of any length are cut, none is
+    Defined cases: doc_id is a whole number; a null or empty text is the end id alone; texts of any length are cut, none is
     shortened; rows that repeat a doc_id are packed each for itself; a null doc_id stays null. An
     empty table gives no pieces. Further columns are ignored.
     """
@@ -179,9 +207,10 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UN
         raise ValueError("length must be a multiple of unit")
     pieces = stored(tokenized_pieces(docs, tokenizer, length, with_ids=with_ids, ranged=ranged), "pieces")
     spark, key = docs.sparkSession, ["__range"] * ranged + ["__class"]
+    n_parts = max(PARTS, -(-pieces.count() // PART_ROWS))
     # A class of one range is small enough to be ranked as it is.
     pieces = pieces.withColumn("__class", F.expr(f"cast((length + {unit - 1}) div {unit} as int)")).withColumn(
-        "__part", F.lit(0) if ranged else F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS))
+        "__part", F.lit(0) if ranged else F.pmod(F.xxhash64("doc_id", "start"), F.lit(n_parts))
     )
     parts = stored(pieces.groupBy(*key, "__part").agg(F.count(F.lit(1)).alias("n")), "piece-parts")
     histogram = parts.groupBy(*key).agg(F.sum("n").alias("n"))
