@@ -239,6 +239,10 @@ SELECT p_partkey, CASE WHEN i < 26 THEN chr(65 + i) WHEN i < 702 THEN chr(64 + i
     "c5_blank_rows": f"""WITH {EXPORTS}, n AS (SELECT response_id, count(*) AS n FROM exported GROUP BY 1)
 SELECT response_id, CAST(response_id AS VARCHAR) || '.csv' AS name, CAST(least(n, 5000) AS INTEGER) AS n_rows, 4 AS n_cols, n >= 5000 AS truncated, CAST(row_idx AS INTEGER) AS last_row, f[1] AS last_key
 FROM n JOIN exported USING (response_id) WHERE row_idx = least(n, 5000) - 1""",
+    "g7_large_export": f"""WITH {EXPORTS}, lines AS (
+  SELECT response_id, row_idx, CAST(f[3] AS DECIMAL(12,2)) AS price,
+         array_to_string(list_transform(f, lambda x: CASE WHEN regexp_matches(x, '[,"\n\r]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END), ',') AS line FROM exported)
+SELECT response_id, CAST(CASE WHEN row_idx = 0 THEN 0 ELSE row_number() OVER (PARTITION BY response_id, row_idx = 0 ORDER BY price DESC, row_idx) END AS INTEGER) AS line_no, line FROM lines""",
     "c6_capped_rows": f"""WITH {ORDERS} SELECT response_id, CAST(response_id AS VARCHAR) AS name, CAST(least(n_rows, 4) AS INTEGER) AS n_rows, 5 AS n_cols, true AS truncated
   FROM order_bodies WHERE file_type <> 'UNKNOWN'""",
     "x1_sheet_catalogue": "SELECT DISTINCT l_suppkey AS response_id, 0 AS sheet_idx, 'Lines' AS name, 'xl/worksheets/sheet1.xml' AS part FROM lineitem",

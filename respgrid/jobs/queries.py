@@ -427,6 +427,13 @@ def g7_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.csv_lines(data, sheets).select("response_id", "line_no", "line")
 
 
+def g7_large_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Large bodies sorted by price, dearest first, and written as lines; several tasks sort and number a body's rows."""
+    rows, sheets = large_bodies.parse_bodies(_detected(X.exports(spark, sf_dir)), staged, large=1 << 16)
+    data = grid.sort_rows(grid.promote_header(staged(rows, "rows"), sheets), 2, ascending=False, stage=staged)
+    return grid.csv_lines(data, sheets, "rank", stage=staged).select("response_id", "line_no", "line")
+
+
 def g8_numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = _order_sheets(spark, sf_dir)
     return grid.numeric_cells(delimited.sheet_rows(parsed), parsed).select("response_id", "col_idx", "numeric", "total")
@@ -508,7 +515,7 @@ ALL: list[Query] = [
     c1_encodings, c2_delimiter_of_orders, c3_order_cells, c3_large_bodies, c4_quoted_fields, c5_blank_rows, c6_capped_rows,
     x1_sheet_catalogue, x2_missing_sheets, x3_x5_cell_text, x4_style_is_date, x6_place_rows, x7_place_columns, x8_last_cell_wins, x9_cut_wide_rows, x10_assembled_cells, x11_dense_rows,
     x13_boolerr_text, x15_out_of_bounds, x17_all_cells,
-    g1_to_wide, g2_g3_header, g4_filter, g5_sort, g6_row_counts, g7_csv_lines, g8_numeric_cells, g9_column_widths, g10_notices, g11_sample_head,
+    g1_to_wide, g2_g3_header, g4_filter, g5_sort, g6_row_counts, g7_csv_lines, g7_large_export, g8_numeric_cells, g9_column_widths, g10_notices, g11_sample_head,
     a1_sheet_shape, a2_triage_summary, a3_open_summary, t1_triage_stream, t2_latest_per_view, t2_latest_stream, t2_stream_updates,
 ]
 

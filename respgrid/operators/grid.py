@@ -5,12 +5,16 @@ rows: response_id, sheet_idx, row_idx, cells (ragged). sheets: response_id, shee
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respgrid.functions import scalars as S
 
 SHEET = ["response_id", "sheet_idx"]
+#: Stores a DataFrame under a name and reads it again.
+Stage = Callable[[DataFrame, str], DataFrame]
 # Fixed value: what users are told, in the words that results must have.
 CUT = '" truncated at the row/column cap'
 
@@ -79,11 +83,29 @@ def order_keys(text: Column) -> list[Column]:
     return [number.isNull(), number, F.when(negative_zero, 0).otherwise(1), F.when(number.isNull(), F.lower(F.upper(text)))]
 
 
-def sort_rows(rows: DataFrame, column: int, ascending: bool = True) -> DataFrame:
-    """rows with rank (1-based) in each sheet by one column; equal cells keep the sheet's order either way."""
+def numbered(rows: DataFrame, name: str, order: list[Column], stage: Stage) -> DataFrame:
+    """rows with their place (1-based) in their sheet by order, which tells all of its rows apart; a sheet's rows are sorted and numbered by several tasks.
+
+    Rows are dealt by sampled bounds over sheet and order, and sorted where they are. stage stores them with their place in their task; counts
+    for each task and sheet, a few numbers, say how many come before.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A number of partitions that is given isn't coalesced.
+    dealt = rows.repartitionByRange(n, *[F.col(c).asc() for c in SHEET], *order).sortWithinPartitions(*SHEET, *order)
+    own = stage(dealt.select("*", F.spark_partition_id().alias("__task"), F.monotonically_increasing_id().alias("__id")), "sorted-rows")
+    counts = own.groupBy(*SHEET, "__task").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*SHEET).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select(*SHEET, "__task", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
+    return own.join(begins, [*SHEET, "__task"]).select(*rows.columns, (F.col("__id") + F.col("__shift")).cast("int").alias(name))
+
+
+def sort_rows(rows: DataFrame, column: int, ascending: bool = True, stage: Stage | None = None) -> DataFrame:
+    """rows with rank (1-based) in each sheet by one column; equal cells keep the sheet's order either way. With stage, several tasks sort a sheet."""
     keys = order_keys(cell(column))
-    ordered = [k.asc() if ascending else k.desc() for k in keys]
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*SHEET).orderBy(*ordered, "row_idx")))
+    ordered = [*[k.asc() if ascending else k.desc() for k in keys], F.col("row_idx").asc()]
+    if stage:
+        return numbered(rows, "rank", ordered, stage)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*SHEET).orderBy(*ordered)))
 
 
 def row_counts(rows: DataFrame, sheets: DataFrame, shown: Column) -> DataFrame:
@@ -102,12 +124,13 @@ def csv_line(cells: Column) -> Column:
     return F.array_join(F.transform(cells, S.csv_quote), ",")
 
 
-def csv_lines(data: DataFrame, sheets: DataFrame, order: str = "row_idx") -> DataFrame:
-    """response_id, sheet_idx, line_no, line: the header's names, then the rows of promote_header in the given order."""
+def csv_lines(data: DataFrame, sheets: DataFrame, order: str = "row_idx", stage: Stage | None = None) -> DataFrame:
+    """response_id, sheet_idx, line_no, line: the header's names, then the rows of promote_header in the given order. With stage, several tasks number a sheet."""
     width = sheets.select(*SHEET, F.greatest("n_cols", F.lit(1)).alias("__width"))
     heads = data.groupBy(*SHEET).agg(F.any_value("header").alias("header")).select(*SHEET, F.lit(0).alias("line_no"), csv_line(F.col("header")).alias("line"))
     number = F.row_number().over(Window.partitionBy(*SHEET).orderBy(order))
-    lines = data.join(width, SHEET).select(*SHEET, number.alias("line_no"), csv_line(padded(F.col("cells"), F.col("__width"))).alias("line"))
+    placed = numbered(data, "line_no", [F.col(order).asc()], stage) if stage else data.withColumn("line_no", number)
+    lines = placed.join(width, SHEET).select(*SHEET, "line_no", csv_line(padded(F.col("cells"), F.col("__width"))).alias("line"))
     return heads.unionByName(lines)
 
 

@@ -9,19 +9,16 @@ each other. Row numbers, and the cap on rows, follow from running counts of the
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respgrid.functions import scalars as S
 from respgrid.limits import DEFAULT, Limits
 from respgrid.operators import delimited as C
+from respgrid.operators.grid import Stage
 
 #: Bytes from which a body is large, characters of a chunk, rows of a few numbers that are broadcast.
 LARGE, CHUNK, FEW = 1 << 20, 1 << 16, 200_000
-#: Stores a DataFrame under a name and reads it again.
-Stage = Callable[[DataFrame, str], DataFrame]
 KEY = ["response_id", "chunk"]
 
 
