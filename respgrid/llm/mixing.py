@@ -44,7 +44,7 @@ def shares(sources: DataFrame) -> DataFrame:
 
 
 def schedule_period(shared: DataFrame) -> DataFrame:
-    """source, share, nth, in_period and period: the slot of each of a source's blocks in a period. shared (stored) has source and share."""
+    """source, share, nth, in_period and period: the slot of each of a source's blocks in a period. shared has source and share."""
     period = shared.agg(F.sum("share")).first()[0] or 0
     heavy = shared.where("share > 1").agg(F.array_sort(F.collect_list(F.struct("source", "share"))).alias("sources"))
     # At each slot the source of the earliest deadline among those whose next block is released; null if there is none.
@@ -78,7 +78,7 @@ def schedule_period(shared: DataFrame) -> DataFrame:
     light = shared.where("share = 1").select("source", F.row_number().over(Window.orderBy("source")).alias("k"))
     taken = slots.where("source is not null").select("source", "in_period").unionByName(light.join(left, "k").select("source", "in_period"))
     nth = F.row_number().over(Window.partitionBy("source").orderBy("in_period")) - 1
-    found = taken.select("source", "in_period", nth.cast("long").alias("nth")).join(small(shared.select("source", "share")), "source")
+    found = taken.select("source", "in_period", nth.cast("long").alias("nth")).join(shared.select("source", "share"), "source")
     return found.withColumn("period", F.lit(period).cast("long"))
 
 
@@ -98,17 +98,17 @@ def _slotted(docs: DataFrame, weights: dict[str, float] | None, own: list[str])
         weight = F.coalesce(F.try_element_at(known, F.col("source")), F.lit(0.0))
     else:
         raise ValueError("weights is empty")
-    shared = stored(shares(n.withColumn("weight", weight)), "mix-shares")
-    schedule = stored(schedule_period(shared), "mix-schedule")
+    shared = small(stored(shares(n.withColumn("weight", weight)), "mix-shares"))
+    schedule = small(stored(schedule_period(shared), "mix-schedule"))
 
     first = Window.partitionBy("__source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("__source", "__part", F.coalesce(F.sum("__rows").over(first), F.lit(0)).alias("__first"))
     within = Window.partitionBy("__source", "__part").orderBy("__order", "doc_id")
     ranked = rows.withColumn("__rank", F.row_number().over(within)).join(offsets, ["__source", "__part"])
     ranked = ranked.withColumn("__rank", F.col("__first") + F.col("__rank") - 1).withColumn("block", F.expr(f"__rank div {BLOCK}"))
-    of = small(shared.select(F.col("source").alias("__source"), F.col("share").alias("__share")))
+    of = shared.select(F.col("source").alias("__source"), F.col("share").alias("__share"))
     placed = ranked.join(of, "__source").withColumn("nth", F.col("block") % F.col("__share")).drop("__share")
-    placed = placed.join(small(schedule.withColumnRenamed("source", "__source")), ["__source", "nth"])
+    placed = placed.join(schedule.withColumnRenamed("source", "__source"), ["__source", "nth"])
     return placed.withColumn("slot", F.expr("(block div share) * period + in_period")), schedule, shared
 
 
@@ -118,7 +118,7 @@ def block_positions(shared: DataFrame, schedule: DataFrame) -> DataFrame:
     lists = shared.select("source", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({BLOCK - 1} + n - 1) div {BLOCK} div {LISTED}"))).alias("k")).repartition("source", "k")
     last = F.least(n_blocks, (F.col("k") + 1) * LISTED) - 1
     blocks = lists.select("source", "n", F.explode(F.sequence(F.col("k") * LISTED, last)).alias("block"))
-    placed = blocks.join(small(shared.select("source", "share")), "source").withColumn("nth", F.col("block") % F.col("share")).drop("share").join(small(schedule), ["source", "nth"])
+    placed = blocks.join(shared.select("source", "share"), "source").withColumn("nth", F.col("block") % F.col("share")).drop("share").join(schedule, ["source", "nth"])
     rows = F.least(F.lit(BLOCK), F.col("n") - F.col("block") * BLOCK)
     placed = placed.select("source", "block", F.expr("(block div share) * period + in_period").alias("slot"), rows.alias("rows")).withColumn("stretch", F.expr(f"slot div {STRETCH}"))
     placed = stored(placed, "mix-blocks")
@@ -126,7 +126,7 @@ def block_positions(shared: DataFrame, schedule: DataFrame) -> DataFrame:
     # A row for each STRETCH slots.
     begins = totals.select("stretch", (F.sum("all").over(Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("all")).alias("begin"))
     sofar = F.sum("rows").over(Window.partitionBy("stretch").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)) - F.col("rows")
-    return placed.withColumn("sofar", sofar).join(small(stored(begins, "mix-stretches")), "stretch").select(F.col("source").alias("__source"), "block", (F.col("begin") + F.col("sofar")).alias("start"))
+    return placed.withColumn("sofar", sofar).join(begins, "stretch").select(F.col("source").alias("__source"), "block", (F.col("begin") + F.col("sofar")).alias("start"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
