@@ -141,10 +141,12 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame
     Columns of docs that have the name of an added column are replaced.
     """
     added = ["block", "release", "deadline", "slot", "target_share", "mix_position"]
-    own = [c for c in docs.columns if c.lower() not in added]
-    placed, schedule, shared = _slotted(docs, weights, own)
+    # Columns of docs keep their names whatever the steps between are called.
+    own = {c: f"__own{k}" for k, c in enumerate(docs.columns) if c.lower() not in added}
+    kept = docs.select("doc_id", "source", *[F.col(c).alias(a) for c, a in own.items()])
+    placed, schedule, shared = _slotted(kept, weights, kept.columns)
     return placed.join(block_positions(shared, schedule), ["__source", "block"]).select(
-        *own,
+        *[F.col(a).alias(c) for c, a in own.items()],
         "block",
         F.expr("(block * period) div share").alias("release"),
         F.expr("((block + 1) * period + share - 1) div share").alias("deadline"),

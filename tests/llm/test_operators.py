@@ -299,6 +299,19 @@ def test_mixing(spark, docs, empty, weights):
     assert order == sorted(order)
     assert mixing.mixed(docs, weights).count() == docs.count() and mixing.in_mix_order(docs).columns == docs.columns
     assert mixing.mixed(empty, weights).count() == 0
+    odd = docs.select("doc_id", "source", *[F.lit(k).alias(c) for k, c in enumerate(["share", "period", "nth", "in_period", "start", "__rank", "__source"])])
+    assert {tuple(r) for r in mixing.mixed(odd, weights).select(odd.columns[2:]).collect()} == {tuple(range(7))} and mixing.in_mix_order(odd, weights).columns == odd.columns
+
+
+def test_many_sources(spark):
+    """Far more sources than a period has slots for shares: all are served within their windows, and each slot once a period."""
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.xxhash64("id") % 2500)).alias("source"))
+    found = mixing.mixed(docs).select("source", "block", "release", "slot", "deadline", "mix_position").toPandas()
+    assert sorted(found["mix_position"]) == list(range(30_000))
+    assert ((found["release"] <= found["slot"]) & (found["slot"] < found["deadline"])).all()
+    assert found.groupby("slot")[["source", "block"]].nunique().to_numpy().max() == 1
+    order = found.sort_values("mix_position")["slot"]
+    assert order.is_monotonic_increasing
 
 
 def plain_form(text):
