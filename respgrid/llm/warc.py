@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.fs
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from respgrid.llm.common import shared_dir, small, stored
@@ -43,6 +43,14 @@ def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
+def _with_scheme(spark: SparkSession, folder: str) -> str:
+    """A folder that is named without a scheme lies where Hadoop's default is, for pyarrow as for Spark."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", folder):
+        return folder
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return f"file://{folder}" if default.startswith("file:") else default.rstrip("/") + folder
+
+
 def surt(url: str | None) -> str:
     """A url as the index sorts it: the host's names reversed, lower-cased and without www, then port, path and query. No scheme, user or fragment."""
     try:
@@ -138,7 +146,7 @@ def write_archives(pages: DataFrame, path: str | None = None, archive_bytes: int
     Further columns are ignored. Control characters and blanks in a url are percent-escaped.
     """
     spark = pages.sparkSession
-    folder = path or f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}"
+    folder = _with_scheme(spark, path or f"{shared_dir(spark)}/llm-warc-{uuid.uuid4().hex}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(folder)

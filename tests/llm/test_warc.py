@@ -67,7 +67,7 @@ def test_round_trip(spark, least, tmp_path):
 
 def test_archives_are_gzip_members(spark, tmp_path):
     df = spark.createDataFrame([(1, "http://a.example/", "one"), (2, "http://b.example/", "one"), (3, "http://c.example/", "two")], "page_id long, url string, html string").coalesce(1)
-    manifest = warc.write_archives(df, f"file://{tmp_path}/warc")
+    manifest = warc.write_archives(df, f"{tmp_path}/warc")  # without a scheme: Hadoop's default, which is this machine here
     ((path, n, size),) = map(tuple, manifest.collect())
     data = open(path.removeprefix("file://"), "rb").read()
     assert n == 3 and size == len(data)
