@@ -9,8 +9,8 @@ that a dense group of near copies costs few passes. Components are then found by
 small stars on the links.
 
 A key that more than HOT fingerprints have is cut further: its other bits make five sub-blocks, one of which
-any two linked fingerprints share, so that no task compares all that such a key holds. Rows of a star's middle
-are joined by a shuffle whose skewed partitions Spark splits.
+any two linked fingerprints share, and so on until none has more than that, so that no task compares all that such a key
+holds. A star's middle, a component or a fingerprint that more than one in SHARE of all rows have is joined by broadcasting.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: Fingerprints under one key from which on it is cut further.
 HOT = 4096
+#: Keys that more than one in so many rows have are joined by broadcasting: there are fewer than so many.
+SHARE = 1000
 #: Shingles whose bits are counted at once.
 AT_ONCE = 65_536
 
@@ -126,48 +128,76 @@ def _signed(mask: int) -> int:
 
 
 def _sub_masks(mask: int) -> list[int]:
-    """mask with one of DISTANCE + 1 parts of the other bits, each in turn."""
+    """mask with one of DISTANCE + 1 parts of the other bits, each in turn; none if so few are left that no key has more than HOT fingerprints."""
     rest = [b for b in range(64) if not mask >> b & 1]
+    if 1 << len(rest) <= HOT:
+        return []
     cuts = [len(rest) * k // (DISTANCE + 1) for k in range(DISTANCE + 2)]
     return [mask | sum(1 << b for b in rest[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
-def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
-    """Links a, b between distinct fingerprints (column fp): as many as connect all that are within DISTANCE."""
+def _keyed(distinct: DataFrame, hot: int) -> DataFrame:
+    """pair, key, fp: the keys under which linked fingerprints meet, cut until none has more than hot of them.
+
+    A mask's sub-masks leave four fifths of its free bits, so that a key is cut at most six times.
+    """
     begins = np.cumsum([0, *BLOCKS[:-1]]).tolist()
     blocks = [((1 << w) - 1) << b for w, b in zip(BLOCKS, begins, strict=True)]
-    pairs = [x | y for x, y in combinations(blocks, 2)]
-    keys = [F.struct(F.lit(i).alias("pair"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(pairs)]
-    under = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.pair", "k.key", "fp")
-    crowded = stored(under.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "hot-keys")
-    if not crowded.isEmpty():
-        masks = F.array(*[F.lit(_signed(m)) for pair in pairs for m in _sub_masks(pair)])
-        parts = F.transform(
-            F.sequence(F.lit(0), F.lit(DISTANCE)),
-            lambda i: F.struct((F.lit(len(pairs)) + F.col("pair") * (DISTANCE + 1) + i).alias("pair"), F.col("fp").bitwiseAND(masks[F.col("pair") * (DISTANCE + 1) + i]).alias("key")),
-        )
-        few = small(crowded)
-        cut = under.join(few, ["pair", "key"], "left_semi").select("fp", F.explode(parts).alias("k")).select("k.pair", "k.key", "fp")
-        under = under.join(few, ["pair", "key"], "left_anti").unionByName(cut)
-    return under.repartition("pair", "key").sortWithinPartitions("pair", "key").mapInArrow(_links, "a long, b long").distinct()
+    masks = dict(enumerate(x | y for x, y in combinations(blocks, 2)))
+    keys = [F.struct(F.lit(i).cast("long").alias("pair"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in masks.items()]
+    level = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("k.pair", "k.key", "fp")
+    fits = []
+    while True:
+        crowded = stored(level.groupBy("pair", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).drop("n"), "hot-keys")
+        # Masks are numbered as a tree: what comes here is numbers of masks, not keys.
+        cut = {p: _sub_masks(masks[p]) for (p,) in crowded.select("pair").distinct().collect()}
+        cut = {p: subs for p, subs in cut.items() if subs}
+        if not cut:
+            break
+        children = [(p, len(BLOCKS) * (len(BLOCKS) - 1) // 2 + p * (DISTANCE + 1) + i, m) for p, subs in cut.items() for i, m in enumerate(subs)]
+        masks = {child: m for _, child, m in children}
+        parts = distinct.sparkSession.createDataFrame([(p, child, _signed(m)) for p, child, m in children], "pair long, child long, mask long")
+        few = small(crowded.where(F.col("pair").isin(list(cut))))
+        fits.append(level.join(few, ["pair", "key"], "left_anti"))
+        below = level.join(few, ["pair", "key"], "left_semi").join(F.broadcast(parts), "pair")
+        level = stored(below.select(F.col("child").alias("pair"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp"), "cut-keys")
+    for rest in fits:
+        level = level.unionByName(rest)
+    return level
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """Links a, b between distinct fingerprints (column fp): as many as connect all that are within DISTANCE."""
+    return _keyed(distinct, hot).repartition("pair", "key").sortWithinPartitions("pair", "key").mapInArrow(_links, "a long, b long").distinct()
+
+
+def _to_each(rows: DataFrame, values: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the columns of values, a table of one row a key and the number n of its rows, total in all or fewer.
+
+    Keys that more than one in SHARE of all rows have are fewer than SHARE: they are broadcast, so that their rows stay where they are.
+    """
+    much = F.col("n") * SHARE > total
+    often = F.broadcast(values.where(much).drop("n"))
+    seldom = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(values.where(~much).drop("n"), key)
+    return rows.join(often, key).unionByName(seldom)
 
 
 def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """node, root: each node of edges (a, b) with the smallest node that it is connected to."""
     flat = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "stars")
-    before = None
+    now, many = (flat.count(), None), F.count(F.lit(1)).alias("n")
     for _ in range(most_rounds):
+        before, total = now, 2 * now[0]
         both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        flat = stored(small.where("u != v").distinct(), "stars")
-        now = flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), many)
+        large = _to_each(both.where("v > u"), least, "u", total).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stored(large.where("u != v").distinct(), "large-stars")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), many)
+        shrunk = _to_each(large, lowest, "u", total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        flat = stored(shrunk.where("u != v").distinct(), "stars")
+        now = tuple(flat.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
-        before = now
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return flat.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -183,12 +213,12 @@ def near_groups(docs: DataFrame) -> DataFrame:
     result; further columns are ignored.
     """
     rows = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
+    distinct = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")), "distinct-fingerprints")
     roots = components(stored(links(distinct), "links"))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    rooted = stored(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    named = stored(_to_each(rooted.select("fp", "root", F.col("n").alias("rows")), smallest, "root", rooted.count()).select("fp", "component_id", F.col("rows").alias("n")), "named")
+    return _to_each(rows, named, "fp", rows.count()).select("doc_id", "text_hash", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -551,6 +551,29 @@ def test_links_lose_none(spark, hot):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_crowded_keys_are_cut_until_they_fit(spark):
+    r = random.Random(11)
+    base = r.getrandbits(63)
+    fps = {base ^ sum(1 << k for k in r.sample(range(63), r.randrange(1, 3))) for _ in range(300)}
+    keyed = simhash._keyed(spark.createDataFrame([(x,) for x in fps], "fp long"), 50)
+    sizes = keyed.groupBy("pair", "key").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50 and keyed.agg(F.max("pair")).first()[0] >= 15 + 15 * 5
+    # What is linked meets under a key.
+    met = collections.defaultdict(set)
+    for pair, key, fp in keyed.collect():
+        met[fp].add((pair, key))
+    some = r.sample(sorted(fps), 120)
+    assert all(met[x] & met[y] for x, y in itertools.combinations(some, 2) if (x ^ y).bit_count() <= 4)
+
+
+def test_hot_keys_meet_their_values(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(100 + F.col("id")).alias("k"), "id")
+    values = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.first("k") * 2).alias("twice"))
+    joined = simhash._to_each(rows, values, "k", 6000)
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().toString()
+    assert sorted(listed(joined.select("id", "k", "twice"))) == [(i, k, 2 * k) for i, k in ((i, 7 if i % 3 == 0 else 100 + i) for i in range(6000))]
+
+
 def plain_lines(rows):
     low = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\v\f\r"))
     holders = collections.defaultdict(set)
