@@ -3,9 +3,9 @@
 The model is a modified Kneser-Ney model of order five over UTF-8 bytes, with marks around each
 text. Spark counts the n-grams of all texts; five bytes are an n-gram's hash, without collisions. Lower
 orders count in how many n-grams of the next order theirs ends. The model is kept as sorted arrays of these
-hashes with probabilities and back-off weights, one pair of arrays for each order, and goes out to the workers.
-What goes out is bounded: an order with more than MOST_ENTRIES n-grams leaves its rarest to the order
-below, while counts, totals and discounts cover them all.
+hashes with probabilities and back-off weights, one pair of arrays for each order, and goes out to the workers
+if it has at most MOST_ENTRIES n-grams in all. A larger one stays a table: Spark joins probabilities order by order, the
+texts are dealt into chunks, and each chunk gets the sorted array of its own n-grams. Figures are the same either way.
 
 A text's figure is its mean negative log10 probability of a byte, the logarithm of its perplexity. The
 bands follow each language's own distribution: of the texts that pass the base rules, the median,
@@ -17,7 +17,6 @@ lie strange words and symbols, below it texts that say the same again and again.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +31,10 @@ from respgrid.llm.common import small, stored, text_or_empty, without
 ORDER, AT_ONCE = 5, 2_000_000
 #: Marks before a text (ORDER - 1 times) and after it: bytes that UTF-8 never has.
 BEGIN, END = 0xFF, 0xFE
-#: N-grams of one order that the model holds at most: some 70 MB.
+#: N-grams of a model that goes out whole, all orders together: some 70 MB.
 MOST_ENTRIES = 4_000_000
+#: Bytes of text in a chunk, where the model is larger.
+CHUNK = 64_000_000
 #: Deviations that a language's band leaves below and above its median.
 BELOW, ABOVE = 3.5, 3.5
 #: Bytes at which a text's spread is twice the variance of a long one, and the width of a histogram's bins.
@@ -100,11 +101,11 @@ class Model:
         return out
 
 
-def _means(texts: list[bytes], model: Model) -> np.ndarray:
+def _means(texts: list[bytes], probability: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """Each text's mean negative log10 probability."""
     codes, begins, ends = _framed(texts)
     distinct, at = np.unique(codes, return_inverse=True)
-    return -np.add.reduceat(np.log10(model.probability(distinct))[at], begins) / (ends - begins)
+    return -np.add.reduceat(np.log10(probability(distinct))[at], begins) / (ends - begins)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,27 +131,44 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def train(docs: DataFrame, most_entries: int = MOST_ENTRIES) -> Model:
-    """The model of all texts of docs."""
+def train(docs: DataFrame, most_entries: int = MOST_ENTRIES) -> Model | DataFrame:
+    """The model of all texts of docs; with more n-grams than most_entries a stored table: code, p for each n-gram of the highest order."""
     level = stored(docs.select(text_or_empty().alias("text")).mapInArrow(_counted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "ngrams")
-    orders = []
+    orders, entries = [], 0
     for order in range(ORDER, 0, -1):
-        # Some hundred rows: how many n-grams have counts 1 to 4, and a quarter power of two from there on.
-        kind = F.when(F.col("n") <= 4, F.col("n")).otherwise(F.floor(F.log2("n") * 4))
-        kinds = sorted((r["least"], r["often"]) for r in level.groupBy(kind).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("often")).collect())
-        taken = discounts([dict(kinds).get(k, 0) for k in (1, 2, 3, 4)])
-        fits = [least for (least, _), n in zip(reversed(kinds), accumulate(n for _, n in reversed(kinds)), strict=True) if n <= most_entries]
+        kinds = {r["kind"]: r["often"] for r in level.groupBy(F.least("n", F.lit(5)).alias("kind")).agg(F.count(F.lit(1)).alias("often")).collect()}
+        entries += sum(kinds.values())
         # A context has at most as many n-grams as there are bytes.
         totals = level.withColumn("total", F.sum("n").over(Window.partitionBy(F.shiftright("code", 8))))
-        table = totals.where(F.col("n") >= min(fits, default=2**62)).toArrow()
-        orders.append((*(table.column(c).to_numpy() for c in ("code", "n", "total")), taken))
+        orders.append((totals, discounts([kinds.get(k, 0) for k in (1, 2, 3, 4)])))
         level = level.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (order - 1)) - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+        if entries > most_entries:
+            level = stored(level, "ngrams")
+    if entries > most_entries:
+        return _probabilities(orders[::-1])
     model = Model()
-    for order in reversed(orders):
-        model.add(*order)
+    for totals, taken in reversed(orders):
+        table = totals.toArrow()
+        model.add(*(table.column(c).to_numpy() for c in ("code", "n", "total")), taken)
     return model
 
 
+def _probabilities(orders: list[tuple[DataFrame, np.ndarray]]) -> DataFrame:
+    """code, p of the highest order. Each n-gram's shorter one was counted too, and is that of at most as many as there are bytes."""
+    below = None
+    for k, (totals, taken) in enumerate(orders):
+        cut = F.when(F.col("n") == 1, float(taken[1])).when(F.col("n") == 2, float(taken[2])).otherwise(float(taken[3]))
+        shares = totals.withColumn("share", (F.col("n") - cut) / F.col("total"))
+        shares = shares.withColumn("rest", 1 - F.sum("share").over(Window.partitionBy(F.shiftright("code", 8))))
+        if below is None:
+            shares = shares.withColumn("below", F.lit(1 / 256))
+        else:
+            shorter = below.select(F.col("code").alias("shorter"), F.col("p").alias("below"))
+            shares = shares.withColumn("shorter", F.col("code").bitwiseAND(F.lit((1 << 8 * k) - 1))).join(shorter, "shorter")
+        below = stored(shares.select("code", (F.col("share") + F.col("rest") * F.col("below")).alias("p")), "probabilities")
+    return below
+
+
 def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     """COLUMNS for one text."""
     marks = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
@@ -175,23 +193,59 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     return len(words), points, int(marks[list(SYMBOLS)].sum()), len(lines) - len(set(lines)), repeated
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang, text_hash, n_bytes, COLUMNS, base_failed and log_perplexity for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    ids, names = ["doc_id", "lang", "text_hash"], ["n_bytes", *COLUMNS]
+_IDS, _NUMBERS = ["doc_id", "lang", "text_hash"], ["n_bytes", *COLUMNS]
+
+
+def _figures(batch: pa.RecordBatch, probability: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
+    texts = pc.cast(encoding.filled(batch), pa.binary()).to_pylist()
+    means = _means(texts, probability)
+    figures = [(len(t), *base_figures(t)) for t in texts]
+    columns = [pa.array(x, pa.int64()) for x in zip(*figures, strict=True)]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in _IDS), *columns, pa.array(means)], [*_IDS, *_NUMBERS, "log_perplexity"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _score_in_chunks(rows: DataFrame, known: DataFrame, kinds: str, chunk: int) -> DataFrame:
+    """rows with their figures by known (code, p). A chunk takes the n-grams that it has, so that what moves grows with the text alone."""
+    n_bytes = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = n_bytes // chunk + 1
+    dealt = stored(rows.withColumn("chunk", F.floor(F.rand(1) * parts).cast("long")).repartition("chunk"), "quality-texts")
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in encoding.slices(whole, at_once=AT_ONCE):
-                texts = pc.cast(encoding.filled(batch), pa.binary()).to_pylist()
-                means = _means(texts, shared.value)
-                figures = [(len(t), *base_figures(t)) for t in texts]
-                columns = [pa.array(x, pa.int64()) for x in zip(*figures, strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ids), *columns, pa.array(means)], [*ids, *names, "log_perplexity"])
-
-    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text_hash long, {', '.join(f'{x} long' for x in names)}, log_perplexity double"
+                which = batch.column("chunk").to_numpy()
+                for c in np.unique(which).tolist():
+                    texts = pc.cast(encoding.filled(batch.filter(pa.array(which == c))), pa.binary()).to_pylist()
+                    codes = np.unique(_framed(texts)[0])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), c, np.int64)), pa.array(codes)], ["chunk", "code"])
+
+    def figures(array: pa.Table, texts: pa.Table) -> pa.Table:
+        at = np.argsort(array.column("code").to_numpy())
+        codes, p = array.column("code").to_numpy()[at], array.column("p").to_numpy()[at]
+        found = [_figures(part, lambda x: p[np.searchsorted(codes, x)]) for batch in texts.to_batches() for part in encoding.slices(batch, at_once=AT_ONCE)]
+        return pa.Table.from_batches(found)
+
+    arrays = dealt.select("chunk", "text").mapInArrow(own, "chunk long, code long").distinct().join(known, "code")
+    return arrays.groupBy("chunk").cogroup(dealt.groupBy("chunk")).applyInArrow(figures, kinds)
+
+
+def score(docs: DataFrame, model: Model | DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, lang, text_hash, n_bytes, COLUMNS, base_failed and log_perplexity for each row. A model that is a table has to be of these texts."""
+    rows = docs.select("doc_id", "lang", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text"))
+    kinds = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, text_hash long, {', '.join(f'{x} long' for x in _NUMBERS)}, log_perplexity double"
+    if isinstance(model, Model):
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in encoding.slices(whole, at_once=AT_ONCE):
+                    yield _figures(batch, shared.value.probability)
+
+        scored = rows.mapInArrow(run, kinds)
+    else:
+        scored = _score_in_chunks(rows, model, kinds, chunk)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    return docs.select("doc_id", "lang", F.xxhash64(text_or_empty()).alias("text_hash"), text_or_empty().alias("text")).mapInArrow(run, kinds).withColumn("base_failed", failed)
+    return scored.withColumn("base_failed", failed)
 
 
 def _deviation() -> Column:

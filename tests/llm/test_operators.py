@@ -255,11 +255,22 @@ def test_perplexity_and_bands_against_plain(spark):
     assert {d: x["log_perplexity"] for d, x in found.items()} == {x["doc_id"]: x["log_perplexity"] for x in ngram_quality.judged(docs.repartition(2)).collect()}
 
 
-@pytest.mark.parametrize("most", [10**6, 40])
-def test_kneser_ney_sums_to_one(spark, most):
+@pytest.mark.parametrize("chunk", [ngram_quality.CHUNK, 3000])
+def test_large_models_give_the_same_figures(spark, docs, chunk):
+    rows = docs.select("doc_id", "text", "lang").cache()
+    model, table = ngram_quality.train(rows), ngram_quality.train(rows, 1000)
+    codes, p = zip(*listed(table.select("code", "p")), strict=True)
+    assert len(codes) == len(set(codes)) == len(model.orders[-1][0]) > 1000
+    assert np.allclose(model.probability(np.array(codes)), p, rtol=1e-9)
+    figures = lambda m: sorted((str(r["doc_id"]), r["text_hash"], *(r[c] for c in ngram_quality.COLUMNS), round(r["log_perplexity"], 9)) for r in ngram_quality.score(rows, m, chunk).collect())
+    assert figures(table) == figures(model)
+    nothing = rows.where("doc_id = -1")
+    assert ngram_quality.score(nothing, ngram_quality.train(nothing, -1)).count() == 0
+
+
+def test_kneser_ney_sums_to_one(spark):
     texts = ["abracadabra", "", "banana bandana"]
-    model = ngram_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"), most)
-    assert all(len(codes) <= most for codes, *_ in model.orders)
+    model = ngram_quality.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     contexts = [b"\xff\xff\xff\xff", b"abra", b"bana", b"zzzz", b"dana"]
     for c in contexts:
         codes = np.array([int.from_bytes(c + bytes([b]), "big") for b in range(256)], np.int64)
