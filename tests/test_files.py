@@ -36,6 +36,14 @@ def test_expanding():
     assert inflate.expand_bytes(gzip.compress(b""), 100) is None
 
 
+def test_text_that_begins_like_a_raw_stream_is_text():
+    text = "Sudorajaez y, osll. As lo ezas, mentees cióngaasque queóta.".encode()
+    assert zlib.decompressobj(-15).decompress(text)  # an end of a stream is found in it
+    assert inflate.expand_bytes(text, 1000) is None
+    raw = zlib.compressobj(wbits=-15)
+    assert inflate.expand_bytes(raw.compress(b"abc") + raw.flush() + b"more", 1000) is None
+
+
 def test_expanding_damaged_members():
     good, bad = gzip.compress(b"first"), bytearray(gzip.compress(b"second" * 50))
     bad[15] ^= 0xFF
