@@ -44,6 +44,13 @@ def test_text_that_begins_like_a_raw_stream_is_text():
     assert inflate.expand_bytes(raw.compress(b"abc") + raw.flush() + b"more", 1000) is None
 
 
+def test_header_of_text_that_begins_like_a_raw_stream(spark):
+    text = "Sudorajaez y, osll. As lo ezas, mentees cióngaasque queóta.".encode()
+    rows = spark.createDataFrame([(1, "/packed/1", "text/csv; gzip", None, bytearray(text))], RESPONSE)
+    header = detect.file_header(detect.detect(rows)).first()
+    assert (header["type_badge"], header["gzip"], header["meta"]) == ("CSV", False, f"{len(text)} B")
+
+
 def test_expanding_damaged_members():
     good, bad = gzip.compress(b"first"), bytearray(gzip.compress(b"second" * 50))
     bad[15] ^= 0xFF
