@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from respgrid.operators.batches import made_batches, map_batches
+
 HEADER = ["line", "part", "quantity", "price", "flag", "shipped"]
 
 
@@ -229,11 +231,9 @@ def xlsx_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("response_id")).agg(listed.alias("orders"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [xlsx_bytes([(o["o_orderkey"], o["o_orderstatus"], o["price"]) for o in listed]) for listed in batch.column("orders").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+        return made_batches(batches, lambda _, orders: xlsx_bytes([tuple(o.values()) for o in orders]), "response_id")
 
-    made, none = grouped.mapInArrow(run, "response_id long, body binary"), F.lit(None).cast("string")
+    made, none = map_batches(grouped, run, "response_id long, body binary"), F.lit(None).cast("string")
     return made.select("response_id", F.concat(F.lit("/export/"), "response_id").alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body")
 
 
@@ -263,12 +263,10 @@ def rich_xlsx_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("response_id")).agg(listed.alias("orders"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [rich_xlsx_bytes([tuple(o.values()) for o in rows]) for rows in batch.column("orders").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+        return made_batches(batches, lambda _, orders: rich_xlsx_bytes([tuple(o.values()) for o in orders]), "response_id")
 
     none = F.lit(None).cast("string")
-    return grouped.mapInArrow(run, "response_id long, body binary").select(
+    return map_batches(grouped, run, "response_id long, body binary").select(
         "response_id", F.concat(F.lit("/rich/"), F.col("response_id").cast("string")).alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body"
     )
 
@@ -309,13 +307,10 @@ def many_sheet_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "orders").groupBy(F.expr("o_custkey div 25").alias("response_id")).agg(listed.alias("orders"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("response_id").to_pylist()
-            bodies = [many_sheet_bytes([tuple(o.values()) for o in rows], odd=i % 2 == 1) for i, rows in zip(ids, batch.column("orders").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+        return made_batches(batches, lambda i, orders: many_sheet_bytes([tuple(o.values()) for o in orders], odd=i % 2 == 1), "response_id")
 
     none = F.lit(None).cast("string")
-    return grouped.mapInArrow(run, "response_id long, body binary").select(
+    return map_batches(grouped, run, "response_id long, body binary").select(
         "response_id", F.concat(F.lit("/sheets/"), F.col("response_id").cast("string")).alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body"
     )
 
@@ -356,13 +351,11 @@ def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("response_id"), kind.cast("int").alias("kind"), F.encode(content, "UTF-8").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = [compressed_bytes(k, c.as_py()) for k, c in zip(batch.column("kind").to_pylist(), batch.column("content"), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("response_id"), batch.column("kind"), pa.array(bodies, pa.binary())], ["response_id", "kind", "body"])
+        return made_batches(batches, lambda _, kind, content: compressed_bytes(kind, content), "response_id", "kind")
 
     kinds = ["text/plain", "application/octet-stream; deflate", "x-gzip", None, "text/csv; gzip", "application/octet-stream", None, None]
     ending = _cycle(F.col("kind"), ["", ".csv", ".tsv", "", "", "", "", ""])
-    return rows.mapInArrow(run, "response_id long, kind int, body binary").select(
+    return map_batches(rows, run, "response_id long, kind int, body binary").select(
         "response_id",
         F.concat(F.lit("/packed/"), F.col("response_id").cast("string"), ending).alias("request_path"),
         _cycle(F.col("kind"), kinds).alias("content_type"),
@@ -377,16 +370,15 @@ def many_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = rows.groupBy("response_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("docs"))
     grouped = grouped.select("response_id", F.array_join(F.transform("docs", lambda d: d["text"]), "").alias("text"))
 
+    def body(key: int, text: str) -> bytes:
+        pieces = [gzip.compress(text[k : k + 24].encode(), 1, mtime=0) for k in range(0, len(text), 24)]
+        return b"".join(pieces) + (b"no member, though it is long enough" if key % 2 else b"")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies = []
-            for key, text in zip(batch.column("response_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                pieces = [gzip.compress(text[k : k + 24].encode(), 1, mtime=0) for k in range(0, len(text), 24)]
-                bodies.append(b"".join(pieces) + (b"no member, though it is long enough" if key % 2 else b""))
-            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+        return made_batches(batches, body, "response_id")
 
     none = F.lit(None).cast("string")
-    return grouped.mapInArrow(run, "response_id long, body binary").select(
+    return map_batches(grouped, run, "response_id long, body binary").select(
         "response_id", F.concat(F.lit("/members/"), F.col("response_id").cast("string"), F.lit(".csv")).alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body"
     )
 
@@ -418,13 +410,10 @@ def xls_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("response_id")).agg(listed.alias("orders"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("response_id").to_pylist()
-            bodies = [xls_bytes([tuple(o.values()) for o in rows], locked=i % 11 == 3, early=i % 11 == 4) for i, rows in zip(ids, batch.column("orders").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("response_id"), pa.array(bodies, pa.binary())], ["response_id", "body"])
+        return made_batches(batches, lambda i, orders: xls_bytes([tuple(o.values()) for o in orders], locked=i % 11 == 3, early=i % 11 == 4), "response_id")
 
     key = F.col("response_id")
-    return grouped.mapInArrow(run, "response_id long, body binary").select(
+    return map_batches(grouped, run, "response_id long, body binary").select(
         "response_id",
         F.concat(F.lit("/export/"), key.cast("string"), F.when(key % 2 == 0, ".xls").otherwise("")).alias("request_path"),
         F.when(key % 3 == 0, "application/vnd.ms-excel").alias("content_type"),
