@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from respgrid.limits import DEFAULT, Limits
 from respgrid.operators import workbook
+from respgrid.operators.batches import map_batches
 
 # The parts that are read.
 WORKBOOK, RELATIONS, STRINGS, STYLES = "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/sharedStrings.xml", "xl/styles.xml"
@@ -330,7 +331,7 @@ def xlsx_parts(bodies: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
                     rows = [{"response_id": response_id, "order": -1, "error": _told(error)}]
                 yield from (pa.RecordBatch.from_pylist([row], pa.schema(kinds)) for row in rows)
 
-    return bodies.mapInArrow(run, PACKED)
+    return map_batches(bodies, run, PACKED)
 
 
 def _walked(parts: DataFrame, limits: Limits) -> DataFrame:
@@ -350,7 +351,7 @@ def _walked(parts: DataFrame, limits: Limits) -> DataFrame:
 
         yield from _batches(found())
 
-    return parts.mapInArrow(run, SCHEMA)
+    return map_batches(parts, run, SCHEMA)
 
 
 def xlsx_records(detected: DataFrame, limits: Limits = DEFAULT, large: int = LARGE) -> DataFrame:
@@ -371,7 +372,7 @@ def xlsx_records(detected: DataFrame, limits: Limits = DEFAULT, large: int = LAR
     some = detected.where((F.col("file_type") == "XLSX") & (size <= limits.tabular_bytes)).select("response_id", "expanded")
     tasks = int(detected.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = xlsx_parts(some.where(size > large), limits).repartition(tasks, "response_id", "name")
-    return some.where(size <= large).mapInArrow(run, SCHEMA).unionByName(_walked(dealt, limits))
+    return map_batches(some.where(size <= large), run, SCHEMA).unionByName(_walked(dealt, limits))
 
 
 def by_kind(staged: DataFrame) -> dict[str, DataFrame]:
