@@ -105,16 +105,17 @@ def guess_delimiter(head: Column) -> Column:
         counts = F.transform(lines, lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))) + 1)
         return F.struct(let(counts, fields).alias("n"), F.lit(-k).alias("k"))
 
-    def best(lines: Column) -> Column:
+    def best(lines: Column, plain: Column) -> Column:
         # Without the last line, which the sample may have cut.
         full = F.slice(lines, F.lit(1), F.size(lines) - 1)
-        return let(full, lambda x: F.array_max(F.array(*[score(x, k) for k in range(len(DELIMITERS))])))
+        # Most candidates aren't in the text at all, and need no counts.
+        return let(full, lambda x: F.array_max(F.array(*[F.when(F.contains(plain, F.lit(DELIMITERS[k])), score(x, k)) for k in range(len(DELIMITERS))])))
 
     listed = F.array(*[F.lit(d) for d in DELIMITERS])
 
     def guess(plain: Column) -> Column:
-        lines = F.split(F.regexp_replace(plain, QUOTED, ""), "\n", -1)
-        named = let(let(lines, best), lambda x: F.when(x["n"] > 1, F.element_at(listed, 1 - x["k"])))
+        lines = F.split(F.when(F.contains(plain, F.lit('"')), F.regexp_replace(plain, QUOTED, "")).otherwise(plain), "\n", -1)
+        named = let(let(lines, lambda x: best(x, plain)), lambda x: F.when(x["n"] > 1, F.element_at(listed, 1 - x["k"])))
         return F.when((F.length(plain) > 0) & ~F.substring(plain, 1, 1).isin("<", "{", "["), named)
 
     return let(text, guess)

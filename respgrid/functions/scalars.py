@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from respgrid.limits import DEFAULT
 
 #: Java's trim() takes these off both ends.
-EDGE = r"^[\x00-\x20]+|[\x00-\x20]+\z"
+EDGES = "".join(map(chr, range(0x21)))
 # Built-in number format ids that show dates or times, as closed ranges.
 DATE_FORMATS = [(14, 22), (27, 36), (45, 47), (50, 58)]
 # Spreadsheet error codes and their text.
@@ -28,7 +28,7 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 def trim_edges(text: Column) -> Column:
     """text without characters up to U+0020 at its ends."""
-    return F.regexp_replace(text, EDGE, "")
+    return F.trim(text, F.lit(EDGES))
 
 
 def number_text(x: Column) -> Column:
@@ -101,12 +101,15 @@ def clamp_cell(text: Column, chars: int = DEFAULT.cell_chars) -> Column:
 
 def as_number(text: Column) -> Column:
     """The number that a cell's text is, thousands commas ignored; null if it isn't one."""
-    def read(bare: Column) -> Column:
-        named = bare.rlike(r"(?i)^[\x00-\x20]*[+-]?(?:inf|nan)")
-        exact = bare.rlike(r"^[\x00-\x20]*[+-]?(?:Infinity|NaN)[\x00-\x20]*\z")
-        return F.when(~named | exact, bare.try_cast("double"))
+    return named_exactly(F.replace(trim_edges(text), F.lit(","), F.lit("")))
 
-    return let(F.replace(trim_edges(text), F.lit(","), F.lit("")), read)
+
+def named_exactly(bare: Column) -> Column:
+    """bare as a double; infinities and NaN only by their exact names or by digits. No patterns are tried on what reads as a finite number."""
+    value = bare.try_cast("double")
+    named = bare.rlike(r"(?i)^[\x00-\x20]*[+-]?(?:inf|nan)")
+    exact = bare.rlike(r"^[\x00-\x20]*[+-]?(?:Infinity|NaN)[\x00-\x20]*\z")
+    return F.when(F.abs(value) < float("inf"), value).when(value.isNotNull() & (~named | exact), value)
 
 
 def column_index(reference: Column) -> Column:

@@ -95,7 +95,7 @@ def finish_field(raw: Column, limits: Limits = DEFAULT) -> Column:
 def kept_records(text: Column, delimiter: Column, quoted: Column) -> Column:
     """A text's records with anything in them: ended, those with a line end, and tail, which has the last one if the end of the text ends it."""
     records = F.when(quoted, _by_delimiter(delimiter, lambda d: _quoted_records(text, d))).otherwise(F.split(text, LINE_END, -1))
-    plain = lambda x: S.trim_edges(F.replace(x, delimiter, F.lit(""))) != ""
+    plain = lambda x: F.ltrim(x, F.concat(F.lit(S.EDGES), delimiter)) != ""
     with_text = lambda x: F.when(quoted, ~_by_delimiter(delimiter, lambda d: _blank_quoted(x, d))).otherwise(plain(x))
     return S.let(
         records,

@@ -127,11 +127,12 @@ def csv_line(cells: Column) -> Column:
 def csv_lines(data: DataFrame, sheets: DataFrame, order: str = "row_idx", stage: Stage | None = None) -> DataFrame:
     """response_id, sheet_idx, line_no, line: the header's names, then the rows of promote_header in the given order. With stage, several tasks number a sheet."""
     width = sheets.select(*SHEET, F.greatest("n_cols", F.lit(1)).alias("__width"))
-    heads = data.groupBy(*SHEET).agg(F.any_value("header").alias("header")).select(*SHEET, F.lit(0).alias("line_no"), csv_line(F.col("header")).alias("line"))
     number = F.row_number().over(Window.partitionBy(*SHEET).orderBy(order))
     placed = numbered(data, "line_no", [F.col(order).asc()], stage) if stage else data.withColumn("line_no", number)
-    lines = placed.join(width, SHEET).select(*SHEET, "line_no", csv_line(padded(F.col("cells"), F.col("__width"))).alias("line"))
-    return heads.unionByName(lines)
+    line = F.struct("line_no", csv_line(padded(F.col("cells"), F.col("__width"))).alias("line"))
+    # The first row brings the header with it, so that data is made once.
+    head = F.when(F.col("line_no") == 1, F.array(F.struct(F.lit(0).alias("line_no"), csv_line(F.col("header")).alias("line")))).otherwise(F.array())
+    return placed.join(width, SHEET).select(*SHEET, F.explode_outer(F.concat(head, F.array(line))).alias("__l")).select(*SHEET, "__l.line_no", "__l.line")
 
 
 def numeric_cells(rows: DataFrame, sheets: DataFrame) -> DataFrame:
