@@ -92,11 +92,16 @@ def finish_field(raw: Column, limits: Limits = DEFAULT) -> Column:
     return S.clamp_cell(value, limits.cell_chars)
 
 
+def _has_quote(record: Column, quoted: Column) -> Column:
+    """Whether a record needs patterns: most records of texts with quotes have none."""
+    return quoted & F.contains(record, F.lit('"'))
+
+
 def kept_records(text: Column, delimiter: Column, quoted: Column) -> Column:
     """A text's records with anything in them: ended, those with a line end, and tail, which has the last one if the end of the text ends it."""
     records = F.when(quoted, _by_delimiter(delimiter, lambda d: _quoted_records(text, d))).otherwise(F.split(text, LINE_END, -1))
     plain = lambda x: F.ltrim(x, F.concat(F.lit(S.EDGES), delimiter)) != ""
-    with_text = lambda x: F.when(quoted, ~_by_delimiter(delimiter, lambda d: _blank_quoted(x, d))).otherwise(plain(x))
+    with_text = lambda x: F.when(_has_quote(x, quoted), ~_by_delimiter(delimiter, lambda d: _blank_quoted(x, d))).otherwise(plain(x))
     return S.let(
         records,
         lambda x: F.struct(F.filter(F.slice(x, F.lit(1), F.size(x) - 1), with_text).alias("ended"), F.filter(F.slice(x, F.size(x), F.lit(1)), with_text).alias("tail")),
@@ -105,7 +110,7 @@ def kept_records(text: Column, delimiter: Column, quoted: Column) -> Column:
 
 def n_fields(record: Column, delimiter: Column, quoted: Column) -> Column:
     plain = F.length(record) - F.length(F.replace(record, delimiter, F.lit(""))) + 1
-    return F.when(quoted, _by_delimiter(delimiter, lambda d: _n_quoted(record, d))).otherwise(plain)
+    return F.when(_has_quote(record, quoted), _by_delimiter(delimiter, lambda d: _n_quoted(record, d))).otherwise(plain)
 
 
 def texts(detected: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
@@ -162,7 +167,7 @@ def fields(record: Column, delimiter: Column, quoted: Column, limits: Limits = D
         return F.transform(F.slice(F.regexp_extract_all(record, pattern, F.lit(1)), F.lit(1), S.let(ends, last)), lambda x: finish_field(x, limits))
 
     plain = lambda d: F.transform(F.split(record, d, -1), lambda x: S.clamp_cell(S.trim_edges(x), limits.cell_chars))
-    return F.when(quoted, _by_delimiter(delimiter, parts)).otherwise(_by_delimiter(delimiter, plain))
+    return F.when(_has_quote(record, quoted), _by_delimiter(delimiter, parts)).otherwise(_by_delimiter(delimiter, plain))
 
 
 def sheet_rows(parsed: DataFrame, limits: Limits = DEFAULT) -> DataFrame:

@@ -83,16 +83,19 @@ def order_keys(text: Column) -> list[Column]:
     return [number.isNull(), number, F.when(negative_zero, 0).otherwise(1), F.when(number.isNull(), F.lower(F.upper(text)))]
 
 
-def numbered(rows: DataFrame, name: str, order: list[Column], stage: Stage) -> DataFrame:
-    """rows with their place (1-based) in their sheet by order, which tells all of its rows apart; a sheet's rows are sorted and numbered by several tasks.
+def numbered(rows: DataFrame, name: str, keys: list[Column], ascending: list[bool], stage: Stage) -> DataFrame:
+    """rows with their place (1-based) in their sheet by keys, which tell all of its rows apart; a sheet's rows are sorted and numbered by several tasks.
 
-    Rows are dealt by sampled bounds over sheet and order, and sorted where they are. stage stores them with their place in their task; counts
+    Rows are dealt by sampled bounds over sheet and keys, and sorted where they are. stage stores them with their place in their task; counts
     for each task and sheet, a few numbers, say how many come before.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Keys are columns first: a sort computes what it is given anew for every comparison.
+    keyed = rows.select("*", *[k.alias(f"__key{i}") for i, k in enumerate(keys)])
+    order = [F.col(f"__key{i}").asc() if up else F.col(f"__key{i}").desc() for i, up in enumerate(ascending)]
     # A number of partitions that is given isn't coalesced.
-    dealt = rows.repartitionByRange(n, *[F.col(c).asc() for c in SHEET], *order).sortWithinPartitions(*SHEET, *order)
-    own = stage(dealt.select("*", F.spark_partition_id().alias("__task"), F.monotonically_increasing_id().alias("__id")), "sorted-rows")
+    dealt = keyed.repartitionByRange(n, *[F.col(c).asc() for c in SHEET], *order).sortWithinPartitions(*SHEET, *order)
+    own = stage(dealt.select(*rows.columns, F.spark_partition_id().alias("__task"), F.monotonically_increasing_id().alias("__id")), "sorted-rows")
     counts = own.groupBy(*SHEET, "__task").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*SHEET).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select(*SHEET, "__task", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
@@ -102,9 +105,9 @@ def numbered(rows: DataFrame, name: str, order: list[Column], stage: Stage) -> D
 def sort_rows(rows: DataFrame, column: int, ascending: bool = True, stage: Stage | None = None) -> DataFrame:
     """rows with rank (1-based) in each sheet by one column; equal cells keep the sheet's order either way. With stage, several tasks sort a sheet."""
     keys = order_keys(cell(column))
-    ordered = [*[k.asc() if ascending else k.desc() for k in keys], F.col("row_idx").asc()]
     if stage:
-        return numbered(rows, "rank", ordered, stage)
+        return numbered(rows, "rank", [*keys, F.col("row_idx")], [*[ascending] * len(keys), True], stage)
+    ordered = [*[k.asc() if ascending else k.desc() for k in keys], F.col("row_idx").asc()]
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*SHEET).orderBy(*ordered)))
 
 
@@ -128,7 +131,7 @@ def csv_lines(data: DataFrame, sheets: DataFrame, order: str = "row_idx", stage:
     """response_id, sheet_idx, line_no, line: the header's names, then the rows of promote_header in the given order. With stage, several tasks number a sheet."""
     width = sheets.select(*SHEET, F.greatest("n_cols", F.lit(1)).alias("__width"))
     number = F.row_number().over(Window.partitionBy(*SHEET).orderBy(order))
-    placed = numbered(data, "line_no", [F.col(order).asc()], stage) if stage else data.withColumn("line_no", number)
+    placed = numbered(data, "line_no", [F.col(order)], [True], stage) if stage else data.withColumn("line_no", number)
     line = F.struct("line_no", csv_line(padded(F.col("cells"), F.col("__width"))).alias("line"))
     # The first row brings the header with it, so that data is made once.
     head = F.when(F.col("line_no") == 1, F.array(F.struct(F.lit(0).alias("line_no"), csv_line(F.col("header")).alias("line")))).otherwise(F.array())
