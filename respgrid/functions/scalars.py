@@ -120,7 +120,10 @@ def column_index(reference: Column) -> Column:
         lambda a, c: (a * 26 + F.ascii(c) - 64).bitwiseAND(F.lit(0xFFFFFFFF)),
     )
     letters = F.upper(F.regexp_extract(reference, "^[A-Za-z]*", 0))
-    return (let(total(letters), lambda n: F.when(n >= 2**31, n - 2**32).otherwise(n)) - 1).cast("int")
+    every = (let(total(letters), lambda n: F.when(n >= 2**31, n - 2**32).otherwise(n)) - 1).cast("int")
+    # Most references have one or two capital letters, which need no folding.
+    one, two = F.ascii(reference) - 65, (F.ascii(reference) - 64) * 26 + F.ascii(F.substring(reference, 2, 1)) - 65
+    return F.when(reference.isNotNull(), F.when(reference.rlike("^[A-Z][0-9]"), one).when(reference.rlike("^[A-Z]{2}[0-9]"), two).otherwise(every))
 
 
 def column_letters(index: Column) -> Column:

@@ -6,11 +6,11 @@ The registered queries work on these; the same derivations are written in SQL in
 from __future__ import annotations
 
 import gzip
-import io
 import struct
 import zipfile
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -177,7 +177,7 @@ def sort_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def workbook_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Staged records as if each supplier had sent a workbook of its order lines.
 
-    A row is a line, by order and number. Cells: flag (a shared string), price (a number), ship date (a serial with a
+    A row is a line, by order and number, with its cells in one array. Cells: flag (a shared string), price (a number), ship date (a serial with a
     date style), whether it was returned (a boolean), part key (text), status (inline), and a comment that
     is blank on most rows. Every tenth row declares a number two ahead, every seventh none; every fifth
     cell has no reference.
@@ -187,28 +187,24 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     )
     lines = lines.withColumn("response_id", F.col("l_suppkey"))
     part = F.lit("xl/worksheets/sheet1.xml")
-    rows = lines.select(
-        "response_id", part.alias("part"), "n", F.when(F.col("n") % 7 == 6, None).otherwise(F.col("n") + 1 + 2 * F.expr("(n + 1) div 10")).cast("int").alias("declared")
-    )
     serial = F.datediff(F.to_date("l_shipdate"), F.to_date(F.lit("1899-12-30")))
     none, text = F.lit(None).cast("string"), lambda c: c.cast("string")
-    cell = lambda t, style, v, inline: F.struct(
-        (F.lit(t) if t else none).alias("t"), F.lit(style).alias("style_idx"), v.alias("v"), inline.alias("inline_text")
-    )
+
+    def cell(at: int, t: str | None, style: int, v: Column, inline: Column) -> Column:
+        ref = F.when((F.col("n") + at) % 5 != 4, F.concat(F.lit(chr(65 + at)), (F.col("n") + 1).cast("string")))
+        return F.struct(F.lit(at).alias("cell_n"), F.lit(style).alias("style_idx"), ref.alias("ref"), (F.lit(t) if t else none).alias("t"), v.alias("v"), inline.alias("inline_text"))
+
     listed = F.array(
-        cell("s", -1, text(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)), none),
-        cell(None, 0, text(F.col("l_extendedprice").cast("decimal(12,2)")), none),
-        cell("n", 1, text(serial), none),
-        cell("b", -1, F.when(F.col("l_returnflag") == "R", "1").otherwise("0"), none),
-        cell("str", -1, text(F.col("l_partkey")), none),
-        cell("inlineStr", -1, none, F.col("l_linestatus")),
-        cell("str", -1, F.when(F.col("n") % 11 == 0, "note").otherwise(""), none),
-    )
-    cells = lines.select("response_id", part.alias("part"), F.col("n").alias("row_n"), F.posexplode(listed).alias("cell_n", "c"))
-    letters = F.char(F.col("cell_n") + 65)
-    cells = cells.select(
-        "response_id", "part", "row_n", "cell_n", F.when((F.col("row_n") + F.col("cell_n")) % 5 != 4, F.concat(letters, (F.col("row_n") + 1).cast("string"))).alias("ref"), "c.*"
+        cell(0, "s", -1, text(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)), none),
+        cell(1, None, 0, text(F.col("l_extendedprice").cast("decimal(12,2)")), none),
+        cell(2, "n", 1, text(serial), none),
+        cell(3, "b", -1, F.when(F.col("l_returnflag") == "R", "1").otherwise("0"), none),
+        cell(4, "str", -1, text(F.col("l_partkey")), none),
+        cell(5, "inlineStr", -1, none, F.col("l_linestatus")),
+        cell(6, "str", -1, F.when(F.col("n") % 11 == 0, "note").otherwise(""), none),
     )
+    declared = F.when(F.col("n") % 7 == 6, None).otherwise(F.col("n") + 1 + 2 * F.expr("(n + 1) div 10")).cast("int")
+    rows = lines.select("response_id", part.alias("part"), "n", declared.alias("declared"), listed.alias("cells"))
     books = lines.select("response_id").distinct()
     rel = books.select("response_id", F.lit(0).alias("ord"), F.lit("rId1").alias("rel_id"), F.lit("worksheets/sheet1.xml").alias("target"))
     return {
@@ -220,7 +216,6 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         "xf": books.select("response_id", F.posexplode(F.array(F.lit(0), F.lit(164))).alias("style_idx", "numfmt_id")),
         "numfmt": books.select("response_id", F.lit(0).alias("ord"), F.lit(164).alias("numfmt_id"), F.lit('yyyy\\-mm\\-dd;"m"').alias("code")),
         "row": rows,
-        "cell": cells,
         "error": books.where(F.lit(False)).select("response_id", F.lit("").alias("message")),
     }
 
@@ -237,6 +232,26 @@ def xlsx_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("response_id", F.concat(F.lit("/export/"), "response_id").alias("request_path"), none.alias("content_type"), none.alias("content_disposition"), "body")
 
 
+@lru_cache(256)
+def _deflated(xml: str) -> tuple[int, int, bytes]:
+    """Checksum, size and packed data of a part."""
+    data, packer = xml.encode(), zlib.compressobj(wbits=-15)
+    return zlib.crc32(data), len(data), packer.compress(data) + packer.flush()
+
+
+def container_bytes(parts: dict[str, str]) -> bytes:
+    """A ZIP container. Small parts, which most books have alike, are packed once."""
+    files, listed, at = [], [], 0
+    for name, xml in parts.items():
+        crc, size, data = (_deflated if len(xml) < 1024 else _deflated.__wrapped__)(xml)
+        head = struct.pack("<5H3I2H", 20, 0, zipfile.ZIP_DEFLATED, 0, 33, crc, len(data), size, len(name), 0)
+        files.append(b"PK\3\4" + head + name.encode() + data)
+        listed.append(b"PK\1\2" + struct.pack("<H", 20) + head + struct.pack("<3H2I", 0, 0, 0, 0, at) + name.encode())
+        at += len(files[-1])
+    directory = b"".join(listed)
+    return b"".join(files) + directory + b"PK\5\6" + struct.pack("<4H2IH", 0, 0, len(listed), len(listed), len(directory), at, 0)
+
+
 def xlsx_bytes(rows: list[tuple]) -> bytes:
     statuses = sorted({r[1] for r in rows})
     lines = "".join(
@@ -249,11 +264,7 @@ def xlsx_bytes(rows: list[tuple]) -> bytes:
         "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{escape(s)}</t></si>" for s in statuses) + "</sst>",
         "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{lines}</sheetData></worksheet>",
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as container:
-        for name, xml in parts.items():
-            container.writestr(name, xml)
-    return out.getvalue()
+    return container_bytes(parts)
 
 
 def rich_xlsx_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,11 +303,7 @@ def rich_xlsx_bytes(rows: list[tuple]) -> bytes:
         "xl/sharedStrings.xml": f"<sst>{shared}</sst>",
         "xl/worksheets/sheet1.xml": f"<worksheet><sheetData>{''.join(lines)}</sheetData></worksheet>",
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as container:
-        for name, xml in parts.items():
-            container.writestr(name, xml)
-    return out.getvalue()
+    return container_bytes(parts)
 
 
 def many_sheet_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,11 +341,7 @@ def many_sheet_bytes(rows: list[tuple], odd: bool) -> bytes:
         "xl/styles.xml": f'<styleSheet><numFmts>{date}</numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>',
         "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{escape(s)}</t></si>" for s in statuses) + "</sst>",
     }
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as container:
-        for name, xml in parts.items():
-            container.writestr(name, xml)
-    return out.getvalue()
+    return container_bytes(parts)
 
 
 def compressed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,9 +54,8 @@ def _order_data(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 
 
 def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Staged workbook records, the large kinds in tables of their own as a reader leaves them."""
-    records = X.workbook_records(spark, sf_dir)
-    return records | {kind: staged(records[kind], kind) for kind in ("row", "cell")}
+    """Workbook records. Rows are read once, so that they needn't be stored."""
+    return X.workbook_records(spark, sf_dir)
 
 
 # Sources and sinks
@@ -292,8 +291,10 @@ def _in_sheet(rows: DataFrame) -> DataFrame:
 
 def x3_x5_cell_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = X.workbook_records(spark, sf_dir)
-    cells = r["cell"].withColumn("date1904", F.lit(False))
-    return workbook.cell_text(cells, r["sst"], workbook.style_is_date(r["xf"], r["numfmt"])).select("response_id", "row_n", "cell_n", "text")
+    books = workbook.book_styles(workbook.style_is_date(r["xf"], r["numfmt"])).withColumn("date1904", F.lit(False))
+    rows = workbook.with_books(r["row"], books, r["sst"], ["response_id"])
+    cells = rows.select("response_id", F.col("n").alias("row_n"), "dates", "strings", "pointed", "date1904", F.explode_outer("cells").alias("c")).where("c is not null")
+    return cells.select("response_id", "row_n", "c.cell_n", workbook.text_with_book(F.col("c")).alias("text"))
 
 
 def x6_place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +302,11 @@ def x6_place_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x7_place_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return workbook.place_columns(_in_sheet(X.workbook_records(spark, sf_dir)["cell"])).select("response_id", "row_n", "cell_n", "col_idx")
+    column = lambda c: S.let(S.column_index(c["ref"]), lambda x: F.when(x >= 0, x))
+    known = F.transform("cells", lambda c: F.struct(c["cell_n"].alias("cell_n"), column(c).alias("place"), c["v"].alias("text")))
+    rows = X.workbook_records(spark, sf_dir)["row"].select("response_id", F.col("n").alias("row_n"), S.let(known, workbook.placed_cells).alias("cells"))
+    # As in sheet_rows: an inner explode would have cells made twice.
+    return rows.select("response_id", "row_n", F.explode_outer("cells").alias("c")).where("c is not null").select("response_id", "row_n", "c.cell_n", "c.col_idx")
 
 
 def x8_last_cell_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,8 +334,7 @@ def x10_assembled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def x11_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = workbook.assemble(_records(spark, sf_dir))["cells"]
-    rows = workbook.dense_rows(cells)
+    rows = workbook.dense_rows(workbook.assemble(_records(spark, sf_dir))["packed"], workbook.PLACE)
     return rows.select("response_id", "row_idx", F.array_join("cells", "|").alias("cells"), F.size("cells").alias("width"))
 
 

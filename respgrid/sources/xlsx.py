@@ -8,6 +8,7 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from xml.parsers import expat
 
 import pyarrow as pa
@@ -27,11 +28,17 @@ FRONT = [WORKBOOK, RELATIONS, STYLES, STRINGS]
 HINTS = frozenset({"rPh", "phoneticPr"})
 # Fixed value: what users are told, in the words that results must have.
 NO_WORKBOOK = "Not an xlsx container: xl/workbook.xml is missing"
+#: A cell in its row: its number there, and what it says.
+CELL = [("cell_n", pa.int32()), ("style_idx", pa.int32()), ("ref", pa.string()), ("t", pa.string()), ("v", pa.string()), ("inline_text", pa.string())]
 FIELDS = [
-    ("response_id", pa.int64()), ("kind", pa.string()), ("part", pa.string()), ("ord", pa.int32()), ("sub", pa.int32()), ("number", pa.int32()),
-    ("flag", pa.bool_()), ("name", pa.string()), ("type", pa.string()), ("value", pa.string()), ("text", pa.string()),
+    ("response_id", pa.int64()), ("kind", pa.string()), ("part", pa.string()), ("ord", pa.int32()), ("number", pa.int32()),
+    ("flag", pa.bool_()), ("name", pa.string()), ("value", pa.string()), ("text", pa.string()),
 ]
-SCHEMA = "response_id long, kind string, part string, ord int, sub int, number int, flag boolean, name string, type string, value string, text string"
+SCHEMA = (
+    "response_id long, kind string, part string, ord int, number int, flag boolean, name string, value string, text string, "
+    "cells array<struct<cell_n:int,style_idx:int,ref:string,t:string,v:string,inline_text:string>>"
+)
+#: Records and cells of a batch; one row may have more.
 BATCH = 4096
 #: Bytes from which a body's parts are dealt out.
 LARGE = 1 << 20
@@ -72,6 +79,9 @@ def _int(value: str | None) -> int | None:
     return number if number is not None and -(2**31) <= number < 2**31 else None
 
 
+_style = lru_cache(1 << 12)(_int)
+
+
 class _Book(_Walk):
     ords, date1904 = 0, False
 
@@ -162,18 +172,23 @@ class _Strings(_Texts):
 
 
 class _Cells(_Texts):
-    """Rows with their declared numbers, and cells in document order; a row that doesn't end isn't one."""
+    """Rows with their declared numbers and their cells (CELL) in document order; a row that doesn't end isn't one."""
 
     rows = cells = 0
-    cell: dict | None = None
+    cell: list | None = None
     value: list[str] | None = None
-    formula = False
+    formula = loose = False
 
     def __init__(self, part: str, limits: Limits) -> None:
         super().__init__()
         self.part, self.limits, self.declared = part, limits, None
+        self.row: list[list] = []
+        # There are many cells: names are cut only where they have a prefix, and attributes only of elements that are read.
+        self.parser.StartElementHandler, self.parser.EndElementHandler = self.start, self.end
 
     def start(self, name: str, attributes: dict[str, str]) -> None:
+        if ":" in name:
+            name = name.rpartition(":")[2]
         if self.run is not None:
             self.text_start(name)
         elif self.formula:
@@ -185,12 +200,16 @@ class _Cells(_Texts):
                 self.run = []
             elif name == "f":
                 self.formula = True
-        elif name == "row":
-            self.cells, self.declared = 0, _int(attributes.get("r"))
-        elif name == "c":
-            style = _int(attributes.get("s"))
-            self.cell = {"kind": "cell", "part": self.part, "ord": self.rows, "sub": self.cells, "number": -1 if style is None else style, "name": attributes.get("r"), "type": attributes.get("t")}
-            self.cells += 1
+        elif name == "c" or name == "row":
+            if ":" in "".join(attributes):
+                attributes = {k.rpartition(":")[2]: v for k, v in attributes.items()}
+            get = attributes.get
+            if name == "c":
+                style = _style(get("s"))
+                self.cell = [self.cells, -1 if style is None else style, get("r"), get("t"), None, None]
+                self.cells += 1
+            else:
+                self.cells, self.declared, self.loose = 0, _int(get("r")), bool(self.row)
 
     def text(self, data: str) -> None:
         if self.value is not None:
@@ -199,22 +218,27 @@ class _Cells(_Texts):
             super().text(data)
 
     def end(self, name: str) -> None:
+        if ":" in name:
+            name = name.rpartition(":")[2]
         if self.run is not None:
             if name == "is" and self.cell is not None:
-                self.cell["text"] = self.taken(self.limits)
+                self.cell[5] = self.taken(self.limits)
             else:
                 self.text_end(name)
         elif self.formula:
             self.formula = name != "f"
         elif self.value is not None:
             if name == "v":
-                self.cell["value"], self.value = "".join(self.value), None
+                self.cell[4], self.value = "".join(self.value), None
         elif name == "c" and self.cell is not None:
-            self.out.append(self.cell)
+            self.row.append(self.cell)
             self.cell = None
         elif name == "row":
-            self.out.append({"kind": "row", "part": self.part, "ord": self.rows, "number": self.declared})
+            if self.loose:  # cells outside of rows count to the next one
+                self.row.sort(key=lambda cell: cell[0])
+            self.out.append({"kind": "row", "part": self.part, "ord": self.rows, "number": self.declared, "cells": self.row})
             self.rows += 1
+            self.row = []
 
 
 @dataclass(frozen=True)
@@ -297,17 +321,27 @@ def _told(error: Exception) -> str:
 def _batches(found: Iterator[tuple[int, int, Callable[[], Iterator[dict]]]]) -> Iterator[pa.RecordBatch]:
     """Batches of the records of workbooks or parts: response_id, the order of an error, and how to get at them. One bad file must not end the task."""
 
-    def batch_of(rows: list[dict]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pylist(rows, pa.schema(FIELDS))
+    def batch_of(records: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array([r.get(name) for r in records], kind) for name, kind in FIELDS]
+        counts, cells = [0], []
+        for record in records:
+            cells += record.get("cells", ())
+            counts.append(len(cells))
+        parts = zip(*cells, strict=True) if cells else [()] * len(CELL)
+        inner = pa.StructArray.from_arrays([pa.array(part, kind) for part, (_, kind) in zip(parts, CELL, strict=True)], [name for name, _ in CELL])
+        return pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(counts, pa.int32()), inner)], [*[name for name, _ in FIELDS], "cells"])
 
     held: list[dict] = []
+    size = 0
     for response_id, order, of in found:
         try:
             for record in of():
-                held.append(record | {"response_id": response_id})
-                if len(held) >= BATCH:
+                record["response_id"] = response_id
+                held.append(record)
+                size += 1 + len(record.get("cells", ()))
+                if size >= BATCH:
                     yield batch_of(held)
-                    held = []
+                    held, size = [], 0
         except Exception as error:
             held.append({"response_id": response_id, "kind": "error", "ord": order, "text": _told(error)})
     if held:
@@ -386,8 +420,7 @@ def by_kind(staged: DataFrame) -> dict[str, DataFrame]:
         "sst": of("sst", sst_idx="ord", text="text"),
         "xf": of("xf", style_idx="ord", numfmt_id="number"),
         "numfmt": of("numfmt", ord="ord", numfmt_id="number", code="text"),
-        "row": of("row", part="part", n="ord", declared="number"),
-        "cell": of("cell", part="part", row_n="ord", cell_n="sub", style_idx="number", ref="name", t="type", v="value", inline_text="text"),
+        "row": of("row", part="part", n="ord", declared="number", cells="cells"),
         "error": of("error", order="ord", message="text").groupBy("response_id").agg(F.min_by("message", "order").alias("message")),
     }
 
