@@ -26,6 +26,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task, about, where rows are dealt by a key.
+ROWS = 1 << 19
+
+
+def dealt(rows: DataFrame, *keys: str, most: int = ROWS) -> DataFrame:
+    """rows, dealt by keys into so many tasks that none has many more rows than most, where the session's number of tasks doesn't do.
+
+    Then what is made of a task's rows fits into its memory, and sorts of it leave nothing on disk.
+    """
+    n = -(-rows.count() // most)
+    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def _cycle(key: Column, values: list[Column | str | None]) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for k, v in enumerate(values):
@@ -182,7 +195,8 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     is blank on most rows. Every tenth row declares a number two ahead, every seventh none; every fifth
     cell has no reference.
     """
-    lines = table(spark, sf_dir, "lineitem").withColumn(
+    listed = table(spark, sf_dir, "lineitem")
+    lines = dealt(listed, "l_suppkey").withColumn(
         "n", F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus")) - 1
     )
     lines = lines.withColumn("response_id", F.col("l_suppkey"))
@@ -194,7 +208,7 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         ref = F.when((F.col("n") + at) % 5 != 4, F.concat(F.lit(chr(65 + at)), (F.col("n") + 1).cast("string")))
         return F.struct(F.lit(at).alias("cell_n"), F.lit(style).alias("style_idx"), ref.alias("ref"), (F.lit(t) if t else none).alias("t"), v.alias("v"), inline.alias("inline_text"))
 
-    listed = F.array(
+    cells = F.array(
         cell(0, "s", -1, text(F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)), none),
         cell(1, None, 0, text(F.col("l_extendedprice").cast("decimal(12,2)")), none),
         cell(2, "n", 1, text(serial), none),
@@ -204,8 +218,8 @@ def workbook_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
         cell(6, "str", -1, F.when(F.col("n") % 11 == 0, "note").otherwise(""), none),
     )
     declared = F.when(F.col("n") % 7 == 6, None).otherwise(F.col("n") + 1 + 2 * F.expr("(n + 1) div 10")).cast("int")
-    rows = lines.select("response_id", part.alias("part"), "n", declared.alias("declared"), listed.alias("cells"))
-    books = lines.select("response_id").distinct()
+    rows = lines.select("response_id", part.alias("part"), "n", declared.alias("declared"), cells.alias("cells"))
+    books = listed.select(F.col("l_suppkey").alias("response_id")).distinct()
     rel = books.select("response_id", F.lit(0).alias("ord"), F.lit("rId1").alias("rel_id"), F.lit("worksheets/sheet1.xml").alias("target"))
     return {
         "workbook": books,
