@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from respgrid.functions import detection as D
 from respgrid.functions import scalars as S
 from respgrid.jobs import fixtures as X
 from respgrid.limits import Limits
-from respgrid.operators import delimited, detect, grid, large_bodies, reports, tables, workbook
+from respgrid.operators import delimited, detect, grid, large_bodies, reports, storage, tables, workbook
 from respgrid.sources import responses, xls, xlsx
 from respgrid.streaming import triage
 
@@ -32,14 +33,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df, written once to the shared folder: what follows reads it as often as it likes, and filters reach the scan."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return storage.stored(df, scratch(df.sparkSession, name))
 
 
-def _detected(bodies: DataFrame) -> DataFrame:
-    """bodies as a table of captured responses, and what is detected in them, stored."""
-    return staged(detect.detect(staged(bodies, "responses")), "detected")
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[grid.Stage]:
+    """staged, for tables that are removed at the end: by then what is made of them must be stored."""
+    paths: list[str] = []
+
+    def stage(df: DataFrame, name: str) -> DataFrame:
+        paths.append(scratch(spark, name))
+        return storage.stored(df, paths[-1])
+
+    yield stage
+    for path in paths:
+        storage.remove(spark, path)
+
+
+def _detected(bodies: DataFrame, stage: grid.Stage = staged) -> DataFrame:
+    """bodies as a table of captured responses, and what is detected in them, stored; the former goes."""
+    with passing(bodies.sparkSession) as passed:
+        return stage(detect.detect(passed(bodies, "responses")), "detected")
 
 
 def _order_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -433,9 +447,12 @@ def g7_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def g7_large_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Large bodies sorted by price, dearest first, and written as lines; several tasks sort and number a body's rows."""
-    rows, sheets = large_bodies.parse_bodies(_detected(X.exports(spark, sf_dir)), staged, large=1 << 16)
-    data = grid.sort_rows(grid.promote_header(staged(rows, "rows"), sheets), 2, ascending=False, stage=staged)
-    return grid.csv_lines(data, sheets, "rank", stage=staged).select("response_id", "line_no", "line")
+    with passing(spark) as passed:
+        rows, sheets = large_bodies.parse_bodies(_detected(X.exports(spark, sf_dir), passed), passed, large=1 << 16)
+        rows, sheets = staged(rows, "rows"), staged(sheets, "shapes")
+    # Headers join when rows are sorted, so that they aren't sorted with them.
+    data = grid.sort_rows(rows.where("row_idx > 0"), 2, ascending=False, stage=staged)
+    return grid.csv_lines(grid.with_first_header(data, grid.headers(rows, sheets), "rank"), sheets, "rank", stage=staged, told=True).select("response_id", "line_no", "line")
 
 
 def g8_numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from respgrid.functions import scalars as S
+from respgrid.operators.storage import small
 
 SHEET = ["response_id", "sheet_idx"]
 #: Stores a DataFrame under a name and reads it again.
@@ -49,19 +50,29 @@ def source_row_number(rows: DataFrame) -> DataFrame:
     return rows.withColumn("source_row", F.col("row_idx") + 1)
 
 
+def headers(rows: DataFrame, sheets: DataFrame) -> DataFrame:
+    """response_id, sheet_idx and header of each sheet with rows: its first row's names to the sheet's full width, letters for empty ones."""
+    width = F.greatest("n_cols", F.lit(1))
+    heads = rows.where("row_idx = 0").join(sheets.select(*SHEET, "n_cols"), SHEET)
+    named = F.transform(
+        padded(F.col("cells"), width), lambda name, i: F.when(name == "", S.column_letters(i)).otherwise(name)
+    )
+    return heads.select(*SHEET, named.alias("header"))
+
+
 def promote_header(rows: DataFrame, sheets: DataFrame) -> DataFrame:
     """Data rows with header (names to the sheet's full width, letters for empty ones) and source_row.
 
     The first row is the header and leaves the data. One header for each sheet: joined by the sheet's
     key, so that it stays with its rows.
     """
-    width = F.greatest("n_cols", F.lit(1))
-    heads = rows.where("row_idx = 0").join(sheets.select(*SHEET, "n_cols"), SHEET)
-    named = F.transform(
-        padded(F.col("cells"), width), lambda name, i: F.when(name == "", S.column_letters(i)).otherwise(name)
-    )
-    heads = heads.select(*SHEET, named.alias("header"))
-    return source_row_number(rows.where("row_idx > 0")).join(heads, SHEET)
+    return source_row_number(rows.where("row_idx > 0")).join(headers(rows, sheets), SHEET)
+
+
+def with_first_header(data: DataFrame, heads: DataFrame, place: str) -> DataFrame:
+    """data with header for the row of each sheet whose place is 1, and null for the others: no other row moves to meet it."""
+    first = data.where(F.col(place) == 1).join(heads, SHEET)
+    return first.unionByName(data.where(F.col(place) > 1).withColumn("header", F.lit(None).cast("array<string>")))
 
 
 def contains_text(text: str) -> Column:
@@ -99,7 +110,7 @@ def numbered(rows: DataFrame, name: str, keys: list[Column], ascending: list[boo
     counts = own.groupBy(*SHEET, "__task").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(*SHEET).orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select(*SHEET, "__task", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first") + 1).alias("__shift"))
-    return own.join(begins, [*SHEET, "__task"]).select(*rows.columns, (F.col("__id") + F.col("__shift")).cast("int").alias(name))
+    return own.join(small(stage(begins, "begins")), [*SHEET, "__task"]).select(*rows.columns, (F.col("__id") + F.col("__shift")).cast("int").alias(name))
 
 
 def sort_rows(rows: DataFrame, column: int, ascending: bool = True, stage: Stage | None = None) -> DataFrame:
@@ -127,15 +138,22 @@ def csv_line(cells: Column) -> Column:
     return F.array_join(F.transform(cells, S.csv_quote), ",")
 
 
-def csv_lines(data: DataFrame, sheets: DataFrame, order: str = "row_idx", stage: Stage | None = None) -> DataFrame:
-    """response_id, sheet_idx, line_no, line: the header's names, then the rows of promote_header in the given order. With stage, several tasks number a sheet."""
+def csv_lines(data: DataFrame, sheets: DataFrame, order: str = "row_idx", stage: Stage | None = None, told: bool = False) -> DataFrame:
+    """response_id, sheet_idx, line_no, line: the header's names, then the rows of promote_header in the given order. With stage, several tasks number a sheet.
+
+    told says that order numbers a sheet's rows from 1 without a gap, as sort_rows does; the first of them needs a header then.
+    """
     width = sheets.select(*SHEET, F.greatest("n_cols", F.lit(1)).alias("__width"))
     number = F.row_number().over(Window.partitionBy(*SHEET).orderBy(order))
-    placed = numbered(data, "line_no", [F.col(order)], [True], stage) if stage else data.withColumn("line_no", number)
+    if told:
+        placed = data.withColumn("line_no", F.col(order))
+    else:
+        placed = numbered(data, "line_no", [F.col(order)], [True], stage) if stage else data.withColumn("line_no", number)
     line = F.struct("line_no", csv_line(padded(F.col("cells"), F.col("__width"))).alias("line"))
     # The first row brings the header with it, so that data is made once.
     head = F.when(F.col("line_no") == 1, F.array(F.struct(F.lit(0).alias("line_no"), csv_line(F.col("header")).alias("line")))).otherwise(F.array())
-    return placed.join(width, SHEET).select(*SHEET, F.explode_outer(F.concat(head, F.array(line))).alias("__l")).select(*SHEET, "__l.line_no", "__l.line")
+    met = placed.join(small(stage(width, "widths")) if stage else width, SHEET)
+    return met.select(*SHEET, F.explode_outer(F.concat(head, F.array(line))).alias("__l")).select(*SHEET, "__l.line_no", "__l.line")
 
 
 def numeric_cells(rows: DataFrame, sheets: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ from respgrid.functions import scalars as S
 from respgrid.limits import DEFAULT, Limits
 from respgrid.operators import delimited as C
 from respgrid.operators.grid import Stage
+from respgrid.operators.storage import small
 
-#: Bytes from which a body is large, characters of a chunk, rows of a few numbers that are broadcast.
-LARGE, CHUNK, FEW = 1 << 20, 1 << 16, 200_000
+#: Bytes from which a body is large, characters of a chunk.
+LARGE, CHUNK = 1 << 20, 1 << 16
 KEY = ["response_id", "chunk"]
 
 
@@ -79,15 +80,11 @@ def composed(summary: DataFrame) -> DataFrame:
     return own.select(*KEY, "head", before.alias("segment"), continued.alias("continued"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= FEW else df
-
-
 def segments(pieces: DataFrame, stage: Stage) -> DataFrame:
     """pieces (stored chunks) as segments: response_id, name, delimiter, quoted, segment and text, each of whole rows."""
     n = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = stage(composed(stage(summaries(pieces), "chunk-summaries")), "chunk-states")
-    placed = pieces.join(_small(told), KEY)
+    placed = pieces.join(small(told), KEY)
     columns = ["response_id", "name", "delimiter", "quoted"]
     rest = F.substr("text", F.col("head") + 1)
     alone = placed.where(~F.col("continued") & (F.col("head") < F.length("text"))).select(*columns, F.col("chunk").alias("segment"), rest.alias("text"))
@@ -122,7 +119,7 @@ def parse_large(detected: DataFrame, stage: Stage, limits: Limits = DEFAULT, chu
     thin = kept.select("response_id", "segment", F.size("widths").cast("long").alias("n"))
     before = F.sum("n").over(_in_order("segment").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     counted = thin.select("response_id", "segment", before.alias("before"), F.sum("n").over(Window.partitionBy("response_id")).alias("total"))
-    placed = kept.join(_small(stage(counted, "segment-counts")), ["response_id", "segment"])
+    placed = kept.join(small(stage(counted, "segment-counts")), ["response_id", "segment"])
     room = F.greatest(F.lit(0), F.lit(limits.rows) - F.col("before")).cast("int")
 
     def capped(ended: str, tail: str) -> Column:
@@ -145,7 +142,7 @@ def parse_large(detected: DataFrame, stage: Stage, limits: Limits = DEFAULT, chu
 def parse_bodies(detected: DataFrame, stage: Stage, limits: Limits = DEFAULT, large: int = LARGE) -> tuple[DataFrame, DataFrame]:
     """Rows and sheets of all CSV and TSV responses of detected (stored): large bodies in several tasks each, the others where they lie."""
     size = F.length("expanded")
-    small = stage(C.parse_delimited(detected.where(size <= large), limits), "sheets")
+    whole = stage(C.parse_delimited(detected.where(size <= large), limits), "sheets")
     rows, sheets = parse_large(detected.where(size > large), stage, limits)
-    shape = small.select("response_id", "sheet_idx", "name", "n_rows", "n_cols", "truncated")
-    return C.sheet_rows(small, limits).unionByName(rows), shape.unionByName(sheets)
+    shape = whole.select("response_id", "sheet_idx", "name", "n_rows", "n_cols", "truncated")
+    return C.sheet_rows(whole, limits).unionByName(rows), shape.unionByName(sheets)
