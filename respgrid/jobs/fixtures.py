@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from respgrid.operators.batches import made_batches, map_batches
+from respgrid.operators.storage import dealt
 
 HEADER = ["line", "part", "quantity", "price", "flag", "shipped"]
 
@@ -26,19 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of a task, about, where rows are dealt by a key.
-ROWS = 1 << 19
-
-
-def dealt(rows: DataFrame, *keys: str, most: int = ROWS) -> DataFrame:
-    """rows, dealt by keys into so many tasks that none has many more rows than most, where the session's number of tasks doesn't do.
-
-    Then what is made of a task's rows fits into its memory, and sorts of it leave nothing on disk.
-    """
-    n = -(-rows.count() // most)
-    return rows.repartition(n, *keys) if n > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
-
-
 def _cycle(key: Column, values: list[Column | str | None]) -> Column:
     out = F.when(F.lit(False), F.lit(None).cast("string"))
     for k, v in enumerate(values):

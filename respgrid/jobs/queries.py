@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -361,8 +362,10 @@ def x15_out_of_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x17_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     books = X.xlsx_bodies(spark, sf_dir).withColumn("response_id", -1 - F.col("response_id"))
     early = X.xls_bodies(spark, sf_dir).withColumn("response_id", -1_000_000_000 - F.col("response_id"))
-    both = _detected(X.orders(spark, sf_dir).unionByName(books).unionByName(early))
-    return tables.to_cells(both, scratch(spark, "tables")).groupBy("response_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text")).alias("chars"))
+    with passing(spark) as passed:
+        found = [_detected(bodies, passed) for bodies in (X.orders(spark, sf_dir), books, early)]
+        cells = tables.to_cells(reduce(DataFrame.unionByName, found), scratch(spark, "tables"))
+    return cells.groupBy("response_id").agg(F.count(F.lit(1)).alias("cells"), F.sum(F.length("text")).alias("chars"))
 
 
 def s3_xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respgrid.limits import DEFAULT, Limits
-from respgrid.operators import delimited, large_bodies, workbook
+from respgrid.operators import delimited, large_bodies, storage, workbook
 from respgrid.sources import xls, xlsx
 
 
@@ -26,13 +26,11 @@ class Tables:
 def to_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT) -> Tables:
     """Each detected file read by its type's reader, the results stacked. Types that aren't tabular have no rows.
 
-    Workbooks' records are staged in folders under staging. detected is read once by each reader: store it before.
+    Workbooks' records are staged in folders under staging. detected is read once by each reader: store it before. Then nothing reads it any more.
     """
 
     def stage(df: DataFrame, name: str) -> DataFrame:
-        path = f"{staging}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
+        return storage.stored(df, f"{staging}/{name}-{uuid.uuid4().hex}")
 
     rows, shape = large_bodies.parse_bodies(detected, stage, limits)
     books = [xlsx.xlsx_tables(detected, f"{staging}/xlsx", limits), xls.xls_tables(detected, f"{staging}/xls", limits)]

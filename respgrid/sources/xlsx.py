@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from respgrid.limits import DEFAULT, Limits
-from respgrid.operators import workbook
+from respgrid.operators import storage, workbook
 from respgrid.operators.batches import map_batches
 
 # The parts that are read.
@@ -428,5 +428,5 @@ def by_kind(staged: DataFrame) -> dict[str, DataFrame]:
 def xlsx_tables(detected: DataFrame, staging: str, limits: Limits = DEFAULT, large: int = LARGE) -> dict[str, DataFrame]:
     """cells, sheets, warnings and errors. The records are staged once, by kind, in a table under staging."""
     spark = detected.sparkSession
-    xlsx_records(detected, limits, large).write.mode("append").partitionBy("kind").parquet(staging)
+    storage.write(xlsx_records(detected, limits, large), staging, "kind")
     return workbook.assemble(by_kind(spark.read.schema(SCHEMA).parquet(staging)), limits)

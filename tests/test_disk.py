@@ -7,6 +7,7 @@ import pytest
 
 from respgrid.jobs import fixtures, queries
 from respgrid.operators import storage
+from respgrid.sources import xls
 from tests.test_queries import SF
 
 
@@ -71,3 +72,26 @@ def test_an_export_sorts_rows_once_and_moves_no_header(spark, monkeypatch):
     root = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
     last = {Path(path).name for path, _ in moved}
     assert {p.name.split("-")[1] for p in Path(root).iterdir() if p.name in last} == {"rows", "shapes", "sorted", "begins", "widths"}
+
+
+def test_cells_of_old_books_are_exchanged_once(spark, monkeypatch, tmp_path):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with many books
+    try:
+        found = queries._detected(fixtures.xls_bodies(spark, SF))
+        cells = xls.xls_tables(found, f"file://{tmp_path}/xls")["cells"]
+        moved = [x for x in nodes(cells, "Exchange") if {"col_idx", "row_idx"} & set(x)]
+        want = sorted(map(tuple, cells.collect()))
+        monkeypatch.setattr(xls, "TASK", 500)
+        again = xls.xls_tables(found, f"file://{tmp_path}/again")["cells"]
+        assert len(moved) == 1 and sorted(map(tuple, again.collect())) == want and len(want) > 1000
+        assert len([x for x in nodes(again, "Exchange") if {"col_idx", "row_idx"} & set(x)]) == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_all_cells_leave_no_bodies(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(storage, "write", lambda df, path, *by, of=storage.write: paths.append(path) or of(df, path, *by))
+    queries.x17_all_cells(spark, SF)
+    bodies = [p for p in paths if "respgrid-responses-" in p or "respgrid-detected-" in p]
+    assert len(bodies) == 6 and not any(Path(p.removeprefix("file://")).exists() for p in bodies)
